@@ -1,9 +1,15 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from palimpsest.llm.byte_bpe import op10_byte_bpe
+from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
+from palimpsest.llm.token_file import op8_token_file
 
 QUERIES = {
+    "op2_chat_format": op2_chat_format,
     "op5_line_dedup": op5_line_dedup,
+    "op8_token_file": op8_token_file,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL = {
