@@ -3,11 +3,13 @@
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
+from palimpsest.llm.substring_dedup import op7_substring_dedup
 from palimpsest.llm.token_file import op8_token_file
 
 QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op5_line_dedup": op5_line_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_token_file": op8_token_file,
     "op10_byte_bpe": op10_byte_bpe,
 }
