@@ -3,6 +3,7 @@
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
+from palimpsest.llm.near_dup import op3_minhash_dedup
 from palimpsest.llm.quality import op1_quality
 from palimpsest.llm.substring_dedup import op7_substring_dedup
 from palimpsest.llm.token_file import op8_token_file
@@ -10,6 +11,7 @@ from palimpsest.llm.token_file import op8_token_file
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_file": op8_token_file,
