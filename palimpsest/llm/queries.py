@@ -3,6 +3,7 @@
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.decontaminate import op6_decontaminate
+from palimpsest.llm.html_text import op4_html_text
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
 from palimpsest.llm.near_dup import op3_minhash_dedup
 from palimpsest.llm.quality import op1_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_html_text": op4_html_text,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
