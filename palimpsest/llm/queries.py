@@ -3,6 +3,7 @@
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.decontaminate import op6_decontaminate
+from palimpsest.llm.embedding_dup import op9_embedding_dedup
 from palimpsest.llm.html_text import op4_html_text
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
 from palimpsest.llm.near_dup import op3_minhash_dedup
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_token_file": op8_token_file,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
