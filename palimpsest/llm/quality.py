@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.words import Words
+from palimpsest.llm.words import Words, portions
 
 #: Buckets of the three kinds of n-grams: bytes, outline, repetition.
 BYTE_BUCKETS, SHAPE_BUCKETS, SAME_BUCKETS = 1 << 16, 1 << 14, 64
@@ -153,15 +153,16 @@ class Model:
     constant: float | None = None
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        seen = Indicators(texts)
         if self.constant is not None:
-            return np.full(len(seen), self.constant)
-        out = np.empty(len(seen))
-        for i in range(len(seen)):
-            found = seen.of(i)
-            out[i] = self.weights[found].sum() / np.sqrt(max(self.square[found].sum(), 1e-12)) + self.bias
+            return np.full(len(texts), self.constant)
+        out = []
+        for part in portions(texts):
+            seen = Indicators(part)
+            for i in range(len(seen)):
+                found = seen.of(i)
+                out.append(self.weights[found].sum() / np.sqrt(max(self.square[found].sum(), 1e-12)) + self.bias)
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * out + b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * np.array(out, np.float64) + b, -30, 30)))
 
 
 def _fit_once(rows: list[np.ndarray], y: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -204,8 +205,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = Indicators(batch.column(2))
-            found = [seen.of(i).astype(np.int32).tobytes() for i in range(len(seen))]
+            found = []
+            for part in portions(batch.column(2)):
+                seen = Indicators(part)
+                found += [seen.of(i).astype(np.int32).tobytes() for i in range(len(seen))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "quality", "features"])
 
     # At most max_labels ids: small by that parameter.

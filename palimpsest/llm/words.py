@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 #: Seeds of the tables below. Any odd numbers would do.
@@ -47,6 +50,19 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def portions(texts: pa.Array, limit: int = 2 << 20) -> Iterator[pa.Array]:
+    """The texts in slices of at most `limit` bytes, or of one longer text: what is computed from a slice takes bounded memory."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and size + n > limit:
+            yield texts.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if len(texts):
+        yield texts.slice(start)
+
+
 class Words:
     """Words of texts: `start` and `end` (bytes), `hash`, and `first`, the number of the first word of each text, with the end."""
 
