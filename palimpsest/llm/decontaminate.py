@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.words import Words
+from palimpsest.llm.words import Words, portions
 
 #: Bits of the table that sorts out runs of words that are no seed.
 _FILTER_BITS = 22
@@ -142,17 +142,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, tile: int
         def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
             items = Items(rows, seed, tile)
             for batch in batches:
-                words = Words(pa.array([(t or "").lower() for t in batch.column(1).to_pylist()], pa.string()), alphanumeric=True)
-                found = []
-                for doc, owners in sorted(items.candidates(words).items()):
-                    text = words.hash[words.first[doc] : words.first[doc + 1]]
-                    name = batch.column(0)[doc].as_py()
-                    for owner in sorted(owners):
-                        item = items.hashes[owner]
-                        laid = tiles(item, text, tile)
-                        n = sum(x[2] for x in laid)
-                        if n >= coverage * len(item):
-                            found.append((name, items.names[owner], len(item), n, len(laid), n / len(item)))
+                found, first = [], 0
+                for part in portions(batch.column(1)):
+                    words = Words(pa.array([(t or "").lower() for t in part.to_pylist()], pa.string()), alphanumeric=True)
+                    for doc, owners in sorted(items.candidates(words).items()):
+                        text = words.hash[words.first[doc] : words.first[doc + 1]]
+                        name = batch.column(0)[first + doc].as_py()
+                        for owner in sorted(owners):
+                            item = items.hashes[owner]
+                            laid = tiles(item, text, tile)
+                            n = sum(x[2] for x in laid)
+                            if n >= coverage * len(item):
+                                found.append((name, items.names[owner], len(item), n, len(laid), n / len(item)))
+                    first += len(part)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.float64()), strict=True)], names=["doc_id", "item_id", "n_item_words", "n_matched", "n_tiles", "coverage"])
 
