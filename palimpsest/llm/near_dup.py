@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import components, materialise, whole_groups
-from palimpsest.llm.words import Words, mixed
+from palimpsest.llm.words import Words, mixed, portions
 
 TOKENS, SKETCH = 32, 256
 
@@ -75,7 +75,7 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, first, second, tokens, sketches = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), size):
+            for s in (s for part in portions(batch.column(1)) for s in shingle_sets(part, size)):
                 counts.append(len(s))
                 first.append(int(mixed(s).sum(dtype=np.uint64)))
                 second.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
@@ -170,7 +170,8 @@ def _exact(key: str, size: int, share: tuple[int, int]):
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if e - s < 2:
                     continue
-                sets = shingle_sets(table.column("text").slice(s, e - s), size)
+                own = pa.concat_arrays(table.column("text").slice(s, e - s).chunks)
+                sets = [x for part in portions(own) for x in shingle_sets(part, size)]
                 lengths = np.array([len(x) for x in sets])
                 codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
                 ends = np.cumsum(lengths)
