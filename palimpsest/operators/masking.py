@@ -22,14 +22,19 @@ class Options:
     """What a masking plan depends on.
 
     recognizers: further columns of spans, functions of (text, language); they come after the rules.
-    fuse: reshapes the spans of Chinese texts, a function of (text, spans); see operators.addresses.
+    addresses: fuse addresses of Chinese texts; fallback: keep private addresses that fusion makes nothing of.
     """
 
     rules: tuple[Rule, ...] = RULES
     switches: Switches = field(default_factory=Switches)
     min_score: float = 0.5
     recognizers: tuple[Callable[[Column, Column], Column], ...] = ()
-    fuse: Callable[[Column, Column], Column] | None = None
+    addresses: bool = False
+    fallback: bool = True
+
+    def plain(self) -> bool:
+        """Whether rules that Spark runs itself are all there is."""
+        return not self.recognizers and not self.addresses and all(native(r) for r in self.rules)
 
 
 def type_name(type_id: Column) -> Column:
@@ -40,25 +45,42 @@ def placeholder(kind: Column, serial: Column) -> Column:
     return F.concat(F.lit("__PII_"), kind, F.lit("_"), serial.cast("string"), F.lit("__"))
 
 
-def detected(text: Column, options: Options | None = None, language: Column | None = None) -> Column:
-    """Disjoint spans of a text by start, before switches."""
+def detected(text: Column, options: Options | None = None, found: Column | None = None) -> Column:
+    """Disjoint spans of a text by start, before switches. found: candidates, if the rules' own are not all."""
     options = options or Options()
+    if found is None:
+        if not options.plain():
+            raise ValueError("these options need a DataFrame operator: mask_frame and the like")
+        found = candidates(text, options.rules, options.min_score)
+    return normalized(sanitized(found, text), options.min_score)
+
+
+def with_candidates(df: DataFrame, name: str, text_col: str, options: Options, language_col: str | None = None) -> DataFrame:
+    """df with the spans of all recognizers, after fusion. Only what is no built-in function runs in Python."""
+    text = F.col(text_col)
     found = candidates(text, tuple(r for r in options.rules if native(r)), options.min_score)
     slow = [r for r in options.rules if not native(r)]
     if slow:
         from palimpsest.operators.scanning import scan_rules
 
         found = F.concat(found, scan_rules(slow)(text))
-    if options.recognizers or options.fuse:
-        spoken = language_or_detected(language, text)
-        for recognizer in options.recognizers:
-            found = F.concat(found, recognizer(text, spoken))
-        if options.fuse:
-            found = bind(found, lambda spans: F.when(is_chinese(spoken), options.fuse(text, spans)).otherwise(spans))
-    return normalized(sanitized(found, text), options.min_score)
-
-
-def masked(text: Column, options: Options | None = None, language: Column | None = None) -> Column:
+    if not options.recognizers and not options.addresses:
+        return df.withColumn(name, found)
+    spoken = f"{name}_language"
+    df = df.withColumn(spoken, language_or_detected(F.col(language_col) if language_col else None, text))
+    for recognizer in options.recognizers:
+        found = F.concat(found, F.coalesce(recognizer(text, F.col(spoken)), no_spans()))
+    df = df.withColumn(name, found)
+    if options.addresses:
+        from palimpsest.operators.fusion import with_addresses, with_fused
+
+        made, chinese = f"{name}_fused", f"{name}_chinese"
+        df = with_fused(df.withColumn(chinese, is_chinese(F.col(spoken))), made, text_col, name, chinese)
+        df = df.withColumn(name, F.when(F.col(chinese), with_addresses(F.col(name), F.col(made), options.fallback)).otherwise(F.col(name))).drop(made, chinese)
+    return df.drop(spoken)
+
+
+def masked(text: Column, options: Options | None = None, found: Column | None = None) -> Column:
     """struct(masked, items) of a text. Switched-off kinds win their spans, stay as they are and get no number.
 
     A null text gives a null masked text and no items.
@@ -80,7 +102,7 @@ def masked(text: Column, options: Options | None = None, language: Column | None
         untouched = F.struct(text.alias("masked"), F.array().cast(items_type).alias("items"))
         return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(untouched)
 
-    spans = F.filter(F.coalesce(detected(text, options, language), no_spans()), enabled)
+    spans = F.filter(F.coalesce(detected(text, options, found), no_spans()), enabled)
     return bind(spans, rewritten)
 
 
@@ -105,17 +127,24 @@ def restored(reply: Column, original: Column, items: Column) -> Column:
     return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, rebuilt).otherwise(reply)
 
 
+def _masking(df: DataFrame, text_col: str, options: Options | None, language_col: str | None) -> DataFrame:
+    options = options or Options()
+    if options.plain():
+        return df.withColumn("masking", masked(F.col(text_col), options))
+    df = with_candidates(df, "masking_spans", text_col, options, language_col)
+    return df.withColumn("masking", masked(F.col(text_col), options, F.col("masking_spans"))).drop("masking_spans")
+
+
 def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
     """df with masked and meta (original, items). One stage, no shuffle; meta holds the original: keep it apart."""
-    both = masked(F.col(text_col), options, F.col(language_col) if language_col else None)
-    out = df.withColumn("masking", both)
+    out = _masking(df, text_col, options, language_col)
     return out.withColumn("masked", F.col("masking.masked")).withColumn("meta", F.struct(F.col(text_col).alias("original"), F.col("masking.items").alias("items"))).drop("masking")
 
 
 def span_frame(df: DataFrame, keys: list[str], text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
     """Keys and one row per item: id, type, start, end, score and the text itself."""
-    both = masked(F.col(text_col), options, F.col(language_col) if language_col else None)
-    rows = df.select(*keys, F.col(text_col).alias("span_source"), F.explode(both["items"]).alias("item"))
+    out = _masking(df.select(*keys, F.col(text_col).alias("span_source"), *([language_col] if language_col else [])), "span_source", options, language_col)
+    rows = out.select(*keys, "span_source", F.explode("masking.items").alias("item"))
     return rows.select(*keys, "item.id", "item.type", "item.start", "item.end", "item.score", slice_bytes(F.col("span_source"), F.col("item.start"), F.col("item.end") - F.col("item.start")).alias("span_text"))
 
 
