@@ -187,7 +187,7 @@ def described(blocks: list[Block]) -> list[tuple[float, ...]]:
 
 
 #: Neighbours in the labelled table: words and link density of running text, a short line, a menu entry, none.
-NEIGHBOURS = {"T": (45, 0.0), "t": (4, 0.0), "L": (2, 1.0), "-": (0, 0.0)}
+NEIGHBOURS = {"T": (16, 0.0), "t": (4, 0.0), "L": (2, 1.0), "-": (0, 0.0)}
 #: Labelled by hand from the usual make-up of pages that mark no article: kind, words, link density; then the blocks
 #: before and after, in pairs, with which it is main text and with which it is not.
 UNMARKED = [
@@ -220,7 +220,7 @@ UNMARKED = [
     ("item", 2, 1.0, "", "TT LL L- -L LT TL tt"),
 ]
 #: Within an article every block is main text, and beside it none, whatever stands around it.
-MARKED = [(kind, words, links) for kind in ("paragraph", "block", "heading", "item") for words, links in ((1, 0.0), (3, 1.0), (9, 0.1), (40, 0.0), (35, 0.5))]
+MARKED = [(kind, words, links) for kind in ("paragraph", "block", "heading", "item") for words, links in ((1, 0.0), (3, 0.0), (3, 1.0), (5, 0.2), (9, 0.1), (17, 0.0), (40, 0.0), (35, 0.5))]
 
 
 def labelled_rows() -> list[tuple]:
@@ -231,7 +231,7 @@ def labelled_rows() -> list[tuple]:
 
     out = [row(0, 0, kind, words, links, pair, label) for kind, words, links, yes, no in UNMARKED for label, pairs in ((1, yes), (0, no)) for pair in pairs.split()]
     for kind, words, links in MARKED:
-        for pair in ("TT", "Tt", "LL", "tt", "L-", "-T"):
+        for pair in (a + b for a in NEIGHBOURS for b in NEIGHBOURS):
             out += [row(0, 1, kind, words, links, pair, 1), row(1, 0, kind, words, links, pair, 0), row(1, 1, kind, words, links, pair, 0)]
     return out
 
