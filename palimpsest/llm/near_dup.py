@@ -13,7 +13,7 @@ cluster's full sets are then compared, one against all, in one task, and links a
 beyond `cluster_limit` documents are compared node by node instead, and their links joined.
 
 Defined results: texts without words and rows without doc_id link with nothing (the latter get a null component and stay);
-rows that share a doc_id are one document; a document with fewer words than a shingle has its whole sequence as the only one;
+repeated rows share their result, and rows that share a doc_id but not their text are each judged by their text; a document with fewer words than a shingle has its whole sequence as the only one;
 an empty table gives no rows.
 """
 
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     member = found.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.expr("n > 0"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
     member = materialise(member, "classes")
     reps = real.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
+    reps = reps.dropDuplicates(["h1", "h2", "n", "id"])
     reps = materialise(reps.select("id", "tokens", "sketch"), "representatives")
 
     rows, small = reps.select("id", "tokens").mapInArrow(_roots(trees), "id long, node long"), None
@@ -244,7 +245,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     if not over.isEmpty():
         near = small.join(over, "id", "left_semi").join(texts, "id").select("node", "id", "text")
         exact = near.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact("node", shingle, share), "a long, b long")
-        linked = linked.unionAll(components(exact).where("id <> component"))
+        linked = linked.unionAll(components(exact))
+    linked = linked.where("id <> component").groupBy("id").agg(F.min("component").alias("component"))
 
     out = member.join(linked.selectExpr("id rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep")
