@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm.unit_table import WHITE, UnitTable
+from palimpsest.llm.unit_table import TextEncoder, splitter
 
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is one, else from U+0100 on in order."""
@@ -84,19 +83,13 @@ class ByteBpe:
         self.tokens = tokens
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.chars = dict(enumerate(byte_characters()))
-        # The pattern's \s is White_Space; the library's also takes U+001C to U+001F.
-        self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]"))
-        self.encode = UnitTable(self._encode_units).encode
-
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit, as little-endian unsigned 32-bit integers."""
-        ends, parts = [], []
-        for unit in units:
-            parts += self.pattern.findall(unit)
-            ends.append(len(parts))
+        encoder = TextEncoder(splitter(pattern), self._encode_parts)
+        self.encode, self.encode_many = encoder.encode, encoder.encode_many
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of each match of the pattern, as little-endian unsigned 32-bit integers."""
         mapped = [part.encode().decode("latin-1").translate(self.chars) for part in parts]
-        ids = [np.array(x, dtype="<u4").tobytes() for x in self.processor.encode(mapped, num_threads=1)]
-        return [b"".join(ids[start:end]) for start, end in zip([0, *ends], ends)]
+        return [np.array(ids, dtype="<u4").tobytes() for ids in self.processor.encode(mapped, num_threads=1)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -117,17 +110,19 @@ def bpe_of(path: str, pattern: str) -> ByteBpe:
     return _bpes[path, pattern]
 
 
-def _mapped(docs: DataFrame, text_col: str, name: str, kind: str, arrow: pa.DataType, row) -> DataFrame:
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name), f"{name} {kind}"])
-    keep = [c for c in docs.columns if c != name]
-    if text_col == name:
+def _mapped(docs: DataFrame, column: str, name: str, made) -> DataFrame:
+    """docs with one more binary column, what `made` yields for a column of a batch."""
+    if column == name:
         raise ValueError("the result needs a name of its own")
+    keep = [f for f in docs.schema.fields if f.name != name]
+    names = [f.name for f in keep]
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in keep), f"`{name}` binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(batch.schema.get_field_index(text_col))
-            made = pa.array([row(v.as_py()) for v in values], type=arrow)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=[*keep, name])
+            get = batch.schema.get_field_index
+            more = pa.array(list(made(batch.column(get(column)))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(get(n)) for n in names), more], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -135,13 +130,13 @@ def _mapped(docs: DataFrame, text_col: str, name: str, kind: str, arrow: pa.Data
 def encode_texts(docs: DataFrame, text_col: str = "text", out_col: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """docs with the ids of each text, as little-endian unsigned 32-bit integers (binary; empty for a null text)."""
     path, pattern = vocabulary or default_vocabulary()
-    return _mapped(docs, text_col, out_col, "binary", pa.binary(), lambda text: bpe_of(path, pattern).encode(text or ""))
+    return _mapped(docs, text_col, out_col, lambda texts: (ids.tobytes() for ids in bpe_of(path, pattern).encode_many(texts)))
 
 
 def decode_ids(docs: DataFrame, ids_col: str = "ids", out_col: str = "decoded", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """docs with the bytes that the ids stand for (empty for null). An id outside the vocabulary is an error."""
     path, pattern = vocabulary or default_vocabulary()
-    return _mapped(docs, ids_col, out_col, "binary", pa.binary(), lambda ids: bpe_of(path, pattern).decode(ids or b""))
+    return _mapped(docs, ids_col, out_col, lambda ids: (bpe_of(path, pattern).decode(x.as_py() or b"") for x in ids))
 
 
 def encode_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -152,8 +147,8 @@ def encode_digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -
         bpe = bpe_of(path, pattern)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
-            for value in batch.column(1):
-                ids = bpe.encode(value.as_py() or "")
+            for found in bpe.encode_many(batch.column(1)):
+                ids = found.tobytes()
                 counts.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

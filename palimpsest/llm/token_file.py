@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,9 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise, partitions
-from palimpsest.llm.unit_table import UnitTable
+from palimpsest.llm.unit_table import WHITE, TextEncoder, splitter
 
 MAGIC = b"PTF1"
+#: What the tokenizers library splits texts by before byte-level merges. Fixed value.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Matches that are encoded in one call; the library is slower with longer texts.
+CHUNK = 200
+_SPACED = re.compile(f"[{WHITE}]")
 #: Every so many entries the select structure keeps the place of one.
 SAMPLE = 256
 #: A file is closed at this many ids; a longer document has a file of its own.
@@ -150,27 +156,55 @@ class TokenFile:
         return self.ids[start:end]
 
 
+_encoders: dict[str, tuple] = {}
+
+
 def json_encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit integers, and the bytes that an id needs in a file."""
-    from tokenizers import Tokenizer
+    """A function of an array of texts that yields the ids of each, and the bytes that an id needs in a file. Made once a process."""
+    if path not in _encoders:
+        _encoders[path] = _json_encoder(path)
+    return _encoders[path]
+
+
+def _json_encoder(path: str):
+    from tokenizers import Tokenizer, pre_tokenizers
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    id_bytes = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+    told = json.loads(tokenizer.to_str())
+    before = told["pre_tokenizer"] or {}
+    if told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return lambda texts: (np.array(tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, dtype="<u4") for t in texts), id_bytes
     newline = tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
-    def encode_units(units: list[str]) -> list[bytes]:
-        # Units " x" are encoded together, a newline behind each: it becomes an id of its own, at which the ids are cut.
-        plain = [u[0] == " " and "\n" not in u and u[-1] not in " \r" for u in units]
-        joined = "\n".join([u for u, p in zip(units, plain, strict=True) if p] + [""])
-        ids = np.array(tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(ids == newline)
-        data = ids.tobytes()
-        together = (data[4 * s : 4 * e] for s, e in zip([0, *(cuts + 1).tolist()], cuts.tolist()))
-        alone = iter(tokenizer.encode_batch([u for u, p in zip(units, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(together) if p else np.array(next(alone).ids, dtype="<u4").tobytes() for p in plain]
+    # Lines of one match each need no pattern, and, as they are all new, no cache.
+    lines = Tokenizer.from_file(path)
+    lines.encode_special_tokens = True
+    lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    lines.model._resize_cache(0)
+
+    def cut(chunks: list[str]) -> Iterator[bytes]:
+        """Ids of each line: a newline behind other characters becomes an id of its own."""
+        for encoding in lines.encode_batch_fast(chunks, add_special_tokens=False):
+            ids = np.array(encoding.ids, dtype="<u4")
+            data, start = ids.tobytes(), 0
+            for end in (np.flatnonzero(ids == newline) * 4).tolist():
+                yield data[start:end]
+                start = end + 4
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        return [*cut([" " + "\n ".join(words[i : i + CHUNK]) + "\n" for i in range(0, len(words), CHUNK)])]
+
+    def encode_parts(parts: list[str]) -> list[bytes]:
+        plain = [not _SPACED.search(p, p[0] == " ") and p != " " for p in parts]
+        together = [x for x, p in zip(parts, plain, strict=True) if p]
+        joint = cut(["\n".join(together[i : i + CHUNK]) + "\n" for i in range(0, len(together), CHUNK)])
+        alone = iter(tokenizer.encode_batch([x for x, p in zip(parts, plain, strict=True) if not p], add_special_tokens=False))
+        return [next(joint) if p else np.array(next(alone).ids, dtype="<u4").tobytes() for p in plain]
 
-    return UnitTable(encode_units).encode, 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
+    return TextEncoder(splitter(BYTE_LEVEL), encode_parts, encode_words).encode_many, id_bytes
 
 
 def default_path() -> str:
@@ -186,7 +220,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, id_bytes = json_encoder(path)
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], "<u4")
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
         held: list[np.ndarray] = []
@@ -198,8 +232,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id
 
         kept = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
         for batch in batches:
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(value.as_py() or "") + end, "<u4")
+            for name, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.append(found, end)
                 if names and size + len(ids) > file_ids:
                     yield close()
                     names, held, size, seq = [], [], 0, seq + 1
