@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     root = tmp_path_factory.mktemp("spark")
-    os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), os.environ.get("PYTHONPATH", "")])
+    os.environ["PYTHONPATH"] = os.pathsep.join([str(Path(__file__).parent.parent), str(Path(__file__).parent), os.environ.get("PYTHONPATH", "")])
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
