@@ -85,7 +85,7 @@ class TextEncoder:
     """`split` cuts a unit into the pattern's matches; `encode_parts` gives the bytes of distinct matches, `encode_words` those
     of words of letters, each with a space before it."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode_parts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None, entries: int = 500_000):
+    def __init__(self, split: Callable[[str], list[str]], encode_parts: Callable[[list[str]], list[bytes]], encode_words: Callable[[list[str]], list[bytes]] | None = None, entries: int = 300_000):
         self.split = split
         self.words = Table(encode_words or (lambda keys: encode_parts([" " + k for k in keys])), entries)
         self.parts = Table(encode_parts, entries // 8)
@@ -153,8 +153,8 @@ class TextEncoder:
         return out
 
     def encode_many(self, texts: pa.Array):
-        """Ids of each text, null as empty, in order; 16 MB of text or one longer text are worked on at a time."""
-        for part in portions(texts, 16 << 20):
+        """Ids of each text, null as empty, in order; 8 MB of text or one longer text are worked on at a time."""
+        for part in portions(texts, 8 << 20):
             yield from self.encode_portion(part)
 
     def encode(self, text: str) -> bytes:
