@@ -14,8 +14,10 @@ from palimpsest.functions.language import detect
 from palimpsest.functions.rules import RULES, Rule
 from palimpsest.functions.spans import rule_spans
 from palimpsest.operators.credentials import decode_credential, decode_json, encode_binary, encode_json
+from palimpsest.operators.intervals import apart, covered, normalized_table, overlapping
 from palimpsest.operators.masking import Options, mask_frame, masked, restored, roundtrip_frame, span_frame
 
+_BY_NAME = {r.name: r for r in RULES}
 TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "text"), "benchmark": ("item_id", "text")}
 
 
@@ -81,9 +83,31 @@ def _through(encode, decode):
     return query
 
 
-NO_PHONE = Switches().disable("PHONE_NUMBER")
-_BY_NAME = {r.name: r for r in RULES}
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders that each masked text holds; more than its items if the text held some before."""
+    out = mask_frame(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size("meta.items").cast("long").alias("n_items"), F.regexp_count("masked", F.lit(r"__PII_[A-Z_]+_\d+__")).cast("long").alias("n_placeholders"))
+
+
+def _interval_query(operator, left: str, right: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        one, two = (rule_query(_BY_NAME[n], "documents")(spark, sf_dir) for n in (left, right))
+        return operator(one, two, ["doc_id"]).select("doc_id", "start", "end")
+
+    return query
+
 
+def normalized_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all rules as a table, then made disjoint."""
+    spans = None
+    for order, rule in enumerate(RULES):
+        if rule.score >= 0.5:
+            own = _read(spark, sf_dir, "documents").select("doc_id", F.explode(rule_spans(F.col("text"), rule, order)).alias("s")).select("doc_id", "s.*")
+            spans = own if spans is None else spans.unionAll(own)
+    return normalized_table(spans, ["doc_id"]).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("type_id").cast("int").alias("type_id"))
+
+
+NO_PHONE = Switches().disable("PHONE_NUMBER")
 QUERIES = {
     "mask_documents": mask_query("documents"),
     "mask_pages": mask_query("pages"),
@@ -96,6 +120,11 @@ QUERIES = {
     "credential_binary": _through(encode_binary, decode_credential),
     "language_documents": languages,
     "span_counts": span_counts,
+    "placeholders_documents": placeholders,
+    "intervals_overlapping": _interval_query(overlapping, "PHONE", "BANK"),
+    "intervals_apart": _interval_query(apart, "PHONE", "BANK"),
+    "intervals_covered": _interval_query(covered, "BANK", "PHONE"),
+    "intervals_normalized": normalized_rules,
 }
 QUERIES |= {f"rule_{r.name.lower()}": rule_query(r, "documents") for r in RULES}
 QUERIES |= {f"rule_{n.lower()}_pages": rule_query(_BY_NAME[n], "pages") for n in ("EMAIL", "PHONE", "BANK", "VCODE")}
@@ -209,5 +238,19 @@ SQL = {
     "span_counts": f"""WITH items AS (SELECT i.*, d.lang FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) i JOIN documents d ON i.doc_id = d.doc_id)
 SELECT coalesce(lang, '*') AS lang, coalesce(type, '*') AS type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM items GROUP BY ROLLUP (lang, type)""",
 }
+
+
+def _interval_sql(left: str, right: str, negated: str, meets: str) -> str:
+    one, two = (_candidates_sql("documents", [(0, _BY_NAME[n])], "doc_id", "text") for n in (left, right))
+    return f'SELECT a.doc_id, a.s AS "start", a.e AS "end" FROM ({one}) a WHERE {negated} EXISTS (SELECT 1 FROM ({two}) b WHERE a.doc_id = b.doc_id AND {meets})'
+
+
+SQL |= {
+    "placeholders_documents": f"SELECT i.doc_id, n_items, n_items + len(regexp_extract_all(d.text, '__PII_[A-Z_]+_[0-9]+__')) AS n_placeholders FROM ({_ITEMS_PER_DOC}) i JOIN documents d ON i.doc_id = d.doc_id",
+    "intervals_overlapping": _interval_sql("PHONE", "BANK", "", "a.s < b.e AND b.s < a.e"),
+    "intervals_apart": _interval_sql("PHONE", "BANK", "NOT", "a.s < b.e AND b.s < a.e"),
+    "intervals_covered": _interval_sql("BANK", "PHONE", "", "b.s <= a.s AND b.e >= a.e"),
+    "intervals_normalized": f'SELECT doc_id, s AS "start", e AS "end", CAST(list_position({list(ENTITIES)!r}, type) AS INTEGER) AS type_id FROM ({_resolved_sql("documents", Switches.all(), "doc_id")}) i',
+}
 SQL |= {f"rule_{r.name.lower()}": _rule_sql(r, "documents") for r in RULES}
 SQL |= {f"rule_{n.lower()}_pages": _rule_sql(_BY_NAME[n], "pages") for n in ("EMAIL", "PHONE", "BANK", "VCODE")}

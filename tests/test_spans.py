@@ -36,3 +36,16 @@ def test_normalized_like_plain(spark):
         assert [tuple(s) for s in r.got] == plain(own)
         assert [tuple(s) for s in r.by_start] == sorted(own, key=lambda s: (s[0], s[1], s[3]))
         assert len(r.one) == len({s[:2] for s in own})
+
+
+def test_tables_of_spans(spark):
+    from palimpsest.operators.intervals import apart, covered, normalized_table, overlapping
+
+    left = spark.createDataFrame([(1, 0, 5, "a"), (1, 5, 9, "b"), (2, 0, 3, "c"), (None, 1, 2, "d")], "k int, start int, end int, name string")
+    right = spark.createDataFrame([(1, 4, 5), (1, 5, 20), (None, 0, 9)], "k int, start int, end int")
+    assert sorted(r.name for r in overlapping(left, right, ["k"]).collect()) == ["a", "b", "d"]
+    assert sorted(r.name for r in apart(left, right, ["k"]).collect()) == ["c"]
+    assert sorted(r.name for r in covered(left, right, ["k"]).collect()) == ["b", "d"]
+    rows = [(1, 0, 5, 0.9, 0, 1, "t"), (1, 3, 9, 0.8, 1, 1, "t"), (1, 9, 10, 0.4, 2, 1, "t"), (2, 3, 9, 0.8, 1, 1, "t")]
+    table = spark.createDataFrame(rows, "k int, start int, end int, score float, ord int, type_id byte, source string")
+    assert sorted((r.k, r.start, r.end) for r in normalized_table(table, ["k"]).collect()) == [(1, 0, 5), (2, 3, 9)]
