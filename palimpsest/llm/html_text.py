@@ -37,7 +37,7 @@ ASIDES = frozenset("nav aside footer form fieldset dialog button menu label".spl
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of a class or an id that say that something is not the article.
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted promotion banner cookie cookies "
+    "ad ads adsbygoogle adslot adunit adv advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promoted promotion banner cookie cookies "
     "consent gdpr notice notices notification alert sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
     "comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations widget widgets "
     "popup modal overlay newsletter subscribe subscription signup login signin search toolbar pagination pager copyright legal disclaimer skip "
