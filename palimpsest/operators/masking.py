@@ -21,6 +21,7 @@ META = f"struct<original:string,items:array<{ITEM}>>"
 class Options:
     """What a masking plan depends on.
 
+    validators: by a rule's name, functions (matched text, score) -> score; they may change a score, and drop nothing else.
     recognizers: further columns of spans, functions of (text, language); they come after the rules.
     addresses: fuse addresses of Chinese texts; fallback: keep private addresses that fusion makes nothing of.
     """
@@ -28,13 +29,18 @@ class Options:
     rules: tuple[Rule, ...] = RULES
     switches: Switches = field(default_factory=Switches)
     min_score: float = 0.5
+    validators: dict[str, Callable[[str, float], float]] = field(default_factory=dict)
     recognizers: tuple[Callable[[Column, Column], Column], ...] = ()
     addresses: bool = False
     fallback: bool = True
 
     def plain(self) -> bool:
         """Whether rules that Spark runs itself are all there is."""
-        return not self.recognizers and not self.addresses and all(native(r) for r in self.rules)
+        return not self.recognizers and not self.addresses and not self.scanned()
+
+    def scanned(self) -> list[Rule]:
+        """Rules that need a scan in Python."""
+        return [r for r in self.rules if r.name in self.validators or not native(r)]
 
 
 def type_name(type_id: Column) -> Column:
@@ -58,12 +64,12 @@ def detected(text: Column, options: Options | None = None, found: Column | None
 def with_candidates(df: DataFrame, name: str, text_col: str, options: Options, language_col: str | None = None) -> DataFrame:
     """df with the spans of all recognizers, after fusion. Only what is no built-in function runs in Python."""
     text = F.col(text_col)
-    found = candidates(text, tuple(r for r in options.rules if native(r)), options.min_score)
-    slow = [r for r in options.rules if not native(r)]
+    slow = options.scanned()
+    found = candidates(text, tuple(r for r in options.rules if r not in slow), options.min_score)
     if slow:
         from palimpsest.operators.scanning import scan_rules
 
-        found = F.concat(found, scan_rules(slow)(text))
+        found = F.concat(found, scan_rules(slow, options.validators)(text))
     if not options.recognizers and not options.addresses:
         return df.withColumn(name, found)
     spoken = f"{name}_language"

@@ -100,6 +100,13 @@ def test_further_rules(spark):
     assert mask_frame(df, options=Options(rules=merged((last,)))).first().masked == "see T-__PII_PAYMENT_1__ or XT-43"
 
 
+def test_validators_score_anew(spark):
+    options = Options(validators={"BANK": lambda text, score: 0.95 if text.endswith("2") else 0.1})
+    df = spark.createDataFrame([(1, "4242424242424242"), (2, "4242424242424241")], "i int, text string")
+    got = {r.i: r.masked for r in mask_frame(df, options=options).collect()}
+    assert got == {1: "__PII_BANK_NUMBER_1__", 2: "__PII_PHONE_NUMBER_1__"}
+
+
 def test_bad_patterns():
     for pattern in (r"a\bc", r"a\Bc", r"[\S]", r"[a\D]"):
         with pytest.raises(PatternError):
