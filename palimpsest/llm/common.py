@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null doc_id inside an operator: all rows without an id are one document, the last.
 NO_ID = 2**63 - 1
@@ -35,10 +36,19 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    schema = df.schema
-    for field in schema.fields:  # Parquet has no required columns on the way back
-        field.nullable = True
-    return spark.read.schema(schema).parquet(path)
+    # Parquet has no required columns on the way back.
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialise() that no plan will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,6 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     maps = []
     for _ in range(max_rounds):
         if cur.isEmpty():
+            discard(cur)
             break
         both = cur.select("a", "b").unionAll(cur.selectExpr("b a", "a b"))
         parent = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).selectExpr("id", "least(id, m) parent"), "parents")
@@ -80,7 +91,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .selectExpr("least(pa, pb) a", "greatest(pa, pb) b")
             .distinct()
         )
-        cur = materialise(moved, "edges")
+        moved = materialise(moved, "edges")
+        discard(cur)
+        cur = moved
     else:
         raise RuntimeError("components: no end after the given rounds")
     if not maps:

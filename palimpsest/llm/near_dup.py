@@ -3,7 +3,8 @@
 A document's set holds hashes of its distinct word shingles. Documents with equal sets collapse to the smallest id, so copies
 cost nothing further. Representatives get minwise tokens and a sketch (256 one-byte minwise values). In each of `trees`
 independent trees a path starts with one minwise token; a node that still holds more than `node_limit` documents branches
-on one more token, chosen by a hash of the path, until all nodes are small. A pair of similarity s stays together over a
+on one more token, chosen by a hash of the path, until all nodes are small; what no token divides is compared with its
+smallest member. A pair of similarity s stays together over a
 step with probability s and meets in at least one of the trees with probability 1 - (1 - s^steps)^trees: over 0.9999 for
 s = 0.85 at two steps of ten trees.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import components, materialise, whole_groups
+from palimpsest.llm.common import components, discard, materialise, whole_groups
 from palimpsest.llm.words import Words, mixed, portions
 
 TOKENS, SKETCH = 32, 256
@@ -207,17 +208,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     found = materialise(features(texts, shingle), "shingles")
 
     real = found.where("n > 0 AND id IS NOT NULL")
-    classes = real.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
+    # Written first: a join with the aggregate itself could not be dealt anew where one class has a great share of all rows.
+    classes = materialise(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "class-names")
     member = found.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.expr("n > 0"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
     member = materialise(member, "classes")
     reps = real.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
     reps = reps.dropDuplicates(["h1", "h2", "n", "id"])
     reps = materialise(reps.select("id", "tokens", "sketch"), "representatives")
+    discard(found, classes)
 
-    rows, small = reps.select("id", "tokens").mapInArrow(_roots(trees), "id long, node long"), None
+    rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees), "id long, node long"), None, [reps]
     for _ in range(TOKENS):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = materialise(rows.join(sizes, "node"), "nodes")
+        used.append(sized)
         done = sized.where(F.col("size") <= node_limit).select("id", "node")
         small = done if small is None else small.unionAll(done)
         large = sized.where(F.col("size") > node_limit)
@@ -239,13 +243,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     whole_ones = clusters.join(cluster_sizes.where(F.col("size") <= cluster_limit).select("component"), "component", "left_semi")
     near = texts.join(whole_ones, "id").select("component", "id", "text")
     exact = near.repartition("component").sortWithinPartitions("component", "id").mapInArrow(_exact("component", shingle, share), "a long, b long")
-    linked = materialise(exact, "links").selectExpr("a id", "b component")
+    linked = materialise(exact, "links").selectExpr("a id", "b component")  # read again when the result is
     over = clusters.join(cluster_sizes.where(F.col("size") > cluster_limit).select("component"), "component", "left_semi").select("id")
     over = materialise(over, "large-clusters")
     if not over.isEmpty():
         near = small.join(over, "id", "left_semi").join(texts, "id").select("node", "id", "text")
         exact = near.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact("node", shingle, share), "a long, b long")
         linked = linked.unionAll(components(exact))
+    discard(over, clusters, *used)
     linked = linked.where("id <> component").groupBy("id").agg(F.min("component").alias("component"))
 
     out = member.join(linked.selectExpr("id rep", "component"), "rep", "left")
