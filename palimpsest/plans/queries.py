@@ -16,13 +16,15 @@ from palimpsest.functions.spans import rule_spans
 from palimpsest.operators.credentials import decode_credential, decode_json, encode_binary, encode_json
 from palimpsest.operators.intervals import apart, covered, normalized_table, overlapping
 from palimpsest.operators.masking import Options, mask_frame, masked, restored, roundtrip_frame, span_frame
+from palimpsest.sources.texts import spread
 
 _BY_NAME = {r.name: r for r in RULES}
 TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "html"), "conversations": ("conv_id", "text"), "benchmark": ("item_id", "text")}
 
 
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def _read(spark: SparkSession, sf_dir: str, table: str, *more: str) -> DataFrame:
+    """Key, text and further columns of a table; nothing else is scanned."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*TABLES[table], *more))
 
 
 def rule_query(rule: Rule, table: str):
@@ -50,7 +52,7 @@ def mask_query(table: str, switches: Switches | None = None):
     key, text = TABLES[table]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = _read(spark, sf_dir, table).select(key, F.col(text).alias("text"), F.col("turn") if table == "conversations" else F.lit(0).alias("turn"))
+        df = _read(spark, sf_dir, table, *(["turn"] if table == "conversations" else [])).select(key, F.col(text).alias("text"), F.col("turn") if table == "conversations" else F.lit(0).alias("turn"))
         out = df.withColumn("m", masked(F.col("text"), Options(switches=switches or Switches())))
         return out.select(key, F.col("turn").cast("long").alias("turn"), F.col("m.masked").alias("masked"), F.size("m.items").cast("long").alias("n_items"))
 
@@ -59,7 +61,7 @@ def mask_query(table: str, switches: Switches | None = None):
 
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked items by kind and language, with subtotals."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _read(spark, sf_dir, "documents", "lang")
     spans = span_frame(docs, ["doc_id", "lang"])
     return spans.rollup("lang", "type").agg(F.count(F.lit(1)).alias("n_spans"), F.countDistinct("doc_id").alias("n_docs")).select(F.coalesce("lang", F.lit("*")).alias("lang"), F.coalesce("type", F.lit("*")).alias("type"), "n_spans", "n_docs")
 

@@ -20,6 +20,12 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. A table that comes in fewer splits than there are cores is dealt anew; a larger one has no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_batch(spark: SparkSession, path: str) -> DataFrame:
     """(item, text, language, maskMeta) of JSON arrays of such objects; item is the place in its array."""
     items = "array<struct<text:string,language:string,maskMeta:string>>"
