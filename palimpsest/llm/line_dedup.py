@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NO_ID, fresh, materialise, partitions
+from palimpsest.llm.common import NO_ID, discard, fresh, materialise, partitions
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -104,6 +104,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone = seen if gone is None else gone.unionAll(seen)
     finally:
         index.drop()
+    discard(rows)
     gone = gone.groupBy("id", "mark").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(g := fresh(docs, "line_gone")))
 
