@@ -81,6 +81,14 @@ def test_pages_without_article():
     assert main_text(page).split("\n")[1] == "Short one." and "About" not in main_text(page) and "Home" not in main_text(page)
 
 
+def test_broken_markup():
+    assert main_text("<article><p class=x>one <a href=\"two>three</a> four") == "one three four"
+    assert main_text("<article><p>a < b <3 & c &lt;p&gt;") == "a < b <3 & c <p>"
+    assert main_text("<article><p title='a > b'>x</p></nav></p>y</article>z") == "x\ny"
+    many = "<article><p>" + "<a href=\"" * 3000 + "end"
+    assert main_text(many).startswith("") and len(main_text(many)) < len(many)
+
+
 def test_tree_fits_its_table():
     tree = default_tree()
     assert all(tree.is_text(row[:-1]) == bool(row[-1]) for row in labelled_rows())
