@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import components, materialise, whole_groups
+from palimpsest.llm.common import components, discard, materialise, whole_groups
 from palimpsest.llm.words import mixed
 
 #: Rows of a block. Two blocks of a thousand components take 32 MB.
@@ -169,7 +169,9 @@ def similar_pairs(classes: DataFrame, cosine: float, passes: int, window: int, b
     low, high = F.least("block", "other"), F.greatest("block", "other")
     other = other.select("id", "vector", F.xxhash64("prefix", low, high, F.lit("two")).alias("cell"), F.when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
     cells = own.unionAll(other).repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_compare(cosine), "a long, b long")
-    return near.unionAll(cells).distinct()
+    pairs = materialise(near.unionAll(cells).distinct(), "pairs")
+    discard(rows)
+    return pairs
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, passes: int | None = None, window: int = 64, bits: int = 48, prefix_bits: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -187,7 +189,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, passes: int | None =
         together = (1 - np.arccos(cosine) / np.pi) ** prefix_bits
         passes = int(np.ceil(np.log(1e-4) / np.log1p(-together)))
     member = good.join(classes, "vector").select("id", "rep", "copies").distinct()
-    pairs = materialise(similar_pairs(classes.select(F.col("rep").alias("id"), "vector"), cosine, passes, window, bits, prefix_bits), "pairs")
+    pairs = similar_pairs(classes.select(F.col("rep").alias("id"), "vector"), cosine, passes, window, bits, prefix_bits)
 
     copies = classes.select("rep", "copies")
     both = pairs.unionAll(pairs.selectExpr("b a", "a b"))
