@@ -24,31 +24,37 @@ from palimpsest.llm.decontaminate import contaminated
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.quality import fit, score
+from palimpsest.sources.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     kept = dedup_lines(docs.select(*COLUMNS))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     held = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.select(*COLUMNS).join(held.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return encode_digests(docs)
 
 
