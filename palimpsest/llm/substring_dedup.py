@@ -15,8 +15,6 @@ rows without doc_id are documents like others; extra columns are left out by the
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
