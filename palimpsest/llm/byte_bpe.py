@@ -25,6 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.unit_table import TextEncoder, splitter
 
+#: Encoded matches that a process keeps in each of two generations.
+TABLE = 150_000
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is one, else from U+0100 on in order."""
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -83,7 +87,7 @@ class ByteBpe:
         self.tokens = tokens
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(tokens))
         self.chars = dict(enumerate(byte_characters()))
-        encoder = TextEncoder(splitter(pattern), self._encode_parts)
+        encoder = TextEncoder(splitter(pattern), self._encode_parts, entries=TABLE)
         self.encode, self.encode_many = encoder.encode, encoder.encode_many
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
