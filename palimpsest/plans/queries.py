@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import ENTITIES, TYPE_ID, Switches
-from palimpsest.functions.language import detect
+from palimpsest.functions.language import TRADITIONAL, detect
 from palimpsest.functions.rules import RULES, Rule
 from palimpsest.functions.spans import rule_spans
 from palimpsest.operators.credentials import decode_credential, decode_json, encode_binary, encode_json
@@ -221,9 +221,9 @@ FROM (SELECT doc_id,
     len(regexp_extract_all(t, '[\p{Hiragana}\p{Katakana}\x{FF66}-\x{FF9D}]')) AS kana,
     len(regexp_extract_all(t, '\p{Hangul}')) AS hangul, len(regexp_extract_all(t, '\p{Han}')) AS han,
     len(regexp_extract_all(regexp_replace(t, '[\p{Hiragana}\p{Katakana}\x{FF66}-\x{FF9D}\p{Hangul}\p{Han}]', '', 'g'), '\p{L}')) AS other,
-    len(regexp_extract_all(t, '[個們這裡與從對開關會學點國時間長車馬鳥魚門東風雲龍區縣灣臺]')) AS traditional
+    len(regexp_extract_all(t, '[TRADITIONAL]')) AS traditional
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
-"""
+""".replace("TRADITIONAL", TRADITIONAL)
 _ITEMS_PER_DOC = f"SELECT t.doc_id, coalesce(n, 0) AS n_items, true AS same FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) GROUP BY doc_id) i ON t.doc_id = i.doc_id"
 
 SQL = {
