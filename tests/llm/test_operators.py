@@ -8,18 +8,19 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import DOCS, odd_documents, words_of, write_tables
 from tokenizers import Tokenizer
 
-from palimpsest.llm.byte_bpe import decode_ids, encode_texts, op10_byte_bpe
+from palimpsest.llm.byte_bpe import bpe_of, decode_ids, default_vocabulary, encode_texts, op10_byte_bpe
 from palimpsest.llm.decontaminate import contaminated, tiles
 from palimpsest.llm.embedding_dup import near_vectors, op9_embedding_dedup
 from palimpsest.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
 from palimpsest.llm.near_dup import near_duplicates, op3_minhash_dedup
 from palimpsest.llm.substring_dedup import dedup_substrings, op7_substring_dedup
-from palimpsest.llm.token_file import EliasFano, TokenFile, export_files, op8_token_file, read_token_files, write_token_files
+from palimpsest.llm.token_file import EliasFano, TokenFile, export_files, json_encoder, op8_token_file, read_token_files, write_token_files
 
 
 @pytest.fixture(scope="module")
@@ -205,6 +206,24 @@ def test_elias_fano():
         dense[10**4]
 
 
+def test_encoders_on_random_texts(encoders):
+    """White space of every kind, marks, scripts, controls; texts alone and many at once."""
+    rng = np.random.default_rng(9)
+    spaces = [9, 10, 13, 32, 32, 32, 0x1C, 0x1D, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000]
+    others = [0x200B, 0x200D, 0xFEFF, 0x7F, 0, 0xE9, 0x65E5, 0x1F64F, 0x663, *map(ord, "ab'streLL12!?.,-")]
+    letters = [chr(x) for x in spaces + others]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)] + ["", None, " <|endoftext|> x"]
+    bpe = bpe_of(*default_vocabulary())
+    encode, _ = json_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    array = pa.array(texts, pa.string())
+    for text, ids, others_ids in zip(texts, bpe.encode_many(array), encode(array), strict=True):
+        assert ids.tolist() == encoders[1].encode_ordinary(text or ""), repr(text)
+        assert others_ids.tolist() == encoders[0].encode(text or "", add_special_tokens=False).ids, repr(text)
+        assert bpe.encode(text or "") == ids.tobytes() and bpe.decode(ids.tobytes()) == (text or "").encode()
+    part = array.slice(7, 50)
+    assert [x.tolist() for x in bpe.encode_many(part)] == [encoders[1].encode_ordinary(t or "") for t in part.to_pylist()]
+
+
 def test_byte_bpe(spark, rows, folder, encoders):
     want = {}
     for r in rows:
