@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from palimpsest.functions.language import detect, is_chinese
 from palimpsest.operators.calls import call_frame
 from palimpsest.operators.credentials import decode, decode_credential, decode_json, encode_binary, encode_json, pack, unpack
 from palimpsest.operators.masking import mask_frame
-from palimpsest.sources.texts import as_bool, guarded, parse_key_file, read_below, read_json_batch, read_whole_texts, setting, write_json_batch
+from palimpsest.sources.shipping import ship
+from palimpsest.sources.texts import as_bool, guarded, parse_key_file, read_below, read_json_batch, read_whole_texts, setting, spread, write_json_batch
 from palimpsest.streaming.masking import mask_stream, start_masking
 
 
@@ -64,6 +66,25 @@ def test_sources(spark, tmp_path, monkeypatch):
             read_below(str(tmp_path), path)
 
 
+def test_small_tables_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(10, numPartitions=cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
+def test_shipped_modules_serve_the_workers(spark):
+    ship(spark)
+    ship(spark)
+
+    def where(batches):
+        import sys
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"path": [" ".join(sys.path)] * batch.num_rows})
+
+    assert "palimpsest-modules.zip" in spark.range(1).mapInArrow(where, "path string").first().path
+
+
 def test_call(spark):
     df = spark.createDataFrame([(1, "write to a@b.cd"), (2, None)], "i int, text string")
     got = {r.i: r for r in call_frame(df, lambda model, prompt, temperature: f"{model}: {prompt}", "m").collect()}
