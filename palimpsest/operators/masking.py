@@ -150,7 +150,8 @@ def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None =
 def span_frame(df: DataFrame, keys: list[str], text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
     """Keys and one row per item: id, type, start, end, score and the text itself."""
     out = _masking(df.select(*keys, F.col(text_col).alias("span_source"), *([language_col] if language_col else [])), "span_source", options, language_col)
-    rows = out.select(*keys, "span_source", F.explode("masking.items").alias("item"))
+    # An inner explode would have the optimizer test the items' size first, and so find all spans twice.
+    rows = out.select(*keys, "span_source", F.explode_outer("masking.items").alias("item")).where("item IS NOT NULL")
     return rows.select(*keys, "item.id", "item.type", "item.start", "item.end", "item.score", slice_bytes(F.col("span_source"), F.col("item.start"), F.col("item.end") - F.col("item.start")).alias("span_text"))
 
 

@@ -32,7 +32,7 @@ def rule_query(rule: Rule, table: str):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _read(spark, sf_dir, table).select(key, text)
-        spans = df.select(key, F.explode(rule_spans(F.col(text), rule, 0)).alias("s"))
+        spans = df.select(key, F.explode_outer(rule_spans(F.col(text), rule, 0)).alias("s")).where("s IS NOT NULL")
         return spans.select(key, F.lit(rule.kind).alias("type"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"), F.round(F.col("s.score").cast("double"), 2).alias("score"))
 
     return query
@@ -104,7 +104,7 @@ def normalized_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = None
     for order, rule in enumerate(RULES):
         if rule.score >= 0.5:
-            own = _read(spark, sf_dir, "documents").select("doc_id", F.explode(rule_spans(F.col("text"), rule, order)).alias("s")).select("doc_id", "s.*")
+            own = _read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(rule_spans(F.col("text"), rule, order)).alias("s")).where("s IS NOT NULL").select("doc_id", "s.*")
             spans = own if spans is None else spans.unionAll(own)
     return normalized_table(spans, ["doc_id"]).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("type_id").cast("int").alias("type_id"))
 
