@@ -3,15 +3,19 @@
 A document's set holds hashes of its distinct word shingles. Documents with equal sets collapse to the smallest id, so copies
 cost nothing further. Representatives get minwise tokens and a sketch (256 one-byte minwise values). In each of `trees`
 independent trees a path starts with one minwise token; a node that still holds more than `node_limit` documents branches
-on one more token, chosen by a hash of the path, until all nodes are small; what no token divides is compared with its
-smallest member. A pair of similarity s stays together over a
+on one more token, chosen by a hash of the path, until all nodes are small; what no token divides is compared whole, block
+against block. A pair of similarity s stays together over a
 step with probability s and meets in at least one of the trees with probability 1 - (1 - s^steps)^trees: over 0.9999 for
 s = 0.85 at two steps of ten trees.
 
 Small nodes are compared exhaustively by sketch, 4.5 standard deviations below the threshold; a node yields a spanning forest
 of its look-alikes, never its pairs. Connected components of all forests are clusters: no link leaves a cluster. Each
 cluster's full sets are then compared, one against all, in one task, and links are decided on exact counts. Clusters
-beyond `cluster_limit` documents are compared node by node instead, and their links joined.
+beyond `cluster_limit` documents are compared node by node instead, and their documents of crowded nodes block against block;
+their links are joined.
+
+Block against block: each pair of blocks of about `node_limit` documents is a task of its own. Pairs that links found before
+already join need no comparison: blocks of one such label are not laid against each other.
 
 Defined results: texts without words and rows without doc_id link with nothing (the latter get a null component and stay);
 repeated rows share their result, and rows that share a doc_id but not their text are each judged by their text; a document with fewer words than a shingle has its whole sequence as the only one;
@@ -135,11 +139,19 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _alike(least: int):
-    """Per node: (a, b) for each document that has a smaller look-alike, b the smallest of those it reaches."""
+def _split(table: pa.Table, s: int, e: int) -> int:
+    """How many rows of a group are the first block's: those are compared with the other rows only. 0 if all are compared with all."""
+    if "side" not in table.column_names:
+        return 0
+    first = int((table.column("side").slice(s, e - s).to_numpy() == 0).sum())
+    return first if first < e - s else 0
+
+
+def _alike(least: int, key: str = "node"):
+    """Per group: (a, b) for each document that has an earlier look-alike, b the first of those it reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, "node"):
+        for table, bounds in whole_groups(batches, key):
             ids = table.column("id").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             sizes = np.diff(bounds)
@@ -147,10 +159,11 @@ def _alike(least: int):
             hit = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= least]
             a, b = [ids[hit + 1]], [ids[hit]]
             for s, e in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
-                forest, own = Forest(e - s), sketch[s:e]
-                for i in range(e - s - 1):
-                    for j in np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least).tolist():
-                        forest.link(i, i + 1 + j)
+                forest, own, split = Forest(e - s), sketch[s:e], _split(table, s, e)
+                for i in range(split or e - s - 1):
+                    after = split or i + 1
+                    for j in np.flatnonzero((own[after:] == own[i]).sum(axis=1) >= least).tolist():
+                        forest.link(i, after + j)
                 roots = np.array([forest.root(i) for i in range(e - s)])
                 moved = np.flatnonzero(roots != np.arange(e - s))
                 a.append(ids[s + moved])
@@ -161,7 +174,7 @@ def _alike(least: int):
 
 
 def _exact(key: str, size: int, share: tuple[int, int]):
-    """Per group: (a, b) for each document whose full set links it, directly or not, with a smaller id b of the group."""
+    """Per group: (a, b) for each document whose full set links it, directly or not, with an earlier row's id b of the group."""
     part, whole = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +188,18 @@ def _exact(key: str, size: int, share: tuple[int, int]):
                 sets = [x for part in portions(own) for x in shingle_sets(part, size)]
                 lengths = np.array([len(x) for x in sets])
                 codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-                ends = np.cumsum(lengths)
+                ends = np.concatenate(([0], np.cumsum(lengths)))
                 flag = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
-                forest = Forest(e - s)
-                for i in range(e - s - 1):
-                    mine = codes[ends[i] - lengths[i] : ends[i]]
+                forest, split = Forest(e - s), _split(table, s, e)
+                for i in range(split or e - s - 1):
+                    after = split or i + 1
+                    mine = codes[ends[i] : ends[i + 1]]
                     flag[mine] = 1
-                    both = np.add.reduceat(flag[codes[ends[i] :]], ends[i:-1] - ends[i])
+                    both = np.add.reduceat(flag[codes[ends[after] :]], ends[after:-1] - ends[after])
                     flag[mine] = 0
-                    together = lengths[i] + lengths[i + 1 :] - both
+                    together = lengths[i] + lengths[after:] - both
                     for j in np.flatnonzero(whole * both >= part * together).tolist():
-                        forest.link(i, i + 1 + j)
+                        forest.link(i, after + j)
                 for i in range(e - s):
                     if (r := forest.root(i)) != i:
                         a.append(ids[s + i])
@@ -195,6 +209,26 @@ def _exact(key: str, size: int, share: tuple[int, int]):
     return run
 
 
+def _in_blocks(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """rows: (id, group, label). (id, pair, side) for each pair of blocks of a group that must be compared, and the table behind it.
+
+    A label with more than half a block has blocks of its own, which are not laid against each other; the others are dealt by label.
+    """
+    labels = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
+    own = F.col("size") > limit / 2
+    several = labels.groupBy("group").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(own, 0).otherwise(F.col("size"))).alias("rest")).where("labels > 1")
+    named = labels.join(several, "group").select("group", "label", own.alias("own"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / limit).alias("n"))
+    one_of = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
+    only = F.when(F.col("own"), F.col("label"))
+    dealt = rows.join(named, ["group", "label"]).select("id", "group", only.alias("only"), F.xxhash64("own", F.coalesce(only, F.lit(0)), F.pmod(one_of, F.col("n"))).alias("block"))
+    dealt = materialise(dealt, "blocks")
+    blocks = dealt.select("group", "block", "only").distinct()
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.group = y.group AND x.block <= y.block AND NOT coalesce(x.only = y.only, false)"))
+    pairs = pairs.selectExpr("x.group", "x.block a", "y.block b", "xxhash64(x.group, x.block, y.block) pair")
+    sides = pairs.selectExpr("group", "a block", "pair", "0 side").unionAll(pairs.where("a < b").selectExpr("group", "b block", "pair", "1 side"))
+    return dealt.join(sides, ["group", "block"]).select("id", "pair", "side"), dealt
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int = 10, node_limit: int = 2048, cluster_limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
@@ -218,6 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     discard(found, classes)
 
     rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees), "id long, node long"), None, [reps]
+    crowded = None
     for _ in range(TOKENS):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = materialise(rows.join(sizes, "node"), "nodes")
@@ -228,7 +263,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
         if large.isEmpty():
             break
         rows = large.select("id", "node").join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch, "id long, node long")
-    else:  # equal on every chosen token: look-alikes of their smallest
+    else:  # what the tokens do not divide: first links by the smallest of each node, then all pairs that these leave open
+        crowded = large.select("id", "node").distinct()
         firsts = large.groupBy("node").agg(F.min("id").alias("b"))
         small = small.unionAll(large.join(firsts, "node").selectExpr("id", "xxhash64(id, b) node")).unionAll(large.join(firsts, "node").selectExpr("b id", "xxhash64(id, b) node"))
 
@@ -237,6 +273,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     least = int(np.ceil(SKETCH * (s - 4.5 * np.sqrt(s * (1 - s) / SKETCH))))
     sketched = small.join(reps.select("id", "sketch"), "id").select("id", "node", "sketch")
     look = sketched.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_alike(least), "a long, b long")
+    if crowded is not None:
+        look = materialise(look, "look-alikes")
+        labels = components(look).withColumnRenamed("component", "label")
+        open_, dealt = _in_blocks(crowded.join(labels, "id", "left").selectExpr("id", "node group", "coalesce(label, id) label"), node_limit)
+        used += [look, dealt]
+        open_ = open_.join(reps.select("id", "sketch"), "id").repartition("pair").sortWithinPartitions("pair", "side", "id")
+        look = look.unionAll(open_.mapInArrow(_alike(least, "pair"), "a long, b long"))
     clusters = materialise(components(look), "clusters")
 
     cluster_sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -249,6 +292,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     if not over.isEmpty():
         near = small.join(over, "id", "left_semi").join(texts, "id").select("node", "id", "text")
         exact = near.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact("node", shingle, share), "a long, b long")
+        if crowded is not None:
+            exact = materialise(exact, "links-of-nodes")
+            labels = components(exact).withColumnRenamed("component", "label")
+            members = clusters.join(over, "id", "left_semi").join(crowded.select("id").distinct(), "id", "left_semi")
+            open_, dealt = _in_blocks(members.join(labels, "id", "left").selectExpr("id", "component group", "coalesce(label, id) label"), node_limit)
+            used += [exact, dealt]
+            open_ = open_.join(texts, "id").repartition("pair").sortWithinPartitions("pair", "side", "id")
+            exact = exact.unionAll(open_.mapInArrow(_exact("pair", shingle, share), "a long, b long"))
         linked = linked.unionAll(components(exact))
     discard(over, clusters, *used)
     linked = linked.where("id <> component").groupBy("id").agg(F.min("component").alias("component"))

@@ -90,6 +90,31 @@ def test_near_duplicates_with_small_limits(spark, rows):
     assert got == near_by_force(texts, 5, 80, 100)
 
 
+def hot_template(n, distinct, seed):
+    """Texts that share a template, each with words of its own, and for each third one a near copy just above 0.85, while others are just below."""
+    rng = np.random.default_rng(seed)
+    template = [f"t{k}" for k in range(200)]
+    texts = []
+    for i in range(n):
+        own = [f"d{i}x{k}" for k in range(distinct)]
+        texts.append((i, " ".join(template + own)))
+        if i % 3 == 0:
+            for k in range(int(rng.integers(1, 5)), distinct, 4):
+                own[k] = f"e{i}y{k}"
+            texts.append((n + i, " ".join(template + own)))
+    return texts
+
+
+def test_near_duplicates_under_a_hot_template(spark):
+    """Pairs within a group of look-alikes below the threshold that no token divides: all nodes crowded, one large cluster."""
+    texts = hot_template(400, 21, 1)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, share=(85, 100), node_limit=16, cluster_limit=64).collect()}
+    want = near_by_force(texts, 3, 85, 100)
+    assert sum(not k for *_, k in want.values()) == 134
+    assert got == want
+
+
 def test_substrings(spark, rows, folder):
     window = 35
     counts = Counter()
