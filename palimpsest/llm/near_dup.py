@@ -3,10 +3,10 @@
 A document's set holds hashes of its distinct word shingles. Documents with equal sets collapse to the smallest id, so copies
 cost nothing further. Representatives get minwise tokens and a sketch (256 one-byte minwise values). In each of `trees`
 independent trees a path starts with one minwise token; a node that still holds more than `node_limit` documents branches
-on one more token, chosen by a hash of the path, until all nodes are small; what no token divides is compared whole, block
-against block. A pair of similarity s stays together over a
-step with probability s and meets in at least one of the trees with probability 1 - (1 - s^steps)^trees: over 0.9999 for
-s = 0.85 at two steps of ten trees.
+on one more token, up to `steps` in all; what is still large then is compared whole, block against block. No token serves
+twice, in one path or in two trees, so a pair of similarity s stays together over a step with probability s whatever happened
+elsewhere, and misses every tree with probability (1 - s^steps)^trees at most. No path is longer than `steps`, however large the
+table or a group of look-alikes: `trees` follows from the threshold and `steps`, so that under `MISS` of pairs at the threshold are missed.
 
 Small nodes are compared exhaustively by sketch, 4.5 standard deviations below the threshold; a node yields a spanning forest
 of its look-alikes, never its pairs. Connected components of all forests are clusters: no link leaves a cluster. Each
@@ -34,15 +34,20 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import components, discard, materialise, whole_groups
 from palimpsest.llm.words import Words, mixed, portions
 
-TOKENS, SKETCH = 32, 256
+SKETCH = 256
+#: Share of pairs at the threshold that may meet in no tree.
+MISS = 1e-4
 
 
-def _constants() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mixed(np.arange(1, 2 * (TOKENS + SKETCH) + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
     return (seeds[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[1::2] >> np.uint64(32)).astype(np.uint32)
 
 
-_A, _B = _constants()
+def trees_for(similarity: float, steps: int) -> int:
+    """How many trees of paths of at most `steps` tokens miss under MISS of the pairs of this similarity."""
+    met = similarity**steps
+    return 1 if met >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-met)))
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> list[np.ndarray]:
@@ -63,30 +68,32 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> list[np.ndarra
     return out
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
+def minwise(shingles: np.ndarray, functions: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The smallest value of each of the hash functions over a set."""
+    by, plus = functions
     h = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(TOKENS + SKETCH, 0xFFFFFFFF, np.uint32)
+    out = np.full(len(by), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(h), 512):
-        values = _A[:, None] * h[None, at : at + 512]
-        values += _B[:, None]
+        values = by[:, None] * h[None, at : at + 512]
+        values += plus[:, None]
         np.minimum(out, values.min(axis=1), out=out)
     return out
 
 
-def features(docs: DataFrame, size: int) -> DataFrame:
+def features(docs: DataFrame, size: int, n_tokens: int) -> DataFrame:
     """(id, n, h1, h2, tokens, sketch) of each row: size and 128-bit hash of its set, and its minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        functions = _constants(n_tokens + SKETCH)
         for batch in batches:
             counts, first, second, tokens, sketches = [], [], [], [], []
             for s in (s for part in portions(batch.column(1)) for s in shingle_sets(part, size)):
                 counts.append(len(s))
                 first.append(int(mixed(s).sum(dtype=np.uint64)))
                 second.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                m = minwise(s)
-                tokens.append(m[:TOKENS].tobytes())
-                low = m[TOKENS:]
+                m = minwise(s, functions)
+                tokens.append(m[:n_tokens].tobytes())
+                low = m[n_tokens:]
                 sketches.append((low ^ low >> np.uint32(15)).astype(np.uint8).tobytes())
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (first, second)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *longs, pa.array(tokens, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "n", "h1", "h2", "tokens", "sketch"])
@@ -94,30 +101,34 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, tokens binary, sketch binary")
 
 
-def _roots(trees: int):
+def _roots(trees: int, steps: int):
+    """(id, tree, node) of each document: the first step of each tree."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            ids = np.repeat(batch.column(0).to_numpy(), trees)
-            tree = np.tile(np.arange(trees, dtype=np.uint64), len(tokens))
-            node = mixed(tokens[:, np.arange(trees) % TOKENS].astype(np.uint64).ravel() | tree << np.uint64(32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(node.view(np.int64))], names=["id", "node"])
+            tokens = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, trees * steps)
+            tree = np.tile(np.arange(trees), len(tokens))
+            node = mixed(tokens[:, ::steps].astype(np.uint64).ravel() | tree.astype(np.uint64) << np.uint64(32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), trees)), pa.array(tree, pa.int32()), pa.array(node.view(np.int64))], names=["id", "tree", "node"])
 
     return run
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Children of nodes: the token is chosen by the path, the same for all of a node."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node = batch.column(1).to_numpy().view(np.uint64)
-        tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-        chosen = (mixed(node ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(TOKENS)).astype(np.int64)
-        child = mixed(node + mixed(tokens[np.arange(len(node)), chosen].astype(np.uint64) + np.uint64(1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(child.view(np.int64))], names=["id", "node"])
+def _branch(trees: int, steps: int, step: int):
+    """Children of nodes of (id, tree, node, tokens): each step of a tree has a token of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            tokens = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, trees * steps)
+            child = mixed(node + mixed(tokens[np.arange(len(node)), tree * steps + step].astype(np.uint64) + np.uint64(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(child.view(np.int64))], names=["id", "tree", "node"])
+
+    return run
 
 
 class Forest:
@@ -229,17 +240,16 @@ def _in_blocks(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return dealt.join(sides, ["group", "block"]).select("id", "pair", "side"), dealt
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int = 10, node_limit: int = 2048, cluster_limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int | None = None, node_limit: int = 2048, cluster_limit: int = 4096, steps: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Documents link if share[1] * |A & B| >= share[0] * |A | B|. component_id is the smallest id that links reach; kept says
     whether it is the document's own.
     """
     part, whole = share
-    if trees > TOKENS:
-        raise ValueError(f"at most {TOKENS} trees")
+    trees = trees or trees_for(part / whole, steps)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = materialise(features(texts, shingle), "shingles")
+    found = materialise(features(texts, shingle, trees * steps), "shingles")
 
     real = found.where("n > 0 AND id IS NOT NULL")
     # Written first: a join with the aggregate itself could not be dealt anew where one class has a great share of all rows.
@@ -251,9 +261,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     reps = materialise(reps.select("id", "tokens", "sketch"), "representatives")
     discard(found, classes)
 
-    rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees), "id long, node long"), None, [reps]
+    rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees, steps), "id long, tree int, node long"), None, [reps]
     crowded = None
-    for _ in range(TOKENS):
+    for step in range(1, steps + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = materialise(rows.join(sizes, "node"), "nodes")
         used.append(sized)
@@ -262,7 +272,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
         large = sized.where(F.col("size") > node_limit)
         if large.isEmpty():
             break
-        rows = large.select("id", "node").join(reps.select("id", "tokens"), "id").select("id", "node", "tokens").mapInArrow(_branch, "id long, node long")
+        if step < steps:
+            rows = large.select("id", "tree", "node").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens").mapInArrow(_branch(trees, steps, step), "id long, tree int, node long")
     else:  # what the tokens do not divide: first links by the smallest of each node, then all pairs that these leave open
         crowded = large.select("id", "node").distinct()
         firsts = large.groupBy("node").agg(F.min("id").alias("b"))

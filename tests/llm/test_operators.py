@@ -18,7 +18,7 @@ from palimpsest.llm.byte_bpe import bpe_of, decode_ids, default_vocabulary, enco
 from palimpsest.llm.decontaminate import contaminated, tiles
 from palimpsest.llm.embedding_dup import near_vectors, op9_embedding_dedup
 from palimpsest.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
-from palimpsest.llm.near_dup import near_duplicates, op3_minhash_dedup
+from palimpsest.llm.near_dup import MISS, near_duplicates, op3_minhash_dedup, trees_for
 from palimpsest.llm.substring_dedup import dedup_substrings, op7_substring_dedup
 from palimpsest.llm.token_file import EliasFano, TokenFile, export_files, json_encoder, op8_token_file, read_token_files, write_token_files
 
@@ -105,6 +105,12 @@ def hot_template(n, distinct, seed):
     return texts
 
 
+def test_trees_meet_the_target():
+    for share in (0.5, 0.8, 0.85, 0.99, 1.0):
+        for steps in (1, 2, 3, 6):
+            assert (1 - share**steps) ** trees_for(share, steps) <= MISS
+
+
 def test_near_duplicates_under_a_hot_template(spark):
     """Pairs within a group of look-alikes below the threshold that no token divides: all nodes crowded, one large cluster."""
     texts = hot_template(400, 21, 1)
