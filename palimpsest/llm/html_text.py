@@ -21,7 +21,9 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,9999}\"|'[^']{0,9999}')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
+#: A tag up to its end or its first quote; tags with quotes are read on by Tags.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)[^>\"']*+(>|[\"'])|<[!?][^>]*>|<[/!?a-zA-Z][^>]*\Z", re.S)
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -50,6 +52,48 @@ ENDS = {"p": BLOCKS - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset
 FEATURES = ("aside", "article", "heading", "paragraph", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
+class Tags:
+    """Tags of one page. Quoted attributes may have any length; each quote is looked at once, however quotes are unbalanced."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()  # quotes behind which no tag ends
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, quote: int) -> int:
+        """The > that ends the tag of this opening quote, or -1 if the quotes leave none."""
+        page, seen = self.page, []
+        while page[quote] != ">":
+            if quote in self.dead or quote >= self.last[page[quote]]:
+                break
+            seen.append(quote)
+            m = _MARK.search(page, page.find(page[quote], quote + 1) + 1)
+            if not m:
+                break
+            quote = m.start()
+        else:
+            return quote
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, name, attributes) of the first markup from `at` on; no name if it is no tag."""
+        m = _TAG.search(self.page, at)
+        if not m:
+            return None
+        if not m[2]:
+            return m.start(), m.end(), False, "", ""
+        end, behind = m.end() - 1, m.end(2)
+        if m[3] != ">":
+            end = self._end(end)
+            while end < 0:  # unbalanced, unless the name ends before a quote in it
+                behind = max(self.page.rfind(q, m.start(2), behind) for q in "\"'")
+                if behind < 0:  # passed over up to the next >
+                    return m.start(), self.page.find(">", m.end()) + 1 or len(self.page), False, "", ""
+                end = self._end(behind)
+        return m.start(), end + 1, bool(m[1]), self.page[m.start(2) : behind].lower(), self.page[behind:end]
+
+
 @dataclass
 class Block:
     parts: list[str] = field(default_factory=list)
@@ -126,17 +170,18 @@ def blocks_of(page: str) -> list[Block]:
 
     at = 0
     lower = None
+    tags = Tags(page)
     while True:
-        m = _TAG.search(page, at)
-        if not m:
+        found = tags.next(at)
+        if not found:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        start, end, closing, tag, attributes = found
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        if m[1]:
+        if closing:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     leave(depth)
@@ -147,7 +192,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at)
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
@@ -164,7 +209,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCKS:
                 border()
             continue
-        beside, own = _marks(tag, m[3], article)
+        beside, own = _marks(tag, attributes, article)
         aside, article = aside or beside, article or own
         stack.append((tag, aside, article))
         links += tag == "a"

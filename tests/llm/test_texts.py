@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from helpers import write_tables
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chat_format import Escaper, Template, format_conversations, op2_chat_format, read_back
-from palimpsest.llm.html_text import default_tree, labelled_rows, main_text, op4_html_text
+from palimpsest.llm.html_text import Tags, default_tree, labelled_rows, main_text, op4_html_text
 from palimpsest.llm.quality import fit, held_out, op1_quality, score
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -89,6 +90,21 @@ def test_broken_markup():
     assert main_text(many).startswith("") and len(main_text(many)) < len(many)
 
 
+def test_long_attributes():
+    long = "{'a': '<p>b</p>'} > " * 2000
+    assert main_text(f'<article><p>one<script data-x="{long}">var x;</script><iframe srcdoc="{long}">no</iframe></p><div class=sidebar data-props="{long}"><p>menu</div><p>two</article>') == "one\ntwo"
+    long = long.replace("'", '"')
+    assert main_text(f"<article><p>one<nav data-x='{long}'>menu</nav><p title='{long}'>two</article>") == "one\ntwo"
+
+
+def test_unbalanced_quotes_take_linear_time():
+    for part in ("<a \"x>\" ", "<a '>\"", "<a href=\"", "<a \"'>' ", "<a '\" \"' b", "<a\"'"):
+        start, tags, at = time.perf_counter(), Tags(part * 50_000), 0
+        while found := tags.next(at):
+            at = found[1]
+        assert time.perf_counter() - start < 20, part
+
+
 def test_tree_fits_its_table():
     tree = default_tree()
     assert all(tree.is_text(row[:-1]) == bool(row[-1]) for row in labelled_rows())
