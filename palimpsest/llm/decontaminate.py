@@ -1,15 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become words: runs of letters and digits of any script, in lower case. A document is a candidate of an item if they
-share a seed, a run of `seed` words. Within such a pair the longest runs that both still have unmarked are marked as tiles,
+Texts become words: runs of letters and digits of any script, in lower case. A document and an item are tiled if runs of
+`tile` words that they share could cover enough of the item: no pair that tiles can cover is left out. Within such a pair the
+longest runs that both still have unmarked are marked as tiles,
 longest first, ties by place, until none of `tile` words is left; runs are found and compared by running Karp-Rabin hashes.
 The item is in the document if tiles cover at least `coverage` of its words, in whatever order they stand.
 
 The benchmark is taken in blocks of at most `block_bytes`; each block goes to the executors whole and meets every document
 once, so neither side is shuffled and what is broadcast has a fixed bound, however large the benchmark.
 
-Defined results: null or empty texts and items hold nothing; an item shorter than a seed is its own seed, and one shorter
-than a tile its own tile; rows without item_id are left out; repeated documents are judged alike; repeated items give repeated pairs
+Defined results: null or empty texts and items hold nothing; an item shorter than a tile is its own tile; rows without item_id are left out; repeated documents are judged alike; repeated items give repeated pairs
 only once; empty tables give no rows.
 """
 
@@ -25,50 +25,85 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.words import Words, portions
 
-#: Bits of the table that sorts out runs of words that are no seed.
+#: Bits of the table that sorts out runs of words that no item holds.
 _FILTER_BITS = 22
 
 
+#: Places of items that are looked at at once.
+_PLACES = 1 << 20
+
+
 class Items:
-    """One block of the benchmark: words of each item, and its seeds as a sorted table."""
+    """One block of the benchmark: words of each item, and its runs of `tile` words as a sorted table.
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int, tile: int):
+    Tiles that cover c words of an item hold at least c / tile of its runs. So the item has one of its runs in common with a
+    document even if the ceil(c / tile) - 1 runs that most items hold are left out: the others are its seeds.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], tile: int, coverage: float):
         rows = sorted({(i, t or "") for i, t in rows if i is not None})
         self.names = [i for i, _ in rows]
         words = Words(pa.array([t.lower() for _, t in rows], pa.string()), alphanumeric=True)
-        self.words, self.seed, self.tile = words, seed, tile
+        self.words, self.tile, self.coverage = words, tile, coverage
         self.hashes = [words.hash[s:e] for s, e in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-        counts = words.counts()
-        at, length, owner = [], [], []
-        full = words.places(seed)
-        at.append(full)
-        length.append(np.full(len(full), seed))
-        owner.append(words.text_of(full))
-        short = np.flatnonzero((counts > 0) & (counts < seed))
-        at.append(words.first[short])
-        length.append(counts[short])
-        owner.append(short)
-        at, length, owner = np.concatenate(at), np.concatenate(length), np.concatenate(owner)
-        keys = words.runs(at, length)
-        order = np.lexsort((owner, keys))
-        self.keys, self.owner = keys[order], owner[order]
+        self.counts = counts = words.counts()
+        full = words.places(tile)
+        short = np.flatnonzero((counts > 0) & (counts < tile))
+        at = np.concatenate((full, words.first[short]))
+        length = np.concatenate((np.full(len(full), tile), counts[short])).astype(np.int64)
+        order = np.argsort(at)
+        self.at, self.length = at[order], length[order]
+        owner = words.text_of(self.at)
+        self.bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
+        self.keys, self.rank = np.unique(words.runs(self.at, self.length), return_inverse=True)
         self.lengths = np.unique(length)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-
-    def candidates(self, words: Words) -> dict[int, set[int]]:
-        """Documents of a batch and the items that they share a seed with."""
-        found: dict[int, set[int]] = {}
+        # Seeds: all but the most common runs of each item.
+        often = np.bincount(self.rank, minlength=len(self.keys))[self.rank]
+        order = np.lexsort((-often, owner))
+        place = np.arange(len(order)) - self.bounds[owner[order]]
+        spare = np.maximum(np.ceil((coverage * counts - 1e-6) / tile).astype(np.int64) - 1, 0)
+        seeds = order[place >= spare[owner[order]]]
+        seeds = seeds[np.argsort(self.rank[seeds], kind="stable")]
+        self.seed_owner = owner[seeds]
+        self.seed_bounds = np.searchsorted(self.rank[seeds], np.arange(len(self.keys) + 1))
+
+    def candidates(self, words: Words) -> Iterator[tuple[int, int]]:
+        """Documents of a batch and the items of which shared runs cover enough, in order."""
+        if not len(self.keys):
+            return
+        shared = []
         for length in self.lengths.tolist():
             at = words.places(length)
             runs = words.runs(at, length)
             near = np.flatnonzero(self.filter[(runs >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             runs, at = runs[near], at[near]
-            low, high = np.searchsorted(self.keys, runs, "left"), np.searchsorted(self.keys, runs, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                doc = int(words.text_of(at[k : k + 1])[0])
-                found.setdefault(doc, set()).update(self.owner[low[k] : high[k]].tolist())
-        return found
+            rank = np.minimum(np.searchsorted(self.keys, runs), len(self.keys) - 1)
+            hit = self.keys[rank] == runs
+            shared.append(words.text_of(at[hit]) * len(self.keys) + rank[hit])
+        shared = np.unique(np.concatenate(shared))
+        document, rank = np.divmod(shared, len(self.keys))
+        edges = np.flatnonzero(np.diff(np.concatenate(([-1], document, [-1]))))
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            owners = np.unique(np.concatenate([self.seed_owner[self.seed_bounds[r] : self.seed_bounds[r + 1]] for r in rank[s:e].tolist()]))
+            sizes = self.bounds[owners + 1] - self.bounds[owners]
+            parts = np.cumsum(sizes) // _PLACES
+            for part in np.unique(parts).tolist():
+                yield from ((int(document[s]), x) for x in self._covered(owners[parts == part], rank[s:e]))
+
+    def _covered(self, owners: np.ndarray, held: np.ndarray) -> list[int]:
+        """Those of the items of which the runs that a document holds cover enough."""
+        sizes = self.bounds[owners + 1] - self.bounds[owners]
+        which = np.repeat(np.arange(len(owners)), sizes)
+        places = np.repeat(self.bounds[owners] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        near = held[np.minimum(np.searchsorted(held, self.rank[places]), len(held) - 1)] == self.rank[places]
+        which, places = which[near], places[near]
+        at, cover = self.at[places], self.length[places].copy()
+        same = which[1:] == which[:-1]
+        cover[:-1][same] = np.minimum(cover[:-1], np.diff(at))[same]
+        total = np.bincount(which, cover, len(owners))
+        return owners[total >= self.coverage * self.counts[owners]].tolist()
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -132,7 +167,7 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
         yield block
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, tile: int = 3, coverage: float = 0.8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, tile: int = 3, coverage: float = 0.8, block_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_item_words, n_matched, n_tiles, coverage) of each document and item that it holds."""
     schema = "doc_id long, item_id long, n_item_words long, n_matched long, n_tiles long, coverage double"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -140,20 +175,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = 5, tile: int
     for rows in _blocks(benchmark, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], rows: list = rows) -> Iterator[pa.RecordBatch]:
-            items = Items(rows, seed, tile)
+            items = Items(rows, tile, coverage)
             for batch in batches:
                 found, first = [], 0
                 for part in portions(batch.column(1)):
                     words = Words(pa.array([(t or "").lower() for t in part.to_pylist()], pa.string()), alphanumeric=True)
-                    for doc, owners in sorted(items.candidates(words).items()):
-                        text = words.hash[words.first[doc] : words.first[doc + 1]]
-                        name = batch.column(0)[first + doc].as_py()
-                        for owner in sorted(owners):
-                            item = items.hashes[owner]
-                            laid = tiles(item, text, tile)
-                            n = sum(x[2] for x in laid)
-                            if n >= coverage * len(item):
-                                found.append((name, items.names[owner], len(item), n, len(laid), n / len(item)))
+                    for doc, owner in items.candidates(words):
+                        item, text = items.hashes[owner], words.hash[words.first[doc] : words.first[doc + 1]]
+                        laid = tiles(item, text, tile)
+                        n = sum(x[2] for x in laid)
+                        if n >= coverage * len(item):
+                            found.append((batch.column(0)[first + doc].as_py(), items.names[owner], len(item), n, len(laid), n / len(item)))
                     first += len(part)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.float64()), strict=True)], names=["doc_id", "item_id", "n_item_words", "n_matched", "n_tiles", "coverage"])

@@ -202,6 +202,32 @@ def test_decontamination(spark):
     assert sorted(map(str, blocks)) == sorted(map(str, got))
 
 
+def test_decontamination_like_its_definition(spark):
+    """All pairs of short items and documents, with pieces of items reordered and words changed."""
+    rng = np.random.default_rng(9)
+    items = [(i, [f"w{x}" for x in rng.integers(0, 40 if i % 2 else 8, rng.integers(1, 24))]) for i in range(60)]
+    docs = []
+    for i in range(300):
+        w = list(items[int(rng.integers(len(items)))][1])
+        if i % 3 == 0:  # pieces of three or four words, in any order
+            step = int(rng.integers(3, 5))
+            pieces = [w[k : k + step] for k in range(0, len(w), step)]
+            w = [x for k in rng.permutation(len(pieces)) for x in [*pieces[k], "and"]]
+        if i % 3 == 1:  # every fifth word changed, or the middle one
+            for k in range(4, len(w), 5) if i % 2 else [len(w) // 2]:
+                w[k] = "other"
+        docs.append((i, ["before", *w, "after"]))
+    got = contaminated(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    want = set()
+    for i, text in docs:
+        for name, item in items:
+            if len(set(item) & set(text)) and sum(w in set(text) for w in item) >= 0.8 * len(item):
+                laid = slow_tiles(item, text, 3)
+                if (n := sum(x[2] for x in laid)) >= 0.8 * len(item):
+                    want.add((i, name, len(item), n, len(laid)))
+    assert {tuple(r)[:5] for r in got} == want and len(got) == len(want) > 200
+
+
 @pytest.fixture(scope="module")
 def encoders():
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
