@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ CHUNK = 200
 _SPACED = re.compile(f"[{WHITE}]")
 #: Every so many entries the select structure keeps the place of one.
 SAMPLE = 256
+#: So many blocks of entries are put out as one batch of rows.
+BLOCKS = 32
 #: A file is closed at this many ids; a longer document has a file of its own.
 FILE_IDS = 4_000_000
 
@@ -108,6 +111,27 @@ class EliasFano:
 
     __getitem__ = select
 
+    def select_block(self, k: int) -> np.ndarray:
+        """The entries from the k-th sample up to the next one, read from that place on: nothing else is unpacked."""
+        first, last = k * SAMPLE, min((k + 1) * SAMPLE, self.count)
+        if not 0 <= first < self.count:
+            raise IndexError(k)
+        place = int(self.samples[k])
+        stop = int(self.samples[k + 1]) if last < self.count else len(self.high) * 8
+        at = place >> 3
+        places = np.flatnonzero(np.unpackbits(self.high[at : (stop + 7) >> 3], bitorder="little")) + at * 8
+        places = places[np.searchsorted(places, place) :][: last - first]
+        out = (places - np.arange(first, last)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            bit = first * self.low_bits
+            bits = np.unpackbits(self.low[bit >> 3 : (last * self.low_bits + 7) >> 3], bitorder="little")[bit & 7 :][: len(out) * self.low_bits]
+            out |= (bits.reshape(-1, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (out + np.uint64(self.base & 2**64 - 1)).view(np.int64)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """The sequence in blocks of SAMPLE entries."""
+        return (self.select_block(k) for k in range(-(-self.count // SAMPLE)))
+
     def values(self) -> np.ndarray:
         """The whole sequence."""
         if not self.count:
@@ -253,19 +277,28 @@ def read_token_files(files: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = files.select("part", "seq", "n_ids").withColumn("base", before).drop("n_ids")  # one small row a file
 
+    def together(rows: list) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in column]) for column in zip(*rows, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
             for part, seq, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 file = TokenFile(data.as_buffer())
-                ends = file.ends.values()
-                starts = np.concatenate(([0], ends[:-1]))
-                ids = file.ids.astype("<u4")
-                sums = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                names = [None] * file.head["without_id"] + file.doc_ids.values().tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.as_py()] * len(file), pa.int32()), pa.array([seq.as_py()] * len(file), pa.int32()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())],
-                    names=["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                names = chain(repeat(None, file.head["without_id"]), (x for block in file.doc_ids.blocks() for x in block.tolist()))
+                before = 0
+                for ends in file.ends.blocks():
+                    starts = np.concatenate(([before], ends[:-1]))
+                    before, n = int(ends[-1]), len(ends)
+                    sums = [zlib.crc32(file.ids[s:e].astype("<u4")) for s, e in zip(starts.tolist(), ends.tolist())]
+                    rows.append((np.full(n, part.as_py(), np.int32), np.full(n, seq.as_py(), np.int32), pa.array(islice(names, n), pa.int64()), starts, ends - starts, np.array(sums, np.int64)))
+                    if len(rows) == BLOCKS:
+                        yield together(rows)
+                        rows = []
+                if rows:
+                    yield together(rows)
+                    rows = []
 
     local = files.select("part", "seq", "data").mapInArrow(run, "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return local.join(bases, ["part", "seq"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")

@@ -263,6 +263,16 @@ def test_elias_fano():
         dense[10**4]
 
 
+def test_elias_fano_blocks():
+    rng = np.random.default_rng(2)
+    for n, high in [(1, 5), (256, 3), (257, 10**4), (300, 10), (1000, 10**6), (700, 2**62), (2000, 1)]:
+        values = np.sort(rng.integers(-high, high, n))
+        back = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+        blocks = list(back.blocks())
+        assert [len(b) for b in blocks[:-1]] == [256] * (len(blocks) - 1) and (np.concatenate(blocks) == values).all()
+    assert list(EliasFano.encode(np.zeros(0, np.int64)).blocks()) == []
+
+
 def test_encoders_on_random_texts(encoders):
     """White space of every kind, marks, scripts, controls; texts alone and many at once."""
     rng = np.random.default_rng(9)
