@@ -1,5 +1,9 @@
 """Empty tables, repeated rows, rows without id and clashing columns, for every operator and stage."""
 
+import math
+import random
+import re
+
 import corpus_pipeline
 import pytest
 from helpers import DOCS, odd_documents, write_tables
@@ -101,3 +105,14 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 5 for k in [5, *range(10, 41)]}, 100: 100, 101: 100, 200: 200, 300: 200, 250: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n, rule", [(100, "rising"), (1000, "falling"), (1000, "shuffled"), (100_000, "rising")])
+def test_components_of_a_chain(spark, n, rule, caplog):
+    """Rounds grow as the logarithm of a chain's length, whatever the order of its ids."""
+    names = list(range(n)) if rule == "rising" else list(range(n, 0, -1)) if rule == "falling" else random.Random(1).sample(range(n), n)
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    with caplog.at_level("INFO"):
+        out = components(edges)
+    assert (out.count(), out.where(f"component <> {min(names)}").count()) == (n, 0)
+    assert int(re.search(r"components: (\d+) rounds", caplog.text)[1]) <= 3 * math.log2(n)
