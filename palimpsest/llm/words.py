@@ -63,6 +63,10 @@ def portions(texts: pa.Array, limit: int = 2 << 20) -> Iterator[pa.Array]:
         yield texts.slice(start)
 
 
+#: Bytes, and places or words, that are worked on at once: a text of any length takes memory in proportion to its words only.
+_CHUNK, _PLACES = 1 << 18, 1 << 16
+
+
 class Words:
     """Words of texts: `start` and `end` (bytes), `hash`, and `first`, the number of the first word of each text, with the end."""
 
@@ -79,24 +83,44 @@ class Words:
         data = texts.buffers()[2] if n else None
         self.offsets = offsets - offsets[0]
         self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
-        size = len(self.data)
+        space, table = (_MARKS if alphanumeric else _SPACE), (_BYTES_LOWER if lower else _BYTES)
+        found = [self._chunk(low, high, space, table) for low, high in self._cuts(space)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
+        self.start, self.end, self.hash = (np.concatenate(x) for x in (zip(*found, strict=True) if found else zip(none, strict=True)))
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def _cuts(self, space: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Stretches of about _CHUNK bytes that end where no word goes on."""
+        low, size = 0, len(self.data)
+        while low < size:
+            high = low + _CHUNK
+            while high < size:
+                gaps = np.flatnonzero(space.take(self.data[high : high + _CHUNK]))
+                border = int(self.offsets[np.searchsorted(self.offsets, high)])
+                nearest = min(border, high + int(gaps[0]) if len(gaps) else size)
+                if nearest <= high + _CHUNK:
+                    high = nearest
+                    break
+                high += _CHUNK
+            yield low, min(high, size)
+            low = high
+
+    def _chunk(self, low: int, high: int, space: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        data, size = self.data[low:high], high - low
         gap = np.ones(size + 1, bool)
-        (_MARKS if alphanumeric else _SPACE).take(self.data, out=gap[:size])
+        space.take(data, out=gap[:size])
         bound = np.zeros(size + 1, bool)  # where a text begins
-        bound[self.offsets] = True
+        bound[self.offsets[np.searchsorted(self.offsets, low) : np.searchsorted(self.offsets, high, "right")] - low] = True
         inside = ~gap
         before = np.empty(size + 1, bool)  # a word reaches up to here
         before[0] = False
         before[1:] = inside[:-1]
-        self.start = np.flatnonzero(inside & (bound | ~before))
-        self.end = np.flatnonzero(before & (bound | gap))
-        self.first = np.searchsorted(self.start, self.offsets)
+        start = np.flatnonzero(inside & (bound | ~before))
+        end = np.flatnonzero(before & (bound | gap))
         power, inverse = powers(_BYTE_BASE, size + 1)
         sums = np.zeros(size + 1, _U)
-        if size:
-            np.cumsum((_BYTES_LOWER if lower else _BYTES).take(self.data) * power[:size], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.start]) * inverse[self.start])
-        self._sums: dict[int, np.ndarray] = {}
+        np.cumsum(table.take(data) * power[:size], out=sums[1:])
+        return start + low, end + low, mixed((sums[end] - sums[start]) * inverse[start])
 
     def __len__(self) -> int:
         return len(self.start)
@@ -109,16 +133,23 @@ class Words:
         return np.searchsorted(self.first, at, side="right") - 1
 
     def runs(self, at: np.ndarray, length: np.ndarray | int, which: int = 0) -> np.ndarray:
-        """Hash of the run of `length` words at each place; which: one of two independent functions."""
+        """Hash of the run of `length` words at each of the ascending places; which: one of two independent functions."""
         base = _RUN_BASES[which]
-        power, inverse = powers(base, len(self.hash) + 1)
-        if which not in self._sums:
-            sums = np.zeros(len(self.hash) + 1, _U)
-            hashes = self.hash if not which else mixed(self.hash ^ _U(base))
-            np.cumsum(hashes * power[: len(self.hash)], out=sums[1:])
-            self._sums[which] = sums
-        sums = self._sums[which]
-        return mixed((sums[at + length] - sums[at]) * inverse[at] + np.asarray(length).astype(_U))
+        lengths = np.broadcast_to(np.asarray(length, np.int64), at.shape)
+        out = np.empty(len(at), _U)
+        begin = 0
+        while begin < len(at):
+            stop = min(begin + _PLACES, int(np.searchsorted(at, at[begin] + 2 * _PLACES)))
+            part, size, low = at[begin:stop], lengths[begin:stop], int(at[begin])
+            hashes = self.hash[low : int((part + size).max())]
+            hashes = mixed(hashes ^ _U(base)) if which else hashes
+            power, inverse = powers(base, len(hashes) + 1)
+            sums = np.zeros(len(hashes) + 1, _U)
+            np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+            part = part - low
+            out[begin:stop] = mixed((sums[part + size] - sums[part]) * inverse[part] + size.astype(_U))
+            begin = stop
+        return out
 
     def places(self, length: int) -> np.ndarray:
         """Where a run of `length` words fits into one text."""
@@ -133,18 +164,19 @@ class Words:
 
     def kept_texts(self, keep: np.ndarray) -> list[bytes]:
         """Of each text, its words under `keep` joined by one space."""
-        lengths = (self.end - self.start + 1)[keep]
-        starts = self.start[keep]
-        total = int(lengths.sum())
-        ends = np.cumsum(lengths)
-        source = np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-        out = np.empty(total, np.uint8)
-        space = ends - 1  # behind each word
-        source[space] = 0
-        if total:
+        places = np.flatnonzero(keep)
+        ends = np.cumsum(self.end[places] - self.start[places] + 1)
+        pieces = []
+        for s in range(0, len(places), _PLACES):
+            part = places[s : s + _PLACES]
+            lengths = self.end[part] - self.start[part] + 1
+            stop = np.cumsum(lengths)
+            source = np.repeat(self.start[part] - (stop - lengths), lengths) + np.arange(int(stop[-1]))
+            source[stop - 1] = 0  # behind each word
             out = self.data[source]
-            out[space] = 32
+            out[stop - 1] = 32
+            pieces.append(out.tobytes())
+        data = b"".join(pieces)
         kept_before = np.concatenate(([0], np.cumsum(keep)))
         bytes_before = np.concatenate(([0], ends))[kept_before[self.first]]
-        data = out.tobytes()
         return [data[s : max(s, e - 1)] for s, e in zip(bytes_before[:-1].tolist(), bytes_before[1:].tolist())]
