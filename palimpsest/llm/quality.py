@@ -5,7 +5,7 @@ and of which words repeat the word before. Indicators are scaled by the log-coun
 length, and a linear hinge-loss model is fitted by dual coordinate descent. Margins become scores by a logistic curve fitted
 to out-of-fold margins.
 
-Fitting takes a bounded sample of labelled rows (`max_labels`, those of the smallest hashes); scoring covers every whole
+Fitting takes a bounded sample of labelled ids (`max_labels`, those of the smallest hashes); scoring covers every whole
 text. The model is a vector of a fixed size, so what executors get does not grow with the data.
 
 Defined results: a null or empty text has no n-grams and gets the score of the empty text, like any other; without labels of
@@ -37,24 +37,17 @@ _CLASS[ord("A") : ord("Z") + 1] = 2
 _CLASS[ord("0") : ord("9") + 1] = 3
 
 
+#: Bytes, or words, of one text that are looked at at once.
+SLICE = 1 << 20
+
+
 class Indicators:
-    """n-grams of a batch of texts; `of(i)` gives the features of text i."""
+    """n-grams of a batch of texts; `of(i)` gives the features of text i. Long texts are gone through in slices."""
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray):
         words = Words(texts)
-        data, self.offsets = words.data, words.offsets
-        size = len(data)
-        code = np.zeros(size, np.uint32)
-        if size > 2:
-            code[:-2] = data[:-2].astype(np.uint32) << 16 | data[1:-1].astype(np.uint32) << 8 | data[2:]
-        self.bytes = (code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int32)
-        outline = _CLASS[data]
-        keep = np.ones(size, bool)
-        keep[1:] = outline[1:] != outline[:-1]
-        keep[self.offsets[:-1][self.offsets[:-1] < size]] = True
-        self.outline = outline[keep]
-        self.outline_offsets = np.concatenate(([0], np.cumsum(keep)))[self.offsets]
-        same = np.zeros(len(words), np.int32)
+        self.data, self.offsets = words.data, words.offsets
+        same = np.zeros(len(words), np.int8)
         same[1:] = words.hash[1:] == words.hash[:-1]
         starts = words.first[:-1]
         same[starts[starts < len(words)]] = 0
@@ -68,27 +61,38 @@ class Indicators:
         """Flags of text i, in a buffer that the next call uses again."""
         flags = self.flags
         flags[:] = False
-        s, e = self.offsets[i], self.offsets[i + 1]
-        flags[self.bytes[s : max(s, e - 2)]] = True
-        outline = self.outline[self.outline_offsets[i] : self.outline_offsets[i + 1]].astype(np.uint32)
-        for order in SHAPE_ORDERS:
-            n = len(outline) - order + 1
-            if n <= 0:
-                break
-            code = np.full(n, order, np.uint32)
-            for k in range(order):
-                code = code * np.uint32(0x01000193) ^ outline[k : k + n]
-            flags[BYTE_BUCKETS + (code * np.uint32(2654435761) >> np.uint32(18)).astype(np.int64)] = True
-        same = self.same[self.first[i] : self.first[i + 1]]
+        end = int(self.offsets[i + 1])
+        before = np.zeros(0, np.uint32)  # the outline's last symbols in earlier slices
+        for low in range(int(self.offsets[i]), end, SLICE):
+            data = self.data[low : min(low + SLICE + 2, end)]
+            if len(data) > 2:
+                wide = data.astype(np.uint32)
+                code = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
+                flags[(code * np.uint32(2654435761) >> np.uint32(16)).astype(np.int32)] = True
+            outline = np.concatenate((before, _CLASS[data[:SLICE]].astype(np.uint32)))
+            keep = np.ones(len(outline), bool)
+            keep[1:] = outline[1:] != outline[:-1]
+            outline = outline[keep]
+            for order in SHAPE_ORDERS:
+                n = len(outline) - order + 1
+                if n <= 0:
+                    break
+                code = np.full(n, order, np.uint32)
+                for k in range(order):
+                    code = code * np.uint32(0x01000193) ^ outline[k : k + n]
+                flags[BYTE_BUCKETS + (code * np.uint32(2654435761) >> np.uint32(18)).astype(np.int32)] = True
+            before = outline[-max(SHAPE_ORDERS) :]
         base = BYTE_BUCKETS + SHAPE_BUCKETS
-        for order in (1, 2, 4):
-            n = len(same) - order + 1
-            if n <= 0:
-                break
-            code = np.zeros(n, np.int64)
-            for k in range(order):
-                code = code * 2 + same[k : k + n]
-            flags[base + (1 << order) + code] = True
+        for low in range(int(self.first[i]), int(self.first[i + 1]), SLICE):
+            same = self.same[low : min(low + SLICE + 3, int(self.first[i + 1]))]
+            for order in (1, 2, 4):
+                n = len(same) - order + 1
+                if n <= 0:
+                    break
+                code = np.zeros(n, np.int32)
+                for k in range(order):
+                    code = code * 2 + same[k : k + n]
+                flags[base + (1 << order) + code] = True
         return flags
 
     def of(self, i: int) -> np.ndarray:
@@ -198,23 +202,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Features as a list of 32-bit numbers or as a bit for each, whichever is shorter: a text of any length takes 10 KB at most."""
+    if 4 * len(found) < FEATURES // 8:
+        return b"L" + found.astype("<i4").tobytes()
+    flags = np.zeros(FEATURES, bool)
+    flags[found] = True
+    return b"B" + np.packbits(flags).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<i4", offset=1) if data[:1] == b"L" else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=FEATURES))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
-    """Learns from at most max_labels labelled rows that are not held out."""
+    """Learns from at most max_labels labelled ids that are not held out: those of the smallest hashes.
+
+    Of rows that share an id the one of the smallest features counts, of several labels of an id each; the sample is the same
+    whatever the order of rows. The driver gets at most max_labels times 10 KB, each row's features made where its text lies.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    sample = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
+    usable = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for part in portions(batch.column(2)):
                 seen = Indicators(part)
-                found += [seen.of(i).astype(np.int32).tobytes() for i in range(len(seen))]
+                found += [packed(seen.of(i)) for i in range(len(seen))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "quality", "features"])
 
     # At most max_labels ids: small by that parameter.
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").limit(max_labels)
-    got = sorted((r.doc_id, r.quality, bytes(r.features)) for r in joined.mapInArrow(features, "doc_id long, quality int, features binary").collect())
-    return fit_rows([np.frombuffer(f, np.int32) for _, _, f in got], np.array([q for _, q, _ in got]))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    found = joined.mapInArrow(features, "doc_id long, quality int, features binary").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    got = sorted((r.doc_id, r.quality, bytes(r.features)) for r in found.collect())
+    return fit_rows([unpacked(f) for _, _, f in got], np.array([q for _, q, _ in got]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
