@@ -312,9 +312,8 @@ def vector_rows():
     return rows + [(1000 + i, v, i) for i, v in enumerate(odd)]
 
 
-def test_vectors(spark, tmp_path):
-    rows = vector_rows()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+def vectors_by_force(rows):
+    """n_links, component and kept of each id, by comparing all pairs."""
     unit = {}
     for i, v, _ in rows:
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
@@ -335,7 +334,43 @@ def test_vectors(spark, tmp_path):
                 links[j] += 1
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    want = {i: (links[i], root(i), root(i) == i) for i in up}
+    return {i: (links[i], root(i), root(i) == i) for i in up}
+
+
+def test_vectors(spark, tmp_path):
+    rows = vector_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = vectors_by_force(rows)
     got = op9_embedding_dedup(spark, write_tables(spark, tmp_path, embeddings=df))
-    assert {r.vec_id: tuple(r)[1:] for r in got.collect()} == want and sum(links.values()) > 50
+    assert {r.vec_id: tuple(r)[1:] for r in got.collect()} == want and sum(n for n, *_ in want.values()) > 100
     assert {r.vec_id: tuple(r)[1:] for r in near_vectors(df.unionAll(df)).collect()} == want  # repeated rows
+
+
+def test_vectors_in_small_blocks(spark):
+    """Runs of several blocks, bounds of partitions, and a crowd that fills many blocks, copies included."""
+    rng = np.random.default_rng(12)
+    rows = [(r[0], r[1], 0) for r in vector_rows() if r[0] < 1000]
+    centre = rng.standard_normal(16)
+    rows += [(2000 + k, [float(x) for x in centre + rng.standard_normal(16) * 0.12], 0) for k in range(90)]
+    rows += [(3000 + k, rows[-1][1], 0) for k in range(5)]
+    for kind in ("double", "float"):
+        own = [(i, np.array(v, "<f4").astype(float).tolist(), x) for i, v, x in rows] if kind == "float" else rows
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        want = vectors_by_force(own)
+        assert {r.vec_id: tuple(r)[1:] for r in near_vectors(df, block=8, run=2).collect()} == want and max(n for n, *_ in want.values()) > 60
+
+
+def test_vectors_in_a_chain(spark):
+    """Each is linked only with the next, and ids rise."""
+    steps = [np.zeros(220) for _ in range(200)]
+    for k, v in enumerate(steps):
+        v[k : k + 20] = 1  # the next shares 19 of 20
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(steps)]
+    got = {r.vec_id: tuple(r)[1:] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), block=16).collect()}
+    assert got == {k: (1 if k in (0, 199) else 2, 0, k == 0) for k in range(200)}
+
+
+def test_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.1]), (4, [-1.0, 0.0]), (None, [1.0, 0.0])]
+    got = {r.vec_id: tuple(r)[1:] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), 3: (1, 1, False), 4: (0, 4, True), None: (0, None, True)}
