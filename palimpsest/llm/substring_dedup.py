@@ -5,19 +5,19 @@ the cover. So two equal windows of W words share an anchor, a window of W - v +
 from their starts. Only anchors (a fraction |D| / v of all places) are hashed and counted over the corpus. A window that
 holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' 128-bit hashes.
 
-Counting moves no rows per occurrence: documents are dealt into shards of bounded size by a hash of doc_id; a shard sends
-each part of the hash space its distinct hashes, sorted, and gets one bit for each of them back. A passage that stands in a
-third of all documents is one hash per shard, so no task gets more of it than others. Nothing is paired.
+Documents are dealt into shards of bounded size by a hash of doc_id. A shard gives each of its distinct hashes once, as a row
+of its own, and gets back those that stand elsewhere too, or twice in it: rows grow with the text, whatever the size of the
+corpus, and a passage that stands in a third of all documents is one row a shard. Nothing is paired.
 
 Defined results: null or empty texts have no words; places are counted within rows, so repeated rows repeat each other;
-rows without doc_id are documents like others; extra columns are left out by the query and kept by `dedup_substrings`.
+rows without doc_id are documents like others; extra columns are left out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import text_bytes
@@ -25,8 +25,8 @@ from palimpsest.llm.words import Words
 
 #: Perfect difference covers by modulus. Fixed values.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-#: Text bytes of a shard, and hash bytes of a part, on average.
-SHARD_BYTES, PART_BYTES = 2 << 20, 8 << 20
+#: Text bytes of a shard, on average.
+SHARD_BYTES = 2 << 20
 
 
 def cover_for(window: int) -> int:
@@ -35,10 +35,10 @@ def cover_for(window: int) -> int:
 
 
 class Shard:
-    """Texts of one shard, and the sets of hashes that it asks about. A set is sorted by (part, h1, h2), each hash once."""
+    """Texts of one shard, the places that it asks about, and its distinct hashes (h1, h2), sorted."""
 
-    def __init__(self, texts: pa.ChunkedArray, window: int, parts: int):
-        self.words, self.window, self.parts = Words(texts), window, parts
+    def __init__(self, texts: pa.ChunkedArray, window: int):
+        self.words, self.window = Words(texts), window
         self.v = cover_for(window)
         self.length = window - self.v + 1
 
@@ -62,9 +62,8 @@ class Shard:
         self._set(words.runs(self.at, self.window), words.runs(self.at, self.window, 1))
 
     def _set(self, h1: np.ndarray, h2: np.ndarray | None) -> None:
-        part = (h1 >> np.uint64(40)) % np.uint64(self.parts)
-        order = np.lexsort((h1, part) if h2 is None else (h2, h1, part))
-        h1, part = h1[order], part[order]
+        order = np.argsort(h1) if h2 is None else np.lexsort((h2, h1))
+        h1 = h1[order]
         new = np.ones(len(h1), bool)
         new[1:] = h1[1:] != h1[:-1]
         if h2 is not None:
@@ -73,113 +72,71 @@ class Shard:
         where = np.flatnonzero(new)
         self.of = np.empty(len(h1), np.int64)  # the entry of each place
         self.of[order] = np.cumsum(new) - 1
-        self.h1, self.h2, self.part = h1[where], None if h2 is None else h2[where], part[where].astype(np.int64)
-        self.twice = np.diff(np.append(where, len(h1))) > 1  # more than once in this shard
-
-    def blobs(self) -> tuple[np.ndarray, list[bytes]]:
-        """Parts, and for each its hashes: 8 or 16 bytes an entry, then a bit an entry: more than once here."""
-        parts, starts = np.unique(self.part, return_index=True)
-        out = []
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(self.part)]):
-            out.append(self.h1[s:e].tobytes() + (b"" if self.h2 is None else self.h2[s:e].tobytes()) + np.packbits(self.twice[s:e]).tobytes())
-        return parts, out
-
-    def answered(self, parts: np.ndarray, bits: list[bytes]) -> np.ndarray:
-        """From the bits of each part: which places are repeated in the corpus."""
-        entry = np.zeros(len(self.part), bool)
-        bounds = {p: (s, e) for p, s, e in zip(*_bounds(self.part))}
-        for p, b in zip(parts.tolist(), bits, strict=True):
-            s, e = bounds[p]
-            entry[s:e] = np.unpackbits(np.frombuffer(b, np.uint8), count=e - s)
+        self.h1, self.h2 = h1[where], np.zeros(len(where), np.uint64) if h2 is None else h2[where]
+        self.times = np.minimum(np.diff(np.append(where, len(h1))), 2).astype(np.int8)
+
+    def asked(self, name: int) -> pa.Table:
+        return pa.table({"shard": pa.array(np.full(len(self.h1), name, np.int32)), "h1": pa.array(self.h1.view(np.int64)), "h2": pa.array(self.h2.view(np.int64)), "times": pa.array(self.times)})
+
+    def answered(self, answers: pa.Table) -> np.ndarray:
+        """Which places are repeated in the corpus, from the entries that came back."""
+        h1, h2 = (answers.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        n = len(self.h1)
+        order = np.lexsort((np.repeat([0, 1], [n, len(h1)]), np.concatenate((self.h2, h2)), np.concatenate((self.h1, h1))))
+        entry = np.zeros(n, bool)
+        entry[order[np.flatnonzero(order >= n) - 1]] = True  # an answer comes right behind its entry
         return entry[self.of]
 
 
-def _bounds(part: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    parts, starts = np.unique(part, return_index=True)
-    return parts.tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]
+ASKED, ANSWER = "shard int, h1 long, h2 long, times tinyint", ["shard", "h1", "h2"]
 
 
-def _answers(asked: pa.Table, width: int) -> pa.Table:
-    """For each shard's hashes in one part: a bit each, set if the hash is in another shard's set or twice in one."""
-    blobs = asked.column("hashes").to_pylist()
-    counts = asked.column("n").to_pylist()
-    h1 = np.concatenate([np.frombuffer(b, np.uint64, n) for b, n in zip(blobs, counts)])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=width * n), count=n) for b, n in zip(blobs, counts)]).astype(bool)
-    keys = [h1]
-    if width == 16:
-        h2 = np.concatenate([np.frombuffer(b, np.uint64, n, 8 * n) for b, n in zip(blobs, counts)])
-        keys = [h2, h1]
-    order = np.lexsort(keys)
-    same = np.zeros(len(h1) + 1, bool)
-    same[1:-1] = h1[order][1:] == h1[order][:-1]
-    if width == 16:
-        same[1:-1] &= h2[order][1:] == h2[order][:-1]
-    group = np.cumsum(~same[:-1]) - 1
-    many = np.zeros(int(group[-1]) + 1, bool) if len(group) else np.zeros(0, bool)
-    many[group[same[:-1]]] = True
-    many[group[twice[order]]] = True
-    flags = np.empty(len(h1), bool)
-    flags[order] = many[group]
-    ends = np.cumsum(counts)
-    return pa.table({"shard": asked.column("shard"), "part": asked.column("part"), "bits": pa.array([np.packbits(flags[e - n : e]).tobytes() for e, n in zip(ends.tolist(), counts)], pa.binary())})
+def _repeated(asked: DataFrame) -> DataFrame:
+    """The entries whose hash another shard has too, or that stand twice in their own."""
+    times = F.sum("times").over(Window.partitionBy("h1", "h2"))
+    return asked.withColumn("all_times", times).where("all_times > 1").select(*ANSWER)
 
 
-ASKED, ANSWER = "shard int, part int, n long, hashes binary", "shard int, part int, bits binary"
-
-
-def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
-    """(id, n_words, n_removed, kept_text) of each row: words covered by a window that also starts elsewhere are removed.
+def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_text) of each row: words covered by a window that also starts elsewhere are removed.
 
     Words are runs of other than ASCII white space; the kept ones are joined by one space.
     """
-    size = text_bytes(docs, text_col)
-    shards = max(1, -(-size // shard_bytes))
-    parts = max(1, -(-size * 2 // 5 // part_bytes))
-    fine = parts * 4  # windows may be every place
+    shards = max(1, -(-text_bytes(docs, text_col) // shard_bytes))
     # A row of a doc_id that many rows share goes by its text too, so that a repeated id makes no large shard.
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def ask(shard: Shard, name: int) -> pa.Table:
-        where, blobs = shard.blobs()
-        ends = np.append(np.unique(shard.part, return_index=True)[1], len(shard.part))
-        return pa.table({"shard": pa.array([name] * len(blobs), pa.int32()), "part": pa.array(where, pa.int32()), "n": pa.array(np.diff(ends), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
-
     def first(table: pa.Table) -> pa.Table:
-        shard = Shard(table.column("text"), window, parts)
+        shard = Shard(table.column("text"), window)
         shard.anchors()
-        return ask(shard, table.column("shard")[0].as_py())
+        return shard.asked(table.column("shard")[0].as_py())
 
     def windows_of(table: pa.Table, answers: pa.Table) -> Shard:
-        shard = Shard(table.column("text"), window, parts)
+        shard = Shard(table.column("text"), window)
         shard.anchors()
-        repeated = shard.answered(answers.column("part").to_numpy(), answers.column("bits").to_pylist())
-        shard.parts = fine
-        shard.candidates(repeated)
+        shard.candidates(shard.answered(answers))
         return shard
 
     def second(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return ask(windows_of(table, answers), table.column("shard")[0].as_py())
+        return windows_of(table, answers).asked(table.column("shard")[0].as_py())
 
     def third(table: pa.Table, answers: pa.Table) -> pa.Table:
         about = answers.column("about").to_numpy()
         shard = windows_of(table, answers.filter(pa.array(about == 0)))
-        answers = answers.filter(pa.array(about == 1))
-        found = shard.at[shard.answered(answers.column("part").to_numpy(), answers.column("bits").to_pylist())]
+        found = shard.at[shard.answered(answers.filter(pa.array(about == 1)))]
         words = shard.words
         edges = np.zeros(len(words) + 1, np.int32)
         np.add.at(edges, found, 1)
         np.add.at(edges, found + window, -1)
         covered = np.cumsum(edges[: len(words)]) > 0
         before = np.concatenate(([0], np.cumsum(covered)))
-        kept = [t.decode() for t in words.kept_texts(~covered)]
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(words.counts(), pa.int64()), "n_removed": pa.array(np.diff(before[words.first]), pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        kept = pa.array(words.kept_texts(~covered), pa.binary()).cast(pa.string())
+        return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(words.counts(), pa.int64()), "n_removed": pa.array(np.diff(before[words.first]), pa.int64()), "kept_text": kept})
 
     by_shard = rows.groupBy("shard")
-    asked = by_shard.applyInArrow(first, ASKED)
-    answers = asked.groupBy("part").applyInArrow(lambda t: _answers(t, 8), ANSWER)
-    windows = by_shard.cogroup(answers.groupBy("shard")).applyInArrow(second, ASKED)
-    about_windows = windows.groupBy("part").applyInArrow(lambda t: _answers(t, 16), ANSWER)
-    both = answers.select("*", F.lit(0).alias("about")).unionAll(about_windows.select("*", F.lit(1).alias("about")))
+    anchors = _repeated(by_shard.applyInArrow(first, ASKED))
+    windows = _repeated(by_shard.cogroup(anchors.groupBy("shard")).applyInArrow(second, ASKED))
+    both = anchors.select(*ANSWER, F.lit(0).alias("about")).unionAll(windows.select(*ANSWER, F.lit(1).alias("about")))
     id_type = docs.schema[id_col].dataType.simpleString()
     return by_shard.cogroup(both.groupBy("shard")).applyInArrow(third, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 

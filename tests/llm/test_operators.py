@@ -147,7 +147,7 @@ def test_substrings_of_any_window(spark, window):
     for _, t in texts:
         w = words_of(t)
         counts.update(tuple(w[k : k + window]) for k in range(len(w) - window + 1))
-    for r in dedup_substrings(df, window, shard_bytes=40, part_bytes=16).collect():
+    for r in dedup_substrings(df, window, shard_bytes=40).collect():
         w = words_of(dict(texts)[r.doc_id])
         gone = {j for k in range(len(w) - window + 1) if counts[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
         assert (r.n_words, r.n_removed, r.kept_text.encode()) == (len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone))
