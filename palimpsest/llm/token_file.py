@@ -11,7 +11,8 @@ Files are rows (file, part, seq, ..., data) of a Parquet table in the shared fol
 only through Spark; `export_files` puts them out as plain files.
 
 Defined results: a null or empty text has only the end id; rows without doc_id come first; an empty table makes no files;
-repeated rows are encoded each; strings of special tokens are ordinary text.
+repeated rows are encoded each, and rows of one doc_id stand in the order of their texts' hashes; a special token's string in a
+text becomes that token's id, as the tokenizers library has it.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise, partitions
 from palimpsest.llm.unit_table import WHITE, TextEncoder, splitter
+from palimpsest.llm.words import portions
 
 MAGIC = b"PTF1"
 #: What the tokenizers library splits texts by before byte-level merges. Fixed value.
@@ -195,17 +198,16 @@ def _json_encoder(path: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     id_bytes = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
     told = json.loads(tokenizer.to_str())
     before = told["pre_tokenizer"] or {}
-    if told["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+    plain = not told["normalizer"] and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in told["added_tokens"]):
         return lambda texts: (np.array(tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, dtype="<u4") for t in texts), id_bytes
     newline = tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     # Lines of one match each need no pattern, and, as they are all new, no cache.
     lines = Tokenizer.from_file(path)
-    lines.encode_special_tokens = True
     lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     lines.model._resize_cache(0)
 
@@ -218,17 +220,47 @@ def _json_encoder(path: str):
                 yield data[start:end]
                 start = end + 4
 
+    # What the pattern and the line ends cut never holds a whole added token: texts that do are cut at it first.
+    added = {t["content"]: np.array([t["id"]], "<u4") for t in told["added_tokens"]}
+
     def encode_words(words: list[str]) -> list[bytes]:
         return [*cut([" " + "\n ".join(words[i : i + CHUNK]) + "\n" for i in range(0, len(words), CHUNK)])]
 
     def encode_parts(parts: list[str]) -> list[bytes]:
-        plain = [not _SPACED.search(p, p[0] == " ") and p != " " for p in parts]
-        together = [x for x, p in zip(parts, plain, strict=True) if p]
+        single = [not _SPACED.search(p, p[0] == " ") and p != " " for p in parts]
+        together = [x for x, p in zip(parts, single, strict=True) if p]
         joint = cut(["\n".join(together[i : i + CHUNK]) + "\n" for i in range(0, len(together), CHUNK)])
-        alone = iter(tokenizer.encode_batch([x for x, p in zip(parts, plain, strict=True) if not p], add_special_tokens=False))
-        return [next(joint) if p else np.array(next(alone).ids, dtype="<u4").tobytes() for p in plain]
-
-    return TextEncoder(splitter(BYTE_LEVEL), encode_parts, encode_words).encode_many, id_bytes
+        alone = iter(tokenizer.encode_batch([x for x, p in zip(parts, single, strict=True) if not p], add_special_tokens=False))
+        return [next(joint) if p else np.array(next(alone).ids, dtype="<u4").tobytes() for p in single]
+
+    encoder = TextEncoder(splitter(BYTE_LEVEL), encode_parts, encode_words)
+    return (around(encoder, added) if added else encoder.encode_many), id_bytes
+
+
+def around(encoder: TextEncoder, added: dict[str, np.ndarray]):
+    """encode_many of texts in which added tokens stand for themselves; the longest counts where several begin."""
+    cut = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)))
+
+    def encode_many(texts: pa.Array) -> Iterator[np.ndarray]:
+        for part in portions(texts, 8 << 20):
+            held = np.flatnonzero(pc.fill_null(pc.match_substring_regex(part, cut.pattern), False).to_numpy(zero_copy_only=False))
+            split = {}
+            for i in held.tolist():
+                text = part[i].as_py()
+                split[i] = [m[0] for m in cut.finditer(text)], cut.split(text)
+            between = iter(encoder.encode_many(pa.array([x for _, pieces in split.values() for x in pieces], pa.string())))
+            others = iter(encoder.encode_many(part.filter(pa.array(~np.isin(np.arange(len(part)), held)))))
+            for i in range(len(part)):
+                if i in split:
+                    marks, pieces = split[i]
+                    ids = [next(between)]
+                    for mark in marks:
+                        ids += [added[mark], next(between)]
+                    yield np.concatenate(ids)
+                else:
+                    yield next(others)
+
+    return encode_many
 
 
 def default_path() -> str:
@@ -237,8 +269,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes docs in ascending id order; the table of files (part, seq, file, n_docs, n_ids, data), as written."""
+def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2, file_ids: int = FILE_IDS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """Encodes docs in ascending id order; the table of files (part, seq, file, n_docs, n_ids, data), as written.
+
+    It is written to `folder`, and stays there; without one it is a scratch table, which goes when the application ends.
+    """
     spark = docs.sparkSession
     path = tokenizer_path or default_path()
 
@@ -267,9 +302,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str | None = None, end_id
         if names:
             yield close()
 
+    # Rows of one id, or of none, go by their text and at last by where they lie, so that no id makes a partition of its own.
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
-    return materialise(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long, data binary"), "token-files")
+    rows = rows.select("id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(partitions(spark), "id", "hash", "place").sortWithinPartitions("id", "hash", "place").select("id", "text")
+    return materialise(ordered.mapInArrow(run, "part int, seq int, file string, n_docs long, n_ids long, data binary"), "token-files", path=folder)
 
 
 def read_token_files(files: DataFrame) -> DataFrame:

@@ -231,7 +231,6 @@ def test_decontamination_like_its_definition(spark):
 @pytest.fixture(scope="module")
 def encoders():
     hf = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    hf.encode_special_tokens = True
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     return hf, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -279,7 +278,8 @@ def test_encoders_on_random_texts(encoders):
     spaces = [9, 10, 13, 32, 32, 32, 0x1C, 0x1D, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x202F, 0x3000]
     others = [0x200B, 0x200D, 0xFEFF, 0x7F, 0, 0xE9, 0x65E5, 0x1F64F, 0x663, *map(ord, "ab'streLL12!?.,-")]
     letters = [chr(x) for x in spaces + others]
-    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)] + ["", None, " <|endoftext|> x"]
+    letters += ["<|endoftext|>", "<|end", "oftext|>"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(3000)] + ["", None, " a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>"]
     bpe = bpe_of(*default_vocabulary())
     encode, _ = json_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     array = pa.array(texts, pa.string())
