@@ -27,9 +27,7 @@ from palimpsest.llm.words import Words, portions
 
 #: Bits of the table that sorts out runs of words that no item holds.
 _FILTER_BITS = 22
-
-
-#: Places of items that are looked at at once.
+#: Places, of items or common to an item and a text, that are looked at at once.
 _PLACES = 1 << 20
 
 
@@ -106,51 +104,81 @@ class Items:
         return owners[total >= self.coverage * self.counts[owners]].tolist()
 
 
-def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two sequences of word hashes: (place in item, place in text, length) of each tile."""
-    least = max(1, min(least, len(item)))
-    if len(text) < least:
-        return []
+def _matches(item: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in item, place in text, length) of each longest common run of at least `least` words.
+
+    Places that share `least` words are joined along diagonals, _PLACES of them at a time; only whole runs are held.
+    """
     base = np.uint64(0x9E3779B97F4A7C15)
 
     def rolling(x: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(x) - least + 1, np.uint64)
+        h = np.zeros(max(0, len(x) - least + 1), np.uint64)
         for k in range(least):
             h = h * base + x[k : k + len(h)]
         return h
 
-    in_item, in_text = rolling(item), rolling(text)
+    in_item = rolling(item)
     order = np.argsort(in_item, kind="stable")
-    low = np.searchsorted(in_item[order], in_text, "left")
-    high = np.searchsorted(in_item[order], in_text, "right")
-    hits = np.flatnonzero(high > low)
-    spans = high[hits] - low[hits]
-    j = np.repeat(hits, spans)
-    i = order[np.repeat(low[hits] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(int(spans.sum()))] if len(hits) else np.zeros(0, np.int64)
-    # Seeds one after the other on a diagonal are one match.
-    diagonal = np.lexsort((j, j - i))
-    i, j = i[diagonal], j[diagonal]
+    keys = in_item[order]
+    runs: list[tuple[np.ndarray, ...]] = []
+
+    def join(j: np.ndarray, low: np.ndarray, spans: np.ndarray) -> None:
+        i = order[np.repeat(low - np.cumsum(spans) + spans, spans) + np.arange(int(spans.sum()))]
+        j = np.repeat(j, spans)
+        along = np.lexsort((j, j - i))
+        i, j = i[along], j[along]
+        new = np.ones(len(i), bool)
+        new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1)
+        starts = np.flatnonzero(new)
+        runs.append((i[starts], j[starts], np.diff(np.append(starts, len(i)))))
+
+    for s in range(0, len(text), _PLACES // 4):
+        near = rolling(text[s : s + _PLACES // 4 + least - 1])
+        low, high = np.searchsorted(keys, near, "left"), np.searchsorted(keys, near, "right")
+        hits = np.flatnonzero(high > low)
+        spans = (high - low)[hits]
+        part = np.cumsum(spans) // _PLACES
+        for k in np.unique(part).tolist():
+            mine = part == k
+            join(s + hits[mine], low[hits[mine]], spans[mine])
+    if not runs:
+        return (np.zeros(0, np.int64),) * 3
+    i, j, n = (np.concatenate(x) for x in zip(*runs, strict=True))
+    along = np.lexsort((j, j - i))  # runs that were cut between two portions
+    i, j, n = i[along], j[along], n[along]
     new = np.ones(len(i), bool)
-    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1)
+    new[1:] = (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + n[:-1])
     starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(i))) + least - 1
-    open_ = [(-n, int(a), int(b)) for n, a, b in zip(lengths.tolist(), i[starts], j[starts])]
+    return i[starts], j[starts], np.add.reduceat(n, starts) + least - 1
+
 
-    heapq.heapify(open_)
+def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of two sequences of word hashes: (place in item, place in text, length) of each tile."""
+    least = max(1, min(least, len(item)))
+    a, b, n = _matches(item, text, least)
+    order = np.lexsort((b, a, -n))
+    whole = zip((-n[order]).tolist(), a[order].tolist(), b[order].tolist())
+    ahead = next(whole, None)
+    parts: list[tuple[int, int, int]] = []  # what tiles left of longer runs
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
-    out = []
-    while open_:
-        n, a, b = heapq.heappop(open_)
+    left, out = len(item), []
+    while (ahead or parts) and left >= least:
+        if ahead and (not parts or ahead < parts[0]):
+            n, a, b = ahead
+            ahead = next(whole, None)
+        else:
+            n, a, b = heapq.heappop(parts)
         n = -n
         free = free_item[a : a + n] & free_text[b : b + n]
         if free.all():
             out.append((a, b, n))
             free_item[a : a + n] = free_text[b : b + n] = False
+            left -= n
             continue
         edges = np.flatnonzero(np.diff(np.concatenate(([0], free.view(np.int8), [0]))))
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist()):
             if e - s >= least:
-                heapq.heappush(open_, (s - e, a + s, b + s))
+                heapq.heappush(parts, (s - e, a + s, b + s))
     return out
 
 

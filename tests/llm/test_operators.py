@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -14,6 +15,7 @@ import tiktoken
 from helpers import DOCS, odd_documents, words_of, write_tables
 from tokenizers import Tokenizer
 
+from palimpsest.llm import decontaminate
 from palimpsest.llm.byte_bpe import bpe_of, decode_ids, default_vocabulary, encode_texts, op10_byte_bpe
 from palimpsest.llm.decontaminate import contaminated, tiles
 from palimpsest.llm.embedding_dup import near_vectors, op9_embedding_dedup
@@ -173,13 +175,24 @@ def slow_tiles(a, b, least):
         out.append((i, j, n))
 
 
-def test_tiles_like_their_definition():
+@pytest.mark.parametrize("places", [1 << 20, 12])
+def test_tiles_like_their_definition(monkeypatch, places):
+    monkeypatch.setattr(decontaminate, "_PLACES", places)
     rng = np.random.default_rng(3)
     for _ in range(400):
         a, b = rng.integers(0, 4, rng.integers(1, 13)), rng.integers(0, 4, rng.integers(0, 17))
         assert tiles(a.astype(np.uint64), b.astype(np.uint64), 3) == slow_tiles(a.tolist(), b.tolist(), 3)
 
 
+def test_tiles_of_one_long_repetition():
+    """Every place of the item meets every place of the text: 60 million pairs, none of them written out."""
+    tracemalloc.start()
+    laid = tiles(np.zeros(1000, np.uint64), np.zeros(60_000, np.uint64), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert laid == [(0, 0, 1000)] and peak < 200 << 20
+
+
 def test_decontamination(spark):
     item = "Alpha beta gamma delta epsilon, zeta eta theta iota kappa; lambda mu nu xi omicron."
     w = item.split(" ")
