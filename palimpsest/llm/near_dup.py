@@ -3,19 +3,17 @@
 A document's set holds hashes of its distinct word shingles. Documents with equal sets collapse to the smallest id, so copies
 cost nothing further. Representatives get minwise tokens and a sketch (256 one-byte minwise values). In each of `trees`
 independent trees a path starts with one minwise token; a node that still holds more than `node_limit` documents branches
-on one more token, up to `steps` in all; what is still large then is compared whole, block against block. No token serves
+on one more token, up to `steps` in all. No token serves
 twice, in one path or in two trees, so a pair of similarity s stays together over a step with probability s whatever happened
 elsewhere, and misses every tree with probability (1 - s^steps)^trees at most. No path is longer than `steps`, however large the
 table or a group of look-alikes: `trees` follows from the threshold and `steps`, so that under `MISS` of pairs at the threshold are missed.
 
 Small nodes are compared exhaustively by sketch, 4.5 standard deviations below the threshold; a node yields a spanning forest
-of its look-alikes, never its pairs. Connected components of all forests are clusters: no link leaves a cluster. Each
-cluster's full sets are then compared, one against all, in one task, and links are decided on exact counts. Clusters
-beyond `cluster_limit` documents are compared node by node instead, and their documents of crowded nodes block against block;
-their links are joined.
-
-Block against block: each pair of blocks of about `node_limit` documents is a task of its own. Pairs that links found before
-already join need no comparison: blocks of one such label are not laid against each other.
+of its look-alikes, never its pairs. What is still large after the last step counts as look-alikes without comparison. Connected
+components of all this are clusters: no link leaves a cluster. Links are decided on exact counts of full sets, for every
+cluster alike: its sets are dealt into blocks of at most about `block_bytes` and `node_limit` documents. Each block is compared
+within itself and with the cluster's first document, so that blocks of near copies join at once; then block is laid against
+block, each pair a task of its own, where documents are not joined yet. Blocks of one label need no comparison.
 
 Defined results: texts without words and rows without doc_id link with nothing (the latter get a null component and stay);
 repeated rows share their result, and rows that share a doc_id but not their text are each judged by their text; a document with fewer words than a shingle has its whole sequence as the only one;
@@ -150,19 +148,11 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def _split(table: pa.Table, s: int, e: int) -> int:
-    """How many rows of a group are the first block's: those are compared with the other rows only. 0 if all are compared with all."""
-    if "side" not in table.column_names:
-        return 0
-    first = int((table.column("side").slice(s, e - s).to_numpy() == 0).sum())
-    return first if first < e - s else 0
-
-
-def _alike(least: int, key: str = "node"):
-    """Per group: (a, b) for each document that has an earlier look-alike, b the first of those it reaches."""
+def _alike(least: int):
+    """Per node: (a, b) for each document that has an earlier look-alike, b the first of those it reaches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, key):
+        for table, bounds in whole_groups(batches, "node"):
             ids = table.column("id").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             sizes = np.diff(bounds)
@@ -170,11 +160,10 @@ def _alike(least: int, key: str = "node"):
             hit = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= least]
             a, b = [ids[hit + 1]], [ids[hit]]
             for s, e in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
-                forest, own, split = Forest(e - s), sketch[s:e], _split(table, s, e)
-                for i in range(split or e - s - 1):
-                    after = split or i + 1
-                    for j in np.flatnonzero((own[after:] == own[i]).sum(axis=1) >= least).tolist():
-                        forest.link(i, after + j)
+                forest, own = Forest(e - s), sketch[s:e]
+                for i in range(e - s - 1):
+                    for j in np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least).tolist():
+                        forest.link(i, i + 1 + j)
                 roots = np.array([forest.root(i) for i in range(e - s)])
                 moved = np.flatnonzero(roots != np.arange(e - s))
                 a.append(ids[s + moved])
@@ -184,63 +173,120 @@ def _alike(least: int, key: str = "node"):
     return run
 
 
-def _exact(key: str, size: int, share: tuple[int, int]):
-    """Per group: (a, b) for each document whose full set links it, directly or not, with an earlier row's id b of the group."""
-    part, whole = share
+class Block:
+    """Sets of one task. label holds a place of each place's group of documents that links join."""
+
+    def __init__(self, table: pa.Table, share: tuple[int, int], least: int):
+        raw = table.column("shingles").to_pylist()
+        self.lengths = np.array([len(x) // 8 for x in raw], np.int64)
+        self.ends = np.concatenate(([0], np.cumsum(self.lengths)))
+        self.codes = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)[1].astype(np.int32)
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        _, first, which = np.unique(table.column("label").to_numpy(), return_index=True, return_inverse=True)
+        self.label = first[which]
+        self.flag = np.zeros(int(self.codes.max()) + 1 if len(self.codes) else 1, np.int32)
+        (self.part, self.whole), self.least = share, least
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the other places that link with place i and are not joined with it yet."""
+        n, sizes = self.lengths[i], self.lengths[others]
+        others = others[(self.label[others] != self.label[i]) & (self.whole * np.minimum(n, sizes) >= self.part * np.maximum(n, sizes))]
+        others = others[(self.sketch[others] == self.sketch[i]).sum(axis=1) >= self.least]
+        if not len(others):
+            return others
+        mine = self.codes[self.ends[i] : self.ends[i + 1]]
+        sizes = self.lengths[others]
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(self.ends[others] - starts, sizes) + np.arange(int(sizes.sum()))
+        self.flag[mine] = 1
+        both = np.add.reduceat(self.flag[self.codes[at]], starts)
+        self.flag[mine] = 0
+        return others[self.whole * both >= self.part * (n + sizes - both)]
+
+    def compare(self, places: np.ndarray, against: np.ndarray | None = None) -> None:
+        """All pairs within the places, or of the places with others."""
+        for k, i in enumerate(places.tolist()):
+            found = self.linked(i, places[k + 1 :] if against is None else against)
+            if len(found):
+                groups = np.unique(np.append(self.label[found], self.label[i]))
+                self.label[np.isin(self.label, groups)] = groups[0]
+
+
+def _confirm(share: tuple[int, int], least: int):
+    """Per cell: (a, b) for each document that links join with another one of the cell. Sides 0 and 1 are compared with each other, one side within itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_groups(batches, key):
-            ids = table.column("id").to_numpy()
+        for table, bounds in whole_groups(batches, "cell"):
+            ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
             a, b = [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if e - s < 2:
                     continue
-                own = pa.concat_arrays(table.column("text").slice(s, e - s).chunks)
-                sets = [x for part in portions(own) for x in shingle_sets(part, size)]
-                lengths = np.array([len(x) for x in sets])
-                codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-                ends = np.concatenate(([0], np.cumsum(lengths)))
-                flag = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int32)
-                forest, split = Forest(e - s), _split(table, s, e)
-                for i in range(split or e - s - 1):
-                    after = split or i + 1
-                    mine = codes[ends[i] : ends[i + 1]]
-                    flag[mine] = 1
-                    both = np.add.reduceat(flag[codes[ends[after] :]], ends[after:-1] - ends[after])
-                    flag[mine] = 0
-                    together = lengths[i] + lengths[after:] - both
-                    for j in np.flatnonzero(whole * both >= part * together).tolist():
-                        forest.link(i, after + j)
-                for i in range(e - s):
-                    if (r := forest.root(i)) != i:
-                        a.append(ids[s + i])
-                        b.append(ids[s + r])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                block = Block(table.slice(s, e - s), share, least)
+                here, there = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
+                block.compare(here, there if len(there) else None)
+                moved = np.flatnonzero(block.label != np.arange(e - s))
+                a.append(ids[s + moved])
+                b.append(ids[s + block.label[moved]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
 
 
-def _in_blocks(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """rows: (id, group, label). (id, pair, side) for each pair of blocks of a group that must be compared, and the table behind it.
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """texts (id, cluster, blocks, text) with h1 and sorted hashes of the shingles instead of the text. Repeated rows come once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = 0
+            for part in portions(batch.column(3)):
+                made = shingle_sets(part, size)
+                h1 = np.array([mixed(x).sum(dtype=np.uint64) for x in made], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(part)) for k in range(3)), pa.array(h1), pa.array([x.tobytes() for x in made], pa.binary())], names=["id", "cluster", "blocks", "h1", "shingles"])
+                start += len(part)
+
+    made = texts.mapInArrow(run, "id long, cluster long, blocks long, h1 long, shingles binary")
+    return made.groupBy("id", "h1").agg(*(F.first(c).alias(c) for c in ("cluster", "blocks", "shingles")))
+
+
+def _in_blocks(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """rows: (id, cluster, label, bytes). (id, cell, side) for each pair of blocks of a cluster that must be compared, and the table behind it.
 
     A label with more than half a block has blocks of its own, which are not laid against each other; the others are dealt by label.
     """
-    labels = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("size"))
+    labels = rows.groupBy("cluster", "label").agg(F.sum("bytes").alias("size"))
     own = F.col("size") > limit / 2
-    several = labels.groupBy("group").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(own, 0).otherwise(F.col("size"))).alias("rest")).where("labels > 1")
-    named = labels.join(several, "group").select("group", "label", own.alias("own"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / limit).alias("n"))
+    several = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(own, 0).otherwise(F.col("size"))).alias("rest")).where("labels > 1")
+    named = labels.join(several, "cluster").select("cluster", "label", own.alias("own"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / limit).alias("n"))
     one_of = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
     only = F.when(F.col("own"), F.col("label"))
-    dealt = rows.join(named, ["group", "label"]).select("id", "group", only.alias("only"), F.xxhash64("own", F.coalesce(only, F.lit(0)), F.pmod(one_of, F.col("n"))).alias("block"))
+    dealt = rows.join(named, ["cluster", "label"]).select("id", "cluster", "label", only.alias("only"), F.xxhash64("own", F.coalesce(only, F.lit(0)), F.pmod(one_of, F.col("n"))).alias("block"))
     dealt = materialise(dealt, "blocks")
-    blocks = dealt.select("group", "block", "only").distinct()
-    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.group = y.group AND x.block <= y.block AND NOT coalesce(x.only = y.only, false)"))
-    pairs = pairs.selectExpr("x.group", "x.block a", "y.block b", "xxhash64(x.group, x.block, y.block) pair")
-    sides = pairs.selectExpr("group", "a block", "pair", "0 side").unionAll(pairs.where("a < b").selectExpr("group", "b block", "pair", "1 side"))
-    return dealt.join(sides, ["group", "block"]).select("id", "pair", "side"), dealt
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int | None = None, node_limit: int = 2048, cluster_limit: int = 4096, steps: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    blocks = dealt.select("cluster", "block", "only").distinct()
+    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.cluster = y.cluster AND x.block <= y.block AND NOT coalesce(x.only = y.only, false)"))
+    pairs = pairs.selectExpr("x.cluster", "x.block a", "y.block b", "xxhash64(x.cluster, x.block, y.block) cell")
+    sides = pairs.selectExpr("cluster", "a block", "cell", "0 side").unionAll(pairs.where("a < b").selectExpr("cluster", "b block", "cell", "1 side"))
+    return dealt.join(sides, ["cluster", "block"]).select("id", "label", "cell", "side"), dealt
+
+
+def _links(sets: DataFrame, share: tuple[int, int], least: int, block_bytes: int, block_rows: int) -> DataFrame:
+    """(a, b) that join what links join, for sets (id, cluster, blocks, sketch, shingles); a cluster is the smallest id in it."""
+    every = F.when(F.col("id") == F.col("cluster"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    cells = sets.withColumn("of", F.explode(every)).select(F.xxhash64("cluster", "of").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "sketch", "shingles")
+    check = lambda cells: cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_confirm(share, least), "a long, b long")
+    found = materialise(check(cells), "links")
+    wide = sets.where("blocks > 1")
+    if wide.isEmpty():
+        return found
+    labels = components(found.join(wide.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
+    size = F.greatest(F.octet_length("shingles"), F.lit(block_bytes // block_rows)).alias("bytes")
+    rows = wide.select("id", "cluster", size).join(labels, "id", "left")
+    open_, _ = _in_blocks(rows.selectExpr("id", "cluster", "coalesce(component, id) label", "bytes"), block_bytes)
+    return found.unionAll(check(open_.join(wide.select("id", "sketch", "shingles"), "id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int | None = None, node_limit: int = 2048, block_bytes: int = 8 << 20, steps: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
     Documents link if share[1] * |A & B| >= share[0] * |A | B|. component_id is the smallest id that links reach; kept says
@@ -258,11 +304,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     member = materialise(member, "classes")
     reps = real.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
     reps = reps.dropDuplicates(["h1", "h2", "n", "id"])
-    reps = materialise(reps.select("id", "tokens", "sketch"), "representatives")
+    reps = materialise(reps.select("id", "h1", "n", "tokens", "sketch"), "representatives")
     discard(found, classes)
 
     rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees, steps), "id long, tree int, node long"), None, [reps]
-    crowded = None
+    crowd = None
     for step in range(1, steps + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = materialise(rows.join(sizes, "node"), "nodes")
@@ -274,46 +320,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
             break
         if step < steps:
             rows = large.select("id", "tree", "node").join(reps.select("id", "tokens"), "id").select("id", "tree", "node", "tokens").mapInArrow(_branch(trees, steps, step), "id long, tree int, node long")
-    else:  # what the tokens do not divide: first links by the smallest of each node, then all pairs that these leave open
-        crowded = large.select("id", "node").distinct()
+    else:  # what the tokens do not divide
         firsts = large.groupBy("node").agg(F.min("id").alias("b"))
-        small = small.unionAll(large.join(firsts, "node").selectExpr("id", "xxhash64(id, b) node")).unionAll(large.join(firsts, "node").selectExpr("b id", "xxhash64(id, b) node"))
+        crowd = large.join(firsts, "node").select(F.col("id").alias("a"), "b")
 
     # 4.5 standard deviations of an estimate from SKETCH values at the threshold itself.
     s = part / whole
     least = int(np.ceil(SKETCH * (s - 4.5 * np.sqrt(s * (1 - s) / SKETCH))))
     sketched = small.join(reps.select("id", "sketch"), "id").select("id", "node", "sketch")
     look = sketched.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_alike(least), "a long, b long")
-    if crowded is not None:
-        look = materialise(look, "look-alikes")
-        labels = components(look).withColumnRenamed("component", "label")
-        open_, dealt = _in_blocks(crowded.join(labels, "id", "left").selectExpr("id", "node group", "coalesce(label, id) label"), node_limit)
-        used += [look, dealt]
-        open_ = open_.join(reps.select("id", "sketch"), "id").repartition("pair").sortWithinPartitions("pair", "side", "id")
-        look = look.unionAll(open_.mapInArrow(_alike(least, "pair"), "a long, b long"))
-    clusters = materialise(components(look), "clusters")
-
-    cluster_sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    whole_ones = clusters.join(cluster_sizes.where(F.col("size") <= cluster_limit).select("component"), "component", "left_semi")
-    near = texts.join(whole_ones, "id").select("component", "id", "text")
-    exact = near.repartition("component").sortWithinPartitions("component", "id").mapInArrow(_exact("component", shingle, share), "a long, b long")
-    linked = materialise(exact, "links").selectExpr("a id", "b component")  # read again when the result is
-    over = clusters.join(cluster_sizes.where(F.col("size") > cluster_limit).select("component"), "component", "left_semi").select("id")
-    over = materialise(over, "large-clusters")
-    if not over.isEmpty():
-        near = small.join(over, "id", "left_semi").join(texts, "id").select("node", "id", "text")
-        exact = near.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_exact("node", shingle, share), "a long, b long")
-        if crowded is not None:
-            exact = materialise(exact, "links-of-nodes")
-            labels = components(exact).withColumnRenamed("component", "label")
-            members = clusters.join(over, "id", "left_semi").join(crowded.select("id").distinct(), "id", "left_semi")
-            open_, dealt = _in_blocks(members.join(labels, "id", "left").selectExpr("id", "component group", "coalesce(label, id) label"), node_limit)
-            used += [exact, dealt]
-            open_ = open_.join(texts, "id").repartition("pair").sortWithinPartitions("pair", "side", "id")
-            exact = exact.unionAll(open_.mapInArrow(_exact("pair", shingle, share), "a long, b long"))
-        linked = linked.unionAll(components(exact))
-    discard(over, clusters, *used)
-    linked = linked.where("id <> component").groupBy("id").agg(F.min("component").alias("component"))
+    clusters = materialise(components(look if crowd is None else look.unionAll(crowd)), "clusters")
+
+    sized = clusters.select("id", F.col("component").alias("cluster")).join(reps.select("id", "n"), "id")
+    blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") * 8 / block_bytes, F.count(F.lit(1)) / node_limit)).alias("blocks"))
+    near = clusters.select("id", F.col("component").alias("cluster")).join(blocks, "cluster")
+    sets = _sets(texts.join(near, "id").select("id", "cluster", "blocks", "text"), shingle)
+    sets = materialise(sets.join(reps.select("id", "h1", "sketch"), ["id", "h1"]), "sets")
+    linked = components(_links(sets, share, least, block_bytes, node_limit)).where("id <> component")
+    discard(sets, clusters, *used)
 
     out = member.join(linked.selectExpr("id rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep")

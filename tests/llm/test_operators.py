@@ -84,11 +84,11 @@ def test_near_duplicates(spark, rows, folder):
 
 
 def test_near_duplicates_with_small_limits(spark, rows):
-    """Nodes that branch, and clusters that are compared node by node."""
+    """Nodes that branch, and clusters of many blocks."""
     base = rows[3][1].split(" ") * 2
     texts = [(1000 + k, " ".join(base[: 120 + k])) for k in range(14)] + [(r[0], r[1]) for r in rows[:20]]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, trees=16, node_limit=3, cluster_limit=4).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, trees=16, node_limit=3, block_bytes=4000).collect()}
     assert got == near_by_force(texts, 5, 80, 100)
 
 
@@ -114,15 +114,67 @@ def test_trees_meet_the_target():
 
 
 def test_near_duplicates_under_a_hot_template(spark):
-    """Pairs within a group of look-alikes below the threshold that no token divides: all nodes crowded, one large cluster."""
+    """Pairs within a group of look-alikes below the threshold that no token divides: all nodes crowded, one large cluster of many blocks."""
     texts = hot_template(400, 21, 1)
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, share=(85, 100), node_limit=16, cluster_limit=64).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, share=(85, 100), node_limit=16, block_bytes=16 << 10).collect()}
     want = near_by_force(texts, 3, 85, 100)
     assert sum(not k for *_, k in want.values()) == 134
     assert got == want
 
 
+def test_near_duplicates_of_deep_nodes(spark):
+    """Pairs at 0.85 to 0.9 in nodes six steps deep: the trees follow from the steps."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(300):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        other = list(own)
+        for k in rng.choice(118, 2, replace=False):
+            other[k] = f"e{i}x{k}"  # up to six of 118 shingles on either side
+        texts += [(i, " ".join(own)), (1000 + i, " ".join(other))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, shingle=3, share=(85, 100), node_limit=1, steps=6).collect()}
+    want = near_by_force(texts, 3, 85, 100)
+    pairs = [i for i in range(300) if not want[1000 + i][2]]
+    found = sum(got[1000 + i] == want[1000 + i] for i in pairs)
+    assert len(pairs) > 250 and found >= 0.99 * len(pairs)
+    assert all(got[i][1] in (i, want[i][1]) for i in got)  # nothing but real links
+
+
+def test_near_duplicates_of_one_great_cluster(spark):
+    """10,000 distinct look-alikes, more than a node or a block holds, against all pairs."""
+    rng = np.random.default_rng(22)
+    n, size = 10_000, 40
+    base = [f"b{k}" for k in range(size)]
+    texts = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.choice(size, int(rng.integers(1, 5)), replace=False):
+            own[k] = f"o{int(rng.integers(30))}x{k}"
+        texts.append((i, " ".join(own)))
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=1, share=(90, 100), node_limit=1000, block_bytes=100_000).collect()}
+    names = {w: k for k, w in enumerate(sorted({w for _, t in texts for w in t.split()}))}
+    held = np.zeros((n, len(names)), np.float32)
+    for i, t in texts:
+        held[i, [names[w] for w in t.split()]] = 1
+    label = np.arange(n)
+    for i in range(n):
+        both = held[i:] @ held[i]
+        linked = i + np.flatnonzero(100 * both >= 90 * (2 * size - both))
+        groups = np.unique(label[linked])
+        if len(groups) > 1:
+            label[np.isin(label, groups)] = groups[0]
+    assert {i: int(label[i]) for i in range(n)} == {i: c for i, (c, _) in got.items()} and len(np.unique(label)) > 5
+
+
+def test_near_duplicates_in_a_chain(spark):
+    """Successive revisions, each linked only with the next, whose ids rise."""
+    texts = [(i, " ".join(f"r{i + k}" for k in range(40))) for i in range(1500)]
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=1, share=(95, 100))
+    assert got.count() == 1500 and got.where("component_id <> 0").count() == 0
+
+
 def test_substrings(spark, rows, folder):
     window = 35
     counts = Counter()
