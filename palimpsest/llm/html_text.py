@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -135,35 +136,46 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks in page order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, beside the article, in the article
+    #: Element, beside the article, in the article, and the block that an inline element beside the article interrupts.
+    stack: list[tuple[str, bool, bool, Block | None]] = []
+    opened: Counter[str] = Counter()
     aside = article = False
     links = 0
     block = Block()
 
+    def finish(done: Block) -> None:
+        if done.parts and done.close():
+            out.append(done)
+
+    def kind() -> str:
+        return next((t for t, *_ in reversed(stack) if t in BLOCKS), "")
+
     def border() -> None:
         nonlocal block
-        if block.parts and block.close():
-            out.append(block)
-        kind = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-        block = Block(aside=aside, article=article, kind=kind)
+        if opened["/"]:  # blocks that go on behind an inline element do so as blocks of their own if a border stands in it
+            for i, (tag, beside, own, held) in enumerate(stack):
+                if held is not None and held.parts:
+                    finish(held)
+                    stack[i] = tag, beside, own, Block(aside=held.aside, article=held.article, kind=held.kind)
+        finish(block)
+        block = Block(aside=aside, article=article, kind=kind())
 
     def leave(depth: int) -> None:
-        nonlocal aside, article, links
-        bordering = False
+        nonlocal aside, article, links, block
         while len(stack) > depth:
-            tag = stack.pop()[0]
+            tag, _, _, held = stack.pop()
+            opened[tag] -= 1
             links -= tag == "a"
-            bordering = bordering or tag in BLOCKS
-        _, aside, article = stack[-1] if stack else ("", False, False)
-        if bordering:
-            border()
-        else:
-            block.aside = block.aside if block.parts else aside
+            _, aside, article, _ = stack[-1] if stack else ("", False, False, None)
+            if held is not None:
+                opened["/"] -= 1
+                finish(block)
+                block = held
+            if tag in BLOCKS:
+                border()
 
     def say(text: str) -> None:
         if text:
-            if aside and not block.aside and not block.parts:
-                block.aside = True
             block.parts.append(text)
             if links:
                 block.linked.append(text)
@@ -182,7 +194,7 @@ def blocks_of(page: str) -> list[Block]:
         if not tag:
             continue
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
+            for depth in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[depth][0] == tag:
                     leave(depth)
                     break
@@ -199,7 +211,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "br":
             say(" ")
             continue
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in ENDS) else ():
             if tag in ENDS.get(stack[depth][0], ()):
                 leave(depth)
                 break
@@ -210,14 +222,21 @@ def blocks_of(page: str) -> list[Block]:
                 border()
             continue
         beside, own = _marks(tag, attributes, article)
+        inline = beside and not aside and tag not in BLOCKS
+        stack.append((tag, aside or beside, article or own, block if inline else None))
         aside, article = aside or beside, article or own
-        stack.append((tag, aside, article))
+        opened[tag] += 1
         links += tag == "a"
-        if tag in BLOCKS or beside:
+        if inline:
+            opened["/"] += 1
+            block = Block(aside=True, article=article, kind=kind())
+        elif tag in BLOCKS:
             border()
-    if block.parts and block.close():
-        out.append(block)
-    return [b for b in out if not any(t == "head" for t in (b.kind,))]
+    finish(block)
+    for *_, held in reversed(stack):
+        if held is not None:
+            finish(held)
+    return [b for b in out if b.kind != "head"]
 
 
 def described(blocks: list[Block]) -> list[tuple[float, ...]]:
@@ -264,8 +283,8 @@ UNMARKED = [
     ("item", 15, 0.9, "", "TT LL L- -L LT TL tt"),
     ("item", 2, 1.0, "", "TT LL L- -L LT TL tt"),
 ]
-#: Within an article every block is main text, and beside it none, whatever stands around it.
-MARKED = [(kind, words, links) for kind in ("paragraph", "block", "heading", "item") for words, links in ((1, 0.0), (3, 0.0), (3, 1.0), (5, 0.2), (9, 0.1), (17, 0.0), (40, 0.0), (35, 0.5))]
+#: Within an article a run of links is a menu; every other block is main text. Beside it nothing is.
+MARKED = [(kind, words, links) for kind in ("paragraph", "block", "heading", "item") for words, links in ((1, 0.0), (3, 0.0), (3, 1.0), (5, 0.2), (9, 0.1), (9, 1.0), (17, 0.0), (40, 0.0), (35, 0.5))]
 
 
 def labelled_rows() -> list[tuple]:
@@ -277,7 +296,8 @@ def labelled_rows() -> list[tuple]:
     out = [row(0, 0, kind, words, links, pair, label) for kind, words, links, yes, no in UNMARKED for label, pairs in ((1, yes), (0, no)) for pair in pairs.split()]
     for kind, words, links in MARKED:
         for pair in (a + b for a in NEIGHBOURS for b in NEIGHBOURS):
-            out += [row(0, 1, kind, words, links, pair, 1), row(1, 0, kind, words, links, pair, 0), row(1, 1, kind, words, links, pair, 0)]
+            menu = links == 1.0 and "L" in pair and kind != "heading"
+            out += [row(0, 1, kind, words, links, pair, int(not menu)), row(1, 0, kind, words, links, pair, 0), row(1, 1, kind, words, links, pair, 0)]
     return out
 
 

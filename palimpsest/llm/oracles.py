@@ -74,3 +74,19 @@ WITH RECURSIVE usable AS (
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, min(r.r) AS component_id, min(r.r) = e.vec_id AS kept
 FROM embeddings e JOIN reached r ON r.id = e.vec_id GROUP BY e.vec_id
 """
+
+#: For pages as the tables have them: one article, in which nothing is beside it, with the few references named here.
+OP4_SQL = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)(?:</article>|\z)', 1), '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS article FROM pages
+), parts AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(article, '<br[^>]*>', ' ', 'g'), '</?(?:p|h[1-6]|div|section|ul|ol|li|blockquote|table|tr|td|th|pre)(?:[ /][^>]*)?>', chr(30), 'g'), chr(30)) AS part FROM articles
+), blocks AS (
+  SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(part[i], '<[/!?a-zA-Z][^>]*(?:>|\z)', '', 'g'),
+    '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS block
+  FROM (SELECT page_id, url, part, unnest(range(1, len(part) + 1)) AS i FROM parts)
+), texts AS (
+  SELECT page_id, url, coalesce(string_agg(replace(block, '&amp', '&'), chr(10) ORDER BY i) FILTER (WHERE block <> ''), '') AS text FROM blocks GROUP BY page_id, url
+)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts
+"""

@@ -8,7 +8,7 @@ from palimpsest.llm.embedding_dup import op9_embedding_dedup
 from palimpsest.llm.html_text import op4_html_text
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
 from palimpsest.llm.near_dup import op3_minhash_dedup
-from palimpsest.llm.oracles import OP2_SQL, OP3_SQL, OP7_SQL, OP9_SQL
+from palimpsest.llm.oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL, OP9_SQL
 from palimpsest.llm.quality import op1_quality
 from palimpsest.llm.substring_dedup import op7_substring_dedup
 from palimpsest.llm.token_file import op8_token_file
@@ -30,6 +30,7 @@ QUERIES = {
 SQL = {
     "op2_chat_format": OP2_SQL,
     "op3_minhash_dedup": OP3_SQL,
+    "op4_html_text": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_dedup": OP9_SQL,

@@ -11,7 +11,7 @@ from helpers import write_tables
 from pyspark.sql import functions as F
 
 from palimpsest.llm.chat_format import Escaper, Template, format_conversations, op2_chat_format, read_back
-from palimpsest.llm.html_text import Tags, default_tree, labelled_rows, main_text, op4_html_text
+from palimpsest.llm.html_text import FEATURES, Tags, blocks_of, default_tree, described, grow, labelled_rows, main_text, op4_html_text
 from palimpsest.llm.quality import fit, held_out, op1_quality, score
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
@@ -105,6 +105,63 @@ def test_unbalanced_quotes_take_linear_time():
         assert time.perf_counter() - start < 20, part
 
 
+#: Pages whose blocks begin with + if they are main text and with - if not.
+LABELLED = [
+    """<table><tr><td><a href=1>-Home</a> <a href=2>News</a> <a href=3>Sport</a></td></tr><tr><td><a href=4>-Log on</a> | <a href=5>Help</a></td></tr>
+    <tr><td><p>+The council met on Monday and voted, after a long debate, for the new bridge over the river at the old mill.<p>+It will open in May.<p>+Work on both banks begins as soon as the water is low enough,
+    which engineers expect for the end of the summer at the latest.</td></tr><tr><td><a href=6>-About us</a> <a href=7>Contact</a></td></tr><tr><td><a href=8>-Terms</a> <a href=9>Privacy</a></td></tr></table>""",
+    """<div class=x1><div><a href=1>-Start</a></div><div><a href=2>-Archive</a></div><div><a href=3>-Authors</a></div></div><div class=x2><h2>+A short walk</h2><div>+We set out before dawn with nothing but bread and water, and
+    reached the pass when the sun stood high above the valley and the lake.</div><div>+From there the way leads down through larch woods to a hut where hikers can sleep for little money, if they have asked before.</div></div>
+    <div class=x3><div><a href=4>-Imprint</a></div><div><a href=5>-Back to the top</a></div></div>""",
+    """<article><h1>+Bread</h1><ul><li><a href=#a>-Flour</a></li><li><a href=#b>-Water</a></li><li><a href=#c>-Salt and yeast</a></li></ul><p>+Flour differs by mill and by year, so take the amounts for a start only.</p><p><a href=x>+The long version</a></p>
+    <p>+Knead <a href=y>slowly</a>.</p><h2>+Salt</h2><ul><li>+two spoons</li><li>+a pinch of sugar</li></ul><p>+Bake it hot.</p><div><a href=1>-Rolls</a></div><div><a href=2>-Cakes</a></div><div><a href=3>-Pies</a></div></article>""",
+    """<main><p>+One line.</p><section><p>+A second one with a few more words in it.</p><p>+Third.</p></section><p>+See <a href=1>this page and that one</a> for more on it.</p><ul><li><a href=1>-Older posts</a></li><li><a href=2>-Newer posts</a></li></ul></main>
+    <div id=comments><p>-I have read this with joy and would like to say that, of all that was ever written on this matter, it is the best by far.</p></div>""",
+    """<body><nav><a href=1>-Up</a></nav><p>+Here is a text that nobody has marked in any way at all, but which goes on for more than a dozen words.</p><pre>+and code that
+    belongs to it</pre><p>+It ends with a sentence of a good length, so that nobody takes it for a line of a menu or the like.</p><div>-<a href=1>Tags</a>: <a href=2>life</a>, <a href=3>work</a></div><div><a href=4>-Next</a></div><footer>-All rights reserved</footer></body>""",
+    """<div><a href=1>-Home</a></div><div>-Weather and traffic</div><div><a href=2>-Maps</a></div><div>+The storm that crossed the coast on Friday night has left eleven villages without power, and crews from three
+    counties are on their way.</div><div><a href=3>-More</a></div><div>-Service hotline</div><div><a href=4>-Call us</a></div><div>-Our newsletter</div><div><a href=5>-Read it</a></div>""",
+]
+
+
+def judged(feature_off=()):
+    """(right main blocks, wrong ones, missed ones) over the labelled pages, with a tree that sees nothing of some features."""
+    blind = lambda row: tuple(0 if name in feature_off else x for name, x in zip(FEATURES, row))
+    tree = grow([(*blind(row[:-1]), row[-1]) for row in labelled_rows()])
+    right = wrong = missed = 0
+    for page in LABELLED:
+        blocks = blocks_of(page)
+        for block, row in zip(blocks, described(blocks)):
+            main, said = block.text.startswith("+"), tree.is_text(blind(row))
+            right, wrong, missed = right + (main and said), wrong + (said and not main), missed + (main and not said)
+    return right, wrong, missed
+
+
+def test_blocks_of_labelled_pages():
+    right, wrong, missed = judged()
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95
+
+
+def test_links_and_neighbours_matter():
+    for off in (("links", "links_before", "links_after"), ("words", "words_before", "words_after"), ("links_before", "links_after", "words_before", "words_after")):
+        right, wrong, missed = judged(off)
+        assert wrong + missed >= 1 + sum(judged()[1:]), off
+
+
+def test_text_goes_on_behind_inline_asides():
+    assert main_text("<article><p>Alpha beta gamma <span class='ad'>Buy now</span> delta epsilon zeta.</p>") == "Alpha beta gamma delta epsilon zeta."
+    assert main_text("<article><p>Alpha <button>Share <b>it</b></button> delta</p><p>last") == "Alpha delta\nlast"
+    assert main_text("<article><div>one <span class=ad>x<div>y</div></span> two</div>three") == "one\ntwo\nthree"
+    assert main_text("<article><p>one <span class=ad>open</p><p>two <span class=ad>open") == "one\ntwo"
+
+
+def test_deep_nesting_takes_linear_time():
+    start = time.perf_counter()
+    for part in ("<b>", "<div>", "<b></i>", "<li><b>", "<span class=ad>", "<p><span class=ad>x"):
+        main_text("<article>" + part * 30_000)
+    assert time.perf_counter() - start < 60
+
+
 def test_tree_fits_its_table():
     tree = default_tree()
     assert all(tree.is_text(row[:-1]) == bool(row[-1]) for row in labelled_rows())
