@@ -4,15 +4,18 @@ import hashlib
 import random
 import time
 import zlib
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import write_tables
 from pyspark.sql import functions as F
 
+from palimpsest.llm import quality
 from palimpsest.llm.chat_format import Escaper, Template, format_conversations, op2_chat_format, read_back
 from palimpsest.llm.html_text import FEATURES, Tags, blocks_of, default_tree, described, grow, labelled_rows, main_text, op4_html_text
-from palimpsest.llm.quality import fit, held_out, op1_quality, score
+from palimpsest.llm.quality import Indicators, fit, held_out, op1_quality, packed, score, unpacked
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string"
 
@@ -197,6 +200,43 @@ def test_quality_never_learns_from_held_out_rows(spark):
     assert (one.weights == two.weights).all() and one.curve == two.curve
 
 
+TABLES = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not TABLES.is_dir(), reason="no tables")
+def test_quality_of_held_out_rows(spark):
+    """Real labels that the model never saw."""
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet").where("quality IS NOT NULL")
+    rows = op1_quality(spark, str(TABLES)).where("held_out").join(labels, "doc_id").select("quality", "predicted", "score").collect()
+    low, high = ([r.score for r in rows if r.quality == q] for q in (0, 1))
+    ordered = sum((b > a) + 0.5 * (b == a) for a in low for b in high) / (len(low) * len(high))
+    assert len(rows) > 40 and ordered > 0.95 and sum(r.quality == r.predicted for r in rows) >= 0.9 * len(rows)
+
+
+def test_quality_with_repeated_ids(spark):
+    """The model is the same whatever the order of rows and their partitions."""
+    rng = random.Random(11)
+    rows = [(i % 200, good(rng) if i % 2 else bad(rng)) for i in range(600)]
+    labels = [(i, i % 2) for i in range(200)] + [(3, 0), (3, 1)]
+    models = []
+    for n in (1, 7):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        models.append(fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), max_labels=100))
+    assert (models[0].weights == models[1].weights).all() and models[0].curve == models[1].curve
+
+
+def test_features_in_slices(monkeypatch):
+    rng = random.Random(3)
+    texts = pa.array(["".join(rng.choice("aab B1 .!\nc\u00e9") for _ in range(rng.randint(0, 60))) for _ in range(100)] + ["a a a a b b " * 9])
+    whole = [Indicators(texts).of(i) for i in range(len(texts))]
+    for size in (7, 8, 13):
+        monkeypatch.setattr(quality, "SLICE", size)
+        sliced = Indicators(texts)
+        assert all((sliced.of(i) == w).all() for i, w in enumerate(whole))
+    assert all((unpacked(packed(w)) == w).all() for w in [*whole, range(9000)] for w in [np.array(w)])
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
