@@ -333,11 +333,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
 
     sized = clusters.select("id", F.col("component").alias("cluster")).join(reps.select("id", "n"), "id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") * 8 / block_bytes, F.count(F.lit(1)) / node_limit)).alias("blocks"))
-    near = clusters.select("id", F.col("component").alias("cluster")).join(blocks, "cluster")
+    near = materialise(clusters.select("id", F.col("component").alias("cluster")).join(blocks, "cluster"), "clustered")
     sets = _sets(texts.join(near, "id").select("id", "cluster", "blocks", "text"), shingle)
     sets = materialise(sets.join(reps.select("id", "h1", "sketch"), ["id", "h1"]), "sets")
     linked = components(_links(sets, share, least, block_bytes, node_limit)).where("id <> component")
-    discard(sets, clusters, *used)
+    discard(sets, near, clusters, *used)
 
     out = member.join(linked.selectExpr("id rep", "component"), "rep", "left")
     component = F.coalesce("component", "rep")

@@ -3,10 +3,10 @@
 A cover D modulo v holds two elements of every difference: for any two places i and j some d < v puts both i + d and j + d on
 the cover. So two equal windows of W words share an anchor, a window of W - v + 1 words at a cover place, at equal distance
 from their starts. Only anchors (a fraction |D| / v of all places) are hashed and counted over the corpus. A window that
-holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' 128-bit hashes.
+holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' 96-bit hashes.
 
 Documents are dealt into shards of bounded size by a hash of doc_id. A shard gives each of its distinct hashes once, as a row
-of its own, and gets back those that stand elsewhere too, or twice in it: rows grow with the text, whatever the size of the
+of its own, and gets back the numbers of those that stand elsewhere too, or twice in it: rows grow with the text, whatever the size of the
 corpus, and a passage that stands in a third of all documents is one row a shard. Nothing is paired.
 
 Defined results: null or empty texts have no words; places are counted within rows, so repeated rows repeat each other;
@@ -30,8 +30,8 @@ SHARD_BYTES = 2 << 20
 
 
 def cover_for(window: int) -> int:
-    """The largest modulus of at most two fifths of the window; windows under 8 words need no cover: every place is an anchor."""
-    return max((v for v in COVERS if 5 * v <= 2 * window), default=1)
+    """The largest modulus of at most three fifths of the window; windows under 5 words need no cover: every place is an anchor."""
+    return max((v for v in COVERS if 5 * v <= 3 * window), default=1)
 
 
 class Shard:
@@ -59,7 +59,7 @@ class Shard:
         near = np.cumsum(edges[: len(words)]) > 0
         fits = words.places(self.window)
         self.at = fits[near[fits]]
-        self._set(words.runs(self.at, self.window), words.runs(self.at, self.window, 1))
+        self._set(words.runs(self.at, self.window), words.runs(self.at, self.window, 1) >> np.uint64(32))
 
     def _set(self, h1: np.ndarray, h2: np.ndarray | None) -> None:
         order = np.argsort(h1) if h2 is None else np.lexsort((h2, h1))
@@ -76,25 +76,24 @@ class Shard:
         self.times = np.minimum(np.diff(np.append(where, len(h1))), 2).astype(np.int8)
 
     def asked(self, name: int) -> pa.Table:
-        return pa.table({"shard": pa.array(np.full(len(self.h1), name, np.int32)), "h1": pa.array(self.h1.view(np.int64)), "h2": pa.array(self.h2.view(np.int64)), "times": pa.array(self.times)})
+        n = len(self.h1)
+        columns = np.full(n, name, np.int32), np.arange(n, dtype=np.int32), self.h1.view(np.int64), self.h2.astype(np.uint32).view(np.int32), self.times
+        return pa.table([pa.array(c) for c in columns], names=["shard", "entry", "h1", "h2", "times"])
 
     def answered(self, answers: pa.Table) -> np.ndarray:
-        """Which places are repeated in the corpus, from the entries that came back."""
-        h1, h2 = (answers.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
-        n = len(self.h1)
-        order = np.lexsort((np.repeat([0, 1], [n, len(h1)]), np.concatenate((self.h2, h2)), np.concatenate((self.h1, h1))))
-        entry = np.zeros(n, bool)
-        entry[order[np.flatnonzero(order >= n) - 1]] = True  # an answer comes right behind its entry
+        """Which places are repeated in the corpus, from the numbers of entries that came back."""
+        entry = np.zeros(len(self.h1), bool)
+        entry[answers.column("entry").to_numpy()] = True
         return entry[self.of]
 
 
-ASKED, ANSWER = "shard int, h1 long, h2 long, times tinyint", ["shard", "h1", "h2"]
+ASKED = "shard int, entry int, h1 long, h2 int, times tinyint"
 
 
 def _repeated(asked: DataFrame) -> DataFrame:
-    """The entries whose hash another shard has too, or that stand twice in their own."""
+    """(shard, entry) of the hashes that another shard has too, or that stand twice in their own."""
     times = F.sum("times").over(Window.partitionBy("h1", "h2"))
-    return asked.withColumn("all_times", times).where("all_times > 1").select(*ANSWER)
+    return asked.withColumn("all_times", times).where("all_times > 1").select("shard", "entry")
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -136,7 +135,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     by_shard = rows.groupBy("shard")
     anchors = _repeated(by_shard.applyInArrow(first, ASKED))
     windows = _repeated(by_shard.cogroup(anchors.groupBy("shard")).applyInArrow(second, ASKED))
-    both = anchors.select(*ANSWER, F.lit(0).alias("about")).unionAll(windows.select(*ANSWER, F.lit(1).alias("about")))
+    both = anchors.select("*", F.lit(0).alias("about")).unionAll(windows.select("*", F.lit(1).alias("about")))
     id_type = docs.schema[id_col].dataType.simpleString()
     return by_shard.cogroup(both.groupBy("shard")).applyInArrow(third, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
 
