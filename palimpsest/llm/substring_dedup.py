@@ -6,7 +6,7 @@ from their starts. Only anchors (a fraction |D| / v of all places) are hashed an
 holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' 96-bit hashes.
 
 Documents are dealt into shards of bounded size by a hash of doc_id. A shard gives each of its distinct hashes once, as a row
-of its own, and gets back the numbers of those that stand elsewhere too, or twice in it: rows grow with the text, whatever the size of the
+of its own, and gets back the numbers of those that stand elsewhere too: rows grow with the text, whatever the size of the
 corpus, and a passage that stands in a third of all documents is one row a shard. Nothing is paired.
 
 Defined results: null or empty texts have no words; places are counted within rows, so repeated rows repeat each other;
@@ -73,27 +73,30 @@ class Shard:
         self.of = np.empty(len(h1), np.int64)  # the entry of each place
         self.of[order] = np.cumsum(new) - 1
         self.h1, self.h2 = h1[where], np.zeros(len(where), np.uint64) if h2 is None else h2[where]
-        self.times = np.minimum(np.diff(np.append(where, len(h1))), 2).astype(np.int8)
+        self.twice = np.diff(np.append(where, len(h1))) > 1
 
     def asked(self, name: int) -> pa.Table:
+        """A row for each hash: shard, h1, and in one number h2, the entry's number and whether the shard has it twice."""
         n = len(self.h1)
-        columns = np.full(n, name, np.int32), np.arange(n, dtype=np.int32), self.h1.view(np.int64), self.h2.astype(np.uint32).view(np.int32), self.times
-        return pa.table([pa.array(c) for c in columns], names=["shard", "entry", "h1", "h2", "times"])
+        rest = self.h2 << np.uint64(32) | np.arange(n, dtype=np.uint64) << np.uint64(1) | self.twice
+        return pa.table([pa.array(np.full(n, name, np.int32)), pa.array(self.h1.view(np.int64)), pa.array(rest.view(np.int64))], names=["shard", "h1", "rest"])
 
     def answered(self, answers: pa.Table) -> np.ndarray:
         """Which places are repeated in the corpus, from the numbers of entries that came back."""
-        entry = np.zeros(len(self.h1), bool)
+        entry = self.twice.copy()
         entry[answers.column("entry").to_numpy()] = True
         return entry[self.of]
 
 
-ASKED = "shard int, entry int, h1 long, h2 int, times tinyint"
+ASKED = "shard int, h1 long, rest long"
 
 
 def _repeated(asked: DataFrame) -> DataFrame:
-    """(shard, entry) of the hashes that another shard has too, or that stand twice in their own."""
-    times = F.sum("times").over(Window.partitionBy("h1", "h2"))
-    return asked.withColumn("all_times", times).where("all_times > 1").select("shard", "entry")
+    """(shard, entry) of the hashes that another shard has too; what a shard has twice it knows itself."""
+    twice = F.col("rest").bitwiseAND(1)
+    times = F.sum(twice + 1).over(Window.partitionBy("h1", F.shiftright("rest", 32)))
+    entry = F.shiftright(F.col("rest").bitwiseAND(2**32 - 1), 1).cast("int")
+    return asked.withColumn("times", times).where((F.col("times") > 1) & (twice == 0)).select("shard", entry.alias("entry"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
