@@ -5,12 +5,13 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.calls import call_frame
+from palimpsest.operators.calls import call_in_stages
 from palimpsest.operators.credentials import decode_credential, encode_binary
 from palimpsest.operators.masking import mask_frame, restored, roundtrip_frame, span_frame
 from palimpsest.sources.chat_client import ChatClient
@@ -47,7 +48,10 @@ def run(spark: SparkSession, command: str, text: str, args: argparse.Namespace)
         return f"--- masked ---\n{row.masked}\n--- restored ---\n{row.restored}\n", row.same
     held = parse_key_file(Path(setting("api_key_file", args.api_key_file, file)).expanduser().read_bytes())
     client = ChatClient(held["base_url"], held["api_key"], held["model"])
-    return call_frame(df, client, args.model or "", temperature(args.temperature, file), options=options).first().restored, True
+    with tempfile.TemporaryDirectory() as folder:  # one text: stages are timed one by one
+        out, spent = call_in_stages(df.withColumn("item", F.lit(0)), "item", folder, client, args.model or "", temperature(args.temperature, file), options=options, language_col="language")
+        text = out.first().restored
+    return (json.dumps({"text": text, **{k: round(v, 3) for k, v in spent.items()}}, ensure_ascii=False) if args.json else text), True
 
 
 def main(argv: list[str] | None = None) -> int:

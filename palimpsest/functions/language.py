@@ -17,14 +17,20 @@ def detect(text: Column) -> Column:
 
     Kana or Hangul decide if they are a quarter of all letters; Chinese characters if they are a tenth of other letters.
     """
-    count = lambda pattern: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
-    counts = F.struct(
-        count(f"[{_KANA}]").alias("kana"),
-        count(r"\p{IsHangul}").alias("hangul"),
-        count(r"\p{IsHan}").alias("han"),
-        count(rf"[\p{{L}}&&[^{_KANA}\p{{IsHangul}}\p{{IsHan}}]]").alias("other"),
-        count(f"[{TRADITIONAL}]").alias("traditional"),
-    )
+    text = F.coalesce(text, F.lit(""))
+    # ASCII letters are counted by what is left without them; all other counts need what is not ASCII only.
+    rest = F.regexp_replace(text, r"[\x00-\x7F]+", "")
+    letters = F.char_length(text) - F.char_length(F.regexp_replace(text, "[A-Za-z]+", ""))
+
+    def counts(rest: Column) -> Column:
+        count = lambda pattern: F.regexp_count(rest, F.lit(pattern))
+        return F.struct(
+            count(f"[{_KANA}]").alias("kana"),
+            count(r"\p{IsHangul}").alias("hangul"),
+            count(r"\p{IsHan}").alias("han"),
+            (letters + count(rf"[\p{{L}}&&[^{_KANA}\p{{IsHangul}}\p{{IsHan}}]]")).alias("other"),
+            count(f"[{TRADITIONAL}]").alias("traditional"),
+        )
 
     def decided(c: Column) -> Column:
         total = c["kana"] + c["hangul"] + c["han"] + c["other"]
@@ -37,7 +43,8 @@ def detect(text: Column) -> Column:
             .otherwise("zh-Hans")
         )
 
-    return bind(counts, decided)
+    plain = F.when(F.regexp_like(text, F.lit("[A-Za-z]")), "en").otherwise("")
+    return F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(bind(bind(rest, counts), decided))
 
 
 def is_chinese(language: Column) -> Column:

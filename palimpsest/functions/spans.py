@@ -27,6 +27,32 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """step over the values so far, from 0 on, for each place of an array of ints.
+
+    In chunks of about the square root of its size: a fold that appends copies what it has, so one over all would be quadratic.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def folded(chunk: Column) -> Column:
+        return F.aggregate(chunk, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x))).alias("out")))
+
+    def joined(chunks: Column) -> Column:
+        before = F.aggregate(chunks, start, lambda acc, c: F.struct(step(acc["at"], c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, before, lambda c, b: F.transform(c["out"], lambda x: step(b, x))))
+
+    def over(v: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(1), F.size(v), width), lambda at: folded(F.slice(v, at, width)))
+        return F.when(F.size(v) > 0, bind(chunks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return bind(values, over)
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, b: a + b)
+
+
 def _guarded(text: Column, rule: Rule) -> Column | None:
     if rule.guards:
         lower = F.translate(F.lower(text), "ſ", "s")  # the one letter that folds to ASCII but does not lower to it
@@ -45,10 +71,10 @@ def rule_spans(text: Column, rule: Rule, order: int, pattern: str | None = None)
     def placed(values: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        rows = F.zip_with(F.slice(gaps, 1, F.size(values)), F.zip_with(labels, values, lambda a, b: F.struct(F.octet_length(a).alias("label"), F.octet_length(b).alias("value"))), lambda g, r: F.struct((F.octet_length(g) + r["label"]).alias("skip"), r["value"].alias("size")))
-        start = F.struct(F.lit(0).alias("at"), no_spans().alias("spans"))
-        step = lambda acc, r: F.struct((acc["at"] + r["skip"] + r["size"]).alias("at"), F.concat(acc["spans"], F.array(made(acc["at"] + r["skip"], acc["at"] + r["skip"] + r["size"]))).alias("spans"))
-        return F.when(F.size(values) > 0, F.aggregate(rows, start, step, lambda acc: acc["spans"])).otherwise(no_spans())
+        skips = F.zip_with(F.slice(gaps, 1, F.size(values)), labels, lambda g, a: F.octet_length(g) + F.octet_length(a))
+        sizes = F.zip_with(skips, values, lambda skip, v: skip + F.octet_length(v))
+        spans = F.zip_with(running_sum(sizes), values, lambda end, v: made(end - F.octet_length(v), end))
+        return F.when(F.size(values) > 0, spans).otherwise(no_spans())
 
     found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), placed)
     guard = _guarded(text, rule)
@@ -102,11 +128,24 @@ def dedup_same_range(spans: Column) -> Column:
     return sort_by_start(F.filter(spans, lambda s: ~F.exists(spans, lambda o: better(o, s))))
 
 
-def resolved(spans: Column) -> Column:
+def _greedy(spans: Column) -> Column:
     """Greedy choice of disjoint spans: higher score, then longer, then earlier, then first recognised; by start."""
     best = _ordered(spans, lambda s: -s["score"], lambda s: s["start"] - s["end"], lambda s: s["start"], lambda s: s["ord"])
     taken = F.aggregate(best, no_spans(), lambda acc, s: F.when(overlaps_any(s, acc), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.when(F.size(spans) > 1, sort_by_start(taken)).otherwise(spans)
+    return sort_by_start(taken)
+
+
+def resolved(spans: Column) -> Column:
+    """Greedy choice of disjoint spans, by start. Spans that overlap directly or through others are one group; each group is judged by itself."""
+
+    def grouped(s: Column, reach: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(reach, i - 1)))
+        groups = bind(heads, lambda h: F.transform(h, lambda at, k: F.slice(s, at + 1, F.coalesce(F.get(h, k + 1), F.size(s)) - at)))
+        return F.flatten(F.transform(groups, lambda g: F.when(F.size(g) > 1, _greedy(g)).otherwise(g)))
+
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.greatest)
+    judged = bind(sort_by_start(spans), lambda s: bind(reach(s), lambda r: grouped(s, r)))
+    return F.when(F.size(spans) > 1, judged).otherwise(spans)
 
 
 def normalized(spans: Column, least: float = 0.5) -> Column:
@@ -114,6 +153,23 @@ def normalized(spans: Column, least: float = 0.5) -> Column:
     return bind(filter_by_score(spans, least), resolved)
 
 
+def between(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """text with put(span, place) instead of each of the spans, which come by start."""
+    end = lambda i: F.coalesce(F.get(spans, i)["end"], F.lit(0))
+
+    def rebuilt(data: Column) -> Column:
+        pieces = F.transform(spans, lambda s, i: F.concat(slice_of(data, end(i - 1), F.greatest(s["start"] - end(i - 1), F.lit(0))), put(s, i)))
+        last = end(F.size(spans) - 1)
+        return F.concat(F.array_join(pieces, ""), slice_of(data, last, F.octet_length(data) - last))
+
+    return bind(text.cast("binary"), rebuilt)
+
+
+def slice_of(data: Column, start: Column, size: Column) -> Column:
+    """Bytes of binary data by offset, as text. Where many slices of a text are taken its bytes are bound first: the cast copies it."""
+    return F.substring(data, start + 1, size).cast("string")
+
+
 def slice_bytes(text: Column, start: Column, size: Column) -> Column:
     """Bytes of a text by offset, as text."""
-    return F.substring(text.cast("binary"), start + 1, size).cast("string")
+    return slice_of(text.cast("binary"), start, size)

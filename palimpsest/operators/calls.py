@@ -6,14 +6,14 @@ A client is any callable (model, prompt, temperature) -> reply; only masked text
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from palimpsest.operators.masking import Options, mask_frame, restored
+from palimpsest.operators.masking import Options, fresh, mask_frame, restore_frame, restored, unclaimed
 
 Client = Callable[[str, str, float], str]
 
@@ -23,19 +23,47 @@ def echo(model: str, prompt: str, temperature: float) -> str:
     return prompt
 
 
-def call_frame(df: DataFrame, client: Client = echo, model: str = "", temperature: float = 0.0, text_col: str = "text", options: Options | None = None) -> DataFrame:
+def asking(client: Client, model: str, temperature: float) -> Callable[[Column], Column]:
+    """A function of a column of prompts that gives struct(reply, ms). Nothing but the prompts goes to Python."""
+
+    @arrow_udf("struct<reply:string,ms:double>")
+    def ask(prompts: pa.Array) -> pa.Array:
+        replies, spent = [], []
+        for prompt in prompts.to_pylist():
+            began = time.perf_counter()
+            replies.append(None if prompt is None else client(model, prompt, temperature))
+            spent.append((time.perf_counter() - began) * 1000)
+        return pa.StructArray.from_arrays([pa.array(replies, pa.string()), pa.array(spent, pa.float64())], ["reply", "ms"])
+
+    return ask.asNondeterministic()
+
+
+def call_frame(df: DataFrame, client: Client = echo, model: str = "", temperature: float = 0.0, text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
     """df with masked, reply, llm_ms and restored. A failing call fails its task: nothing goes out half-masked."""
-    out = mask_frame(df, text_col, options)
-    schema = T.StructType([*out.schema.fields, T.StructField("reply", T.StringType()), T.StructField("llm_ms", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            replies, spent = [], []
-            for prompt in batch.column(batch.schema.get_field_index("masked")):
-                began = time.perf_counter()
-                replies.append(None if prompt.as_py() is None else client(model, prompt.as_py(), temperature))
-                spent.append((time.perf_counter() - began) * 1000)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(spent, pa.float64())], names=[*batch.schema.names, "reply", "llm_ms"])
-
-    called = out.mapInArrow(run, schema)
-    return called.withColumn("restored", restored(F.col("reply"), F.col("meta.original"), F.col("meta.items"))).drop("meta")
+    unclaimed(df, "masked", "reply", "llm_ms", "restored")
+    meta = fresh(df, "meta")
+    out = mask_frame(df, text_col, options, language_col, meta_col=meta)
+    answer = fresh(out, "answer")
+    out = out.withColumn(answer, asking(client, model, temperature)(F.col("masked")))
+    out = out.withColumn("reply", F.col(f"{answer}.reply")).withColumn("llm_ms", F.col(f"{answer}.ms"))
+    return out.withColumn("restored", restored(F.col("reply"), F.col(f"{meta}.original"), F.col(f"{meta}.items"))).drop(meta, answer)
+
+
+def call_in_stages(df: DataFrame, key: str, folder: str, client: Client = echo, model: str = "", temperature: float = 0.0, text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """(key, restored) and the time of each stage: mask_ms, llm_ms, restore_ms and total_ms.
+
+    Each stage is written below folder before the next one begins, so that a failed one need not ask again for what is there.
+    """
+    spark = df.sparkSession
+    spent: dict[str, float] = {}
+
+    def stage(name: str, made: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        made.write.mode("overwrite").parquet(f"{folder}/{name}")
+        spent[f"{name}_ms"] = (time.perf_counter() - began) * 1000
+        return spark.read.parquet(f"{folder}/{name}")
+
+    masks = stage("mask", mask_frame(df, text_col, options, language_col).select(key, "masked", "meta"))
+    replies = stage("llm", masks.select(key, asking(client, model, temperature)(F.col("masked"))["reply"].alias("reply")))
+    out = stage("restore", restore_frame(replies, masks, key).select(key, "restored"))
+    return out, spent | {"total_ms": sum(spent.values())}

@@ -31,21 +31,20 @@ def encode_json(meta: Column) -> Column:
     return F.translate(F.base64(F.encode(body, "UTF-8")), "\r\n", "")
 
 
-def pack(original: bytes, items: list[dict]) -> bytes:
-    for i in items:
-        if not (1 <= i["type_id"] <= len(ENTITIES) and 0 <= i["start"] < i["end"] <= len(original)):
-            raise ValueError("an item is of no known kind or beyond the original")
-    texts = [original[i["start"] : i["end"]] for i in items]
-    held = b"".join(texts)
+def pack(items: list[dict]) -> bytes:
+    """items: id, type_id, score and the text itself, as bytes."""
+    if not all(1 <= i["type_id"] <= len(ENTITIES) and i["text"] for i in items):
+        raise ValueError("an item is of no known kind or beyond the original")
+    held = b"".join(i["text"] for i in items)
     total = 12 + len(held) + _RECORD.size * len(items)
     if total >= 1 << 32:
         raise ValueError("a credential is below 4 GiB")
     body = bytearray(struct.pack("<II", total, len(held)) + held)
     body += bytes(-len(body) % 4)
     at = 0
-    for item, text in zip(items, texts, strict=True):
-        body += _RECORD.pack(item["id"], item["type_id"], at, at + len(text), item["score"])
-        at += len(text)
+    for item in items:
+        body += _RECORD.pack(item["id"], item["type_id"], at, at + len(item["text"]), item["score"])
+        at += len(item["text"])
     return bytes(body.ljust(total, b"\0"))
 
 
@@ -83,8 +82,12 @@ def decode(credential: str | None) -> dict:
     return {"original": original, "items": items}
 
 
-def _encoded(meta: pa.Array) -> pa.Array:
-    made = [base64.b64encode(pack((m["original"] or "").encode(), m["items"] or [])).decode() if m else None for m in meta.to_pylist()]
+def _encoded(items: pa.Array, originals: pa.Array) -> pa.Array:
+    made = []
+    for own, original in zip(items.to_pylist(), originals, strict=True):
+        data = original.as_py() or b"" if own else b""
+        inside = lambda i: 0 <= i["start"] < i["end"] <= len(data)
+        made.append(None if own is None else base64.b64encode(pack([i | {"text": data[i["start"] : i["end"]] if inside(i) else None} for i in own])).decode())
     return pa.array(made, pa.string())
 
 
@@ -93,7 +96,9 @@ def _decoded(credentials: pa.Array) -> pa.Array:
 
 
 def encode_binary(meta: Column) -> Column:
-    return arrow_udf(_encoded, "string")(meta)
+    """Null for a null meta. Of texts without items nothing goes to Python."""
+    items = F.when(meta.isNotNull(), F.coalesce(meta["items"], F.array().cast(f"array<{ITEM}>")))
+    return arrow_udf(_encoded, "string")(items, F.when(F.size(items) > 0, meta["original"].cast("binary")))
 
 
 def decode_credential(credential: Column) -> Column:

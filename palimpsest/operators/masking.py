@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.entities import ENTITIES, Switches
 from palimpsest.functions.language import is_chinese, language_or_detected
 from palimpsest.functions.rules import RULES, Rule, native
-from palimpsest.functions.spans import bind, candidates, no_spans, normalized, sanitized, slice_bytes
+from palimpsest.functions.spans import between, bind, candidates, no_spans, normalized, running_sum, sanitized, slice_bytes, slice_of
+from palimpsest.sources.texts import guarded
 
 ITEM = "struct<id:bigint,type_id:tinyint,type:string,start:int,end:int,score:float>"
 META = f"struct<original:string,items:array<{ITEM}>>"
@@ -72,7 +73,7 @@ def with_candidates(df: DataFrame, name: str, text_col: str, options: Options, l
         found = F.concat(found, scan_rules(slow, options.validators)(text))
     if not options.recognizers and not options.addresses:
         return df.withColumn(name, found)
-    spoken = f"{name}_language"
+    spoken = fresh(df, f"{name}_language")
     df = df.withColumn(spoken, language_or_detected(F.col(language_col) if language_col else None, text))
     for recognizer in options.recognizers:
         found = F.concat(found, F.coalesce(recognizer(text, F.col(spoken)), no_spans()))
@@ -80,7 +81,7 @@ def with_candidates(df: DataFrame, name: str, text_col: str, options: Options, l
     if options.addresses:
         from palimpsest.operators.fusion import with_addresses, with_fused
 
-        made, chinese = f"{name}_fused", f"{name}_chinese"
+        made, chinese = fresh(df, f"{name}_fused"), fresh(df, f"{name}_chinese")
         df = with_fused(df.withColumn(chinese, is_chinese(F.col(spoken))), made, text_col, name, chinese)
         df = df.withColumn(name, F.when(F.col(chinese), with_addresses(F.col(name), F.col(made), options.fallback)).otherwise(F.col(name))).drop(made, chinese)
     return df.drop(spoken)
@@ -96,17 +97,11 @@ def masked(text: Column, options: Options | None = None, found: Column | None =
     items_type = f"array<{ITEM}>"
 
     def rewritten(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.array().cast(items_type).alias("items"))
-
-        def step(acc: Column, s: Column) -> Column:
-            serial = (F.size(acc["items"]) + 1).cast("bigint")
-            kind = type_name(s["type_id"])
-            item = F.struct(serial.alias("id"), s["type_id"].alias("type_id"), kind.alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
-            return F.struct(s["end"].alias("at"), F.concat(acc["out"], slice_bytes(text, acc["at"], s["start"] - acc["at"]), placeholder(kind, serial)).alias("out"), F.concat(acc["items"], F.array(item)).alias("items"))
-
-        end = lambda acc: F.struct(F.concat(acc["out"], slice_bytes(text, acc["at"], F.octet_length(text) - acc["at"])).alias("masked"), acc["items"].alias("items"))
+        serial = lambda i: (i + 1).cast("bigint")
+        item = lambda s, i: F.struct(serial(i).alias("id"), s["type_id"].alias("type_id"), type_name(s["type_id"]).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
+        done = F.struct(between(text, spans, lambda s, i: placeholder(type_name(s["type_id"]), serial(i))).alias("masked"), F.transform(spans, item).cast(items_type).alias("items"))
         untouched = F.struct(text.alias("masked"), F.array().cast(items_type).alias("items"))
-        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(untouched)
+        return F.when(F.size(spans) > 0, done).otherwise(untouched)
 
     spans = F.filter(F.coalesce(detected(text, options, found), no_spans()), enabled)
     return bind(spans, rewritten)
@@ -123,46 +118,95 @@ def restored(reply: Column, original: Column, items: Column) -> Column:
 
     Items whose placeholder is not there or whose place is beyond the original are passed over; unknown placeholders stay.
     """
-    slot = lambda i: F.struct(F.instr(reply, placeholder(type_name(i["type_id"]), i["id"])).alias("at"), F.char_length(placeholder(type_name(i["type_id"]), i["id"])).alias("size"), slice_bytes(original, i["start"], i["end"] - i["start"]).alias("text"))
+    # A placeholder without its last two characters, which may be the next one's first two.
+    found = rf"(__PII_(?:{'|'.join(ENTITIES)})_[0-9]+)(?=__)"
     valid = F.filter(items, lambda i: (i["start"] >= 0) & (i["start"] < i["end"]) & (i["end"] <= F.octet_length(original)) & i["type_id"].between(1, len(ENTITIES)))
-    slots = F.array_sort(F.filter(F.transform(valid, slot), lambda s: s["at"] > 0))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct((s["at"] + s["size"]).alias("at"), F.concat(acc["out"], F.substring(reply, acc["at"], F.greatest(s["at"] - acc["at"], F.lit(0))), s["text"]).alias("out"))
-    end = lambda acc: F.concat(acc["out"], F.substring(reply, acc["at"], F.char_length(reply)))
-    rebuilt = bind(slots, lambda found: F.when(F.size(found) > 0, F.aggregate(found, start, step, end)).otherwise(reply))
-    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, rebuilt).otherwise(reply)
+    name = lambda i: F.concat(F.lit("__PII_"), type_name(i["type_id"]), F.lit("_"), i["id"].cast("string"))
+    held = bind(original.cast("binary"), lambda data: F.transform(valid, lambda i: F.struct(name(i).alias("name"), F.lit(0).alias("end"), slice_of(data, i["start"], i["end"] - i["start"]).alias("text"))))
+
+    def rebuilt(names: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(reply, found, -1), 1, F.size(names)), names, lambda gap, n: F.octet_length(gap) + F.octet_length(n))
+        seen = F.zip_with(running_sum(sizes), names, lambda end, n: F.struct(n.alias("name"), end.alias("end"), F.lit(None).cast("string").alias("text")))
+        # An item, then its placeholders by place: the first one comes right behind it.
+        slot = lambda x, before: F.when((x["end"] > 0) & (before["end"] == 0) & (before["name"] == x["name"]), F.struct((x["end"] - F.octet_length(x["name"])).alias("start"), (x["end"] + 2).alias("end"), before["text"].alias("text")))
+        slots = bind(F.array_sort(F.concat(held, seen)), lambda all_: F.transform(all_, lambda x, i: slot(x, F.get(all_, i - 1))))
+        return bind(F.array_sort(F.filter(slots, lambda s: s.isNotNull())), lambda s: between(reply, s, lambda x, i: x["text"]))
+
+    names = F.regexp_extract_all(reply, F.lit(found), F.lit(1))
+    return F.when(F.coalesce(F.size(items), F.lit(0)) > 0, bind(names, lambda n: F.when(F.size(n) > 0, rebuilt(n)).otherwise(reply))).otherwise(reply)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a variant that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _masking(df: DataFrame, text_col: str, options: Options | None, language_col: str | None) -> DataFrame:
+def unclaimed(df: DataFrame, *names: str) -> None:
+    """A result never takes the place of a column that is there already."""
+    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist already: name the results otherwise")
+
+
+def _masking(df: DataFrame, name: str, text_col: str, options: Options | None, language_col: str | None) -> DataFrame:
+    """df with struct(masked, items). A generator of one row keeps the expression whole: the optimizer merges it with no later
+    projection, where it might be computed twice or stand in the argument of a Python function."""
     options = options or Options()
+    only = lambda made: F.explode_outer(F.array(made)).alias(name)
     if options.plain():
-        return df.withColumn("masking", masked(F.col(text_col), options))
-    df = with_candidates(df, "masking_spans", text_col, options, language_col)
-    return df.withColumn("masking", masked(F.col(text_col), options, F.col("masking_spans"))).drop("masking_spans")
+        return df.select("*", only(masked(F.col(text_col), options)))
+    spans = fresh(df, "masking_spans")
+    df = with_candidates(df, spans, text_col, options, language_col)
+    return df.select("*", only(masked(F.col(text_col), options, F.col(spans)))).drop(spans)
+
 
+def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None = None, language_col: str | None = None, masked_col: str = "masked", meta_col: str = "meta", error_col: str | None = None) -> DataFrame:
+    """df with masked and meta (original, items). One stage, no shuffle; meta holds the original: keep it apart.
 
-def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
-    """df with masked and meta (original, items). One stage, no shuffle; meta holds the original: keep it apart."""
-    out = _masking(df, text_col, options, language_col)
-    return out.withColumn("masked", F.col("masking.masked")).withColumn("meta", F.struct(F.col(text_col).alias("original"), F.col("masking.items").alias("items"))).drop("masking")
+    With error_col, rows are an envelope of either results or an error (message, code): a missing text or one that is too long
+    gets null results and its error. Columns of df keep their values; results under the name of one of them are refused.
+    """
+    unclaimed(df, masked_col, meta_col, *([error_col] if error_col else []))
+    source = text_col
+    if error_col:
+        source = fresh(df, "masking_source")
+        df = guarded(df, text_col, error_col).withColumn(source, F.when(F.col(error_col).isNull(), F.col(text_col)))
+    name = fresh(df, "masking")
+    out = _masking(df, name, source, options, language_col)
+    meta = F.struct(F.col(source).alias("original"), F.col(f"{name}.items").alias("items"))
+    out = out.withColumn(masked_col, F.col(f"{name}.masked")).withColumn(meta_col, F.when(F.col(error_col).isNull(), meta) if error_col else meta)
+    return out.drop(name, *([source] if error_col else []))
 
 
 def span_frame(df: DataFrame, keys: list[str], text_col: str = "text", options: Options | None = None, language_col: str | None = None) -> DataFrame:
     """Keys and one row per item: id, type, start, end, score and the text itself."""
-    out = _masking(df.select(*keys, F.col(text_col).alias("span_source"), *([language_col] if language_col else [])), "span_source", options, language_col)
-    # An inner explode would have the optimizer test the items' size first, and so find all spans twice.
-    rows = out.select(*keys, "span_source", F.explode_outer("masking.items").alias("item")).where("item IS NOT NULL")
-    return rows.select(*keys, "item.id", "item.type", "item.start", "item.end", "item.score", slice_bytes(F.col("span_source"), F.col("item.start"), F.col("item.end") - F.col("item.start")).alias("span_text"))
-
-
-def restore_frame(replies: DataFrame, metas: DataFrame, key: str, reply_col: str = "reply") -> DataFrame:
-    """replies with restored; one without meta stays as it is."""
-    joined = replies.join(metas.select(key, "meta"), key, "left")
-    return joined.withColumn("restored", restored(F.col(reply_col), F.col("meta.original"), F.col("meta.items"))).drop("meta")
+    unclaimed(df.select(*keys), "id", "type", "start", "end", "score", "span_text")
+    narrow = df.select(*keys, *(c for c in dict.fromkeys((text_col, language_col)) if c and c not in keys))
+    name = fresh(narrow, "masking")
+    out = _masking(narrow, name, text_col, options, language_col)
+    told = lambda data: F.transform(F.col(f"{name}.items"), lambda i: F.struct(i["id"].alias("id"), i["type"].alias("type"), i["start"].alias("start"), i["end"].alias("end"), i["score"].alias("score"), slice_of(data, i["start"], i["end"] - i["start"]).alias("span_text")))
+    # Texts of spans are cut out before rows multiply, so that no row carries the whole text. An inner explode would have
+    # the optimizer test the items' size first, and so find all spans twice.
+    item = fresh(narrow, "item")
+    rows = out.select(*keys, F.explode_outer(bind(F.col(text_col).cast("binary"), told)).alias(item)).where(F.col(item).isNotNull())
+    return rows.select(*keys, f"{item}.*")
+
+
+def restore_frame(replies: DataFrame, metas: DataFrame, key: str, reply_col: str = "reply", meta_col: str = "meta", restored_col: str = "restored") -> DataFrame:
+    """replies with restored; one without meta stays as it is. Other columns of metas are left out."""
+    unclaimed(replies, restored_col)
+    held = fresh(replies, "held_meta")
+    joined = replies.join(metas.select(key, F.col(meta_col).alias(held)), key, "left")
+    return joined.withColumn(restored_col, restored(F.col(reply_col), F.col(f"{held}.original"), F.col(f"{held}.items"))).drop(held)
 
 
 def roundtrip_frame(df: DataFrame, text_col: str = "text", options: Options | None = None) -> DataFrame:
     """df with masked, restored, n_items and whether the restored text is the original."""
-    out = mask_frame(df, text_col, options)
-    out = out.withColumn("restored", restored(F.col("masked"), F.col("meta.original"), F.col("meta.items")))
-    return out.withColumn("n_items", F.size("meta.items")).withColumn("same", F.col("restored").eqNullSafe(F.col(text_col))).drop("meta")
+    unclaimed(df, "masked", "restored", "n_items", "same")
+    meta = fresh(df, "meta")
+    out = mask_frame(df, text_col, options, meta_col=meta)
+    out = out.withColumn("restored", restored(F.col("masked"), F.col(f"{meta}.original"), F.col(f"{meta}.items")))
+    return out.withColumn("n_items", F.size(f"{meta}.items")).withColumn("same", F.col("restored").eqNullSafe(F.col(text_col))).drop(meta)

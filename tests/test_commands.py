@@ -73,6 +73,8 @@ def test_calls(spark, tmp_path):
         url = f"http://127.0.0.1:{server.server_port}/v1/"
         (tmp_path / "key.json").write_text(json.dumps({"openai-api-key": "k", "openai-base-url": url, "openai-model": "m"}))
         assert run(spark, "call", TEXT, args(api_key_file=str(tmp_path / "key.json"))) == (f"m Bearer k: {TEXT}", True)
+        timed = json.loads(run(spark, "call", TEXT, args(api_key_file=str(tmp_path / "key.json"), json=True))[0])
+        assert timed["text"] == f"m Bearer k: {TEXT}" and timed["total_ms"] >= timed["mask_ms"] + timed["llm_ms"] and timed["restore_ms"] > 0
         with pytest.raises(CallError, match="500"):
             ChatClient(url, "k")("bad", "x", 0.0)
     finally:

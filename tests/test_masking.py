@@ -1,11 +1,17 @@
 """Masking, restoring and spans on inline texts."""
 
+import itertools
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import ENTITIES, Switches
 from palimpsest.functions.rules import PatternError, Rule, merged, native, translate
-from palimpsest.operators.masking import Options, lookup, mask_frame, masked, restore_frame, restored, roundtrip_frame, span_frame
+from palimpsest.functions.spans import SPAN, normalized, running_sum
+from palimpsest.operators.masking import ITEM, Options, lookup, mask_frame, masked, restore_frame, restored, roundtrip_frame, span_frame
+from palimpsest.sources import texts
 
 PEM = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----"
 
@@ -125,3 +131,69 @@ def test_plan_is_one_stage_without_python(spark):
     df = spark.range(10).select(F.col("id").cast("string").alias("text")).withColumn("m", masked(F.col("text")))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_long_texts_take_linear_time(spark):
+    """A megabyte of codes."""
+    n = 100_000
+    df = spark.createDataFrame([("code 1234 " * n,)], "text string")
+    roundtrip_frame(df.limit(0)).count()
+    began = time.perf_counter()
+    row = roundtrip_frame(df).select("same", "n_items").first()
+    assert (row.same, row.n_items) == (True, n) and time.perf_counter() - began < 30
+
+
+def test_running_and_groups(spark):
+    """Runs of every length, and spans that overlap through others, against plain loops."""
+    rng = random.Random(4)
+    lists = [[rng.randint(0, 9) for _ in range(n)] for n in [0, 1, 2, 3, 4, 5, 9, 10, 17, 100, 101, 1000]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>").select("i", running_sum(F.col("x")).alias("s")).collect()
+    assert {r.i: r.s for r in got} == {i: list(itertools.accumulate(x)) for i, x in enumerate(lists)}
+    cases = []
+    for i in range(200):
+        spans = [(a := rng.randint(0, 60), a + rng.randint(1, 12), rng.choice([0.5, 0.7, 0.9]), k) for k in range(rng.randint(0, 25))]
+        cases.append((i, [(s, e, w, k, 1, "t") for s, e, w, k in spans]))
+    got = spark.createDataFrame(cases, f"i int, spans array<{SPAN}>").select("i", normalized(F.col("spans")).alias("s")).collect()
+    for r in got:
+        kept = []
+        for s in sorted(cases[r.i][1], key=lambda s: (-s[2], s[0] - s[1], s[0], s[3])):
+            if all(s[1] <= o[0] or o[1] <= s[0] for o in kept):
+                kept.append(s)
+        assert [(s.start, s.end, s.ord) for s in r.s] == [(s[0], s[1], s[3]) for s in sorted(kept)]
+
+
+def test_columns_of_the_user_stay(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "x", "y", "z")], "i int, text string, masking string, masking_spans string, item string")
+    assert mask_frame(df).first()[:5] == (1, "a@b.cd", "x", "y", "z")
+    assert span_frame(df, ["i", "masking", "item"]).first()[:3] == (1, "x", "z")
+    out = mask_frame(df, masked_col="text2", meta_col="meta2")
+    replies = out.select("i", F.col("text2").alias("reply"), F.lit("mine").alias("meta"), F.lit("held").alias("held_meta"))
+    back = restore_frame(replies, out, "i", meta_col="meta2").first()
+    assert (back.restored, back.meta, back.held_meta) == ("a@b.cd", "mine", "held")
+    for name in ("masked", "META"):
+        with pytest.raises(ValueError, match="exist already"):
+            mask_frame(df.withColumn(name, F.lit(1)))
+    with pytest.raises(ValueError, match="exist already"):
+        roundtrip_frame(df.withColumn("same", F.lit(1)))
+
+
+def test_envelope(spark, monkeypatch):
+    monkeypatch.setattr(texts, "MAX_TEXT", 20)
+    df = spark.createDataFrame([(1, "a@b.cd"), (2, None), (3, "x" * 21)], "i int, text string")
+    got = {r.i: r for r in mask_frame(df, error_col="error").collect()}
+    assert got[1].masked == "__PII_EMAIL_ADDRESS_1__" and got[1].error is None and got[1].meta.original == "a@b.cd"
+    assert [(got[i].masked, got[i].meta, got[i].error.code) for i in (2, 3)] == [(None, None, 400), (None, None, 413)]
+
+
+def test_placeholders_that_share_their_ends(spark):
+    original = "a@b.cd"
+    items = [(1, 2, "EMAIL_ADDRESS", 0, 6, 0.9), (2, 2, "EMAIL_ADDRESS", 0, 1, 0.9), (12, 2, "EMAIL_ADDRESS", 1, 2, 0.9), (3, 2, "EMAIL_ADDRESS", 5, 9, 0.9)]
+    cases = {
+        "___PII_EMAIL_ADDRESS_1__PII_EMAIL_ADDRESS_2___": "_a@b.cda_",
+        "__PII_EMAIL_ADDRESS_12__ __PII_EMAIL_ADDRESS_1__ __PII_EMAIL_ADDRESS_1__": "@ a@b.cd __PII_EMAIL_ADDRESS_1__",
+        "__PII_X__PII_EMAIL_ADDRESS_1__ __PII_EMAIL_ADDRESS_3__": "__PII_Xa@b.cd __PII_EMAIL_ADDRESS_3__",
+        "__PII_PHONE_NUMBER_1__ __PII_EMAIL_ADDRESS_01__": "__PII_PHONE_NUMBER_1__ __PII_EMAIL_ADDRESS_01__",
+        "": "",
+    }
+    df = spark.createDataFrame([(r, original, items) for r in cases], f"reply string, original string, items array<{ITEM}>")
+    assert {r.reply: r.out for r in df.select("reply", restored(F.col("reply"), F.col("original"), F.col("items")).alias("out")).collect()} == cases

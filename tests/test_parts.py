@@ -34,14 +34,14 @@ def test_credentials(spark):
 
 
 def test_binary_form():
-    items = [{"id": 1, "type_id": 2, "start": 3, "end": 6, "score": 0.9}]
-    data = pack(b"to a@b", items)
+    data = pack([{"id": 1, "type_id": 2, "text": b"a@b", "score": 0.9}])
     assert len(data) == 12 + 3 + 20 and unpack(data)[0] == "a@b"
     for broken in (data[:-1], data + b"\0", b"\0" * 8, data[:16].ljust(len(data), b"\xff")):
         with pytest.raises(ValueError):
             unpack(broken)
-    with pytest.raises(ValueError):
-        pack(b"x", items)
+    for item in ({"id": 1, "type_id": 2, "text": None, "score": 1.0}, {"id": 1, "type_id": 99, "text": b"x", "score": 1.0}):
+        with pytest.raises(ValueError):
+            pack([item])
     assert decode("") == {"original": "", "items": []}
     with pytest.raises(ValueError):
         decode("%%%")
