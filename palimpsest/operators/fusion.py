@@ -17,7 +17,8 @@ _KINDS = {TYPE_ID["PHYSICAL_ADDRESS"]: "address", TYPE_ID["ORGANIZATION"]: "orga
 _FUSED = pa.struct([("addresses", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float32())]))), ("private", pa.list_(pa.bool_()))])
 
 
-_MADE = T.StructType.fromDDL("addresses array<struct<start:int,end:int,score:float>>, private array<boolean>")
+_ADDRESS = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.FloatType())])
+_MADE = T.StructType([T.StructField("addresses", T.ArrayType(_ADDRESS)), T.StructField("private", T.ArrayType(T.BooleanType()))])
 
 
 def with_fused(df: DataFrame, name: str, text_col: str, spans_col: str, chinese_col: str) -> DataFrame:
