@@ -1,6 +1,5 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-import corpus_pipeline
 from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.decontaminate import op6_decontaminate
@@ -14,7 +13,6 @@ from palimpsest.llm.substring_dedup import op7_substring_dedup
 from palimpsest.llm.token_file import op8_token_file
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
     "op2_chat_format": op2_chat_format,
     "op3_minhash_dedup": op3_minhash_dedup,
