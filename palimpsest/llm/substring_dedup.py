@@ -76,10 +76,11 @@ class Shard:
         self.twice = np.diff(np.append(where, len(h1))) > 1
 
     def asked(self, name: int) -> pa.Table:
-        """A row for each hash: shard, h1, and in one number h2, the entry's number and whether the shard has it twice."""
+        """A row for each hash: shard, the entry's number times two, one more if the shard has it twice, h1 and h2."""
         n = len(self.h1)
-        rest = self.h2 << np.uint64(32) | np.arange(n, dtype=np.uint64) << np.uint64(1) | self.twice
-        return pa.table([pa.array(np.full(n, name, np.int32)), pa.array(self.h1.view(np.int64)), pa.array(rest.view(np.int64))], names=["shard", "h1", "rest"])
+        number = np.arange(n, dtype=np.int32) * 2 + self.twice
+        columns = np.full(n, name, np.int32), number.astype(np.int32), self.h1.view(np.int64), self.h2.astype(np.uint32).view(np.int32)
+        return pa.table([pa.array(c) for c in columns], names=["shard", "number", "h1", "h2"])
 
     def answered(self, answers: pa.Table) -> np.ndarray:
         """Which places are repeated in the corpus, from the numbers of entries that came back."""
@@ -88,15 +89,14 @@ class Shard:
         return entry[self.of]
 
 
-ASKED = "shard int, h1 long, rest long"
+ASKED = "shard int, number int, h1 long, h2 int"
 
 
 def _repeated(asked: DataFrame) -> DataFrame:
     """(shard, entry) of the hashes that another shard has too; what a shard has twice it knows itself."""
-    twice = F.col("rest").bitwiseAND(1)
-    times = F.sum(twice + 1).over(Window.partitionBy("h1", F.shiftright("rest", 32)))
-    entry = F.shiftright(F.col("rest").bitwiseAND(2**32 - 1), 1).cast("int")
-    return asked.withColumn("times", times).where((F.col("times") > 1) & (twice == 0)).select("shard", entry.alias("entry"))
+    twice = F.col("number").bitwiseAND(1)
+    times = F.sum(twice + 1).over(Window.partitionBy("h1", "h2"))
+    return asked.withColumn("times", times).where((F.col("times") > 1) & (twice == 0)).select("shard", F.shiftright("number", 1).alias("entry"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
