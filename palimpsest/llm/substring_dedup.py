@@ -3,7 +3,7 @@
 A cover D modulo v holds two elements of every difference: for any two places i and j some d < v puts both i + d and j + d on
 the cover. So two equal windows of W words share an anchor, a window of W - v + 1 words at a cover place, at equal distance
 from their starts. Only anchors (a fraction |D| / v of all places) are hashed and counted over the corpus. A window that
-holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' 96-bit hashes.
+holds a repeated anchor is a candidate; matches are then extended from the anchors by counting candidates' hashes of up to 96 bits.
 
 Documents are dealt into shards of bounded size by a hash of doc_id. A shard gives each of its distinct hashes once, as a row
 of its own, and gets back the numbers of those that stand elsewhere too: rows grow with the text, whatever the size of the
@@ -34,11 +34,21 @@ def cover_for(window: int) -> int:
     return max((v for v in COVERS if 5 * v <= 3 * window), default=1)
 
 
+def hash_bits(places: int) -> tuple[int, int]:
+    """Bits of an anchor's hash, and of a window's beyond 64, for so many places.
+
+    Anchors only choose candidates: a thousand times the places are enough. Of windows no two may meet by chance: among all pairs of
+    places that happens less than once in 2^20 such corpora, up to 2^38 places, and in 2^9 at 2^44, with 96 bits.
+    """
+    doublings = max(1, places).bit_length()
+    return min(64, doublings + 10), min(32, max(1, 2 * doublings + 20 - 64))
+
+
 class Shard:
     """Texts of one shard, the places that it asks about, and its distinct hashes (h1, h2), sorted."""
 
-    def __init__(self, texts: pa.ChunkedArray, window: int):
-        self.words, self.window = Words(texts), window
+    def __init__(self, texts: pa.ChunkedArray, window: int, bits: tuple[int, int]):
+        self.words, self.window, self.bits = Words(texts), window, bits
         self.v = cover_for(window)
         self.length = window - self.v + 1
 
@@ -47,7 +57,7 @@ class Shard:
         at = words.places(self.length)
         residue = (at - words.first[words.text_of(at)]) % self.v
         self.at = at[np.isin(residue, COVERS.get(self.v, (0,)))]
-        self._set(words.runs(self.at, self.length), None)
+        self._set(words.runs(self.at, self.length) >> np.uint64(64 - self.bits[0]), None)
 
     def candidates(self, repeated: np.ndarray) -> None:
         """Windows that hold a repeated anchor among their first v places."""
@@ -59,7 +69,7 @@ class Shard:
         near = np.cumsum(edges[: len(words)]) > 0
         fits = words.places(self.window)
         self.at = fits[near[fits]]
-        self._set(words.runs(self.at, self.window), words.runs(self.at, self.window, 1) >> np.uint64(32))
+        self._set(words.runs(self.at, self.window), words.runs(self.at, self.window, 1) >> np.uint64(64 - self.bits[1]))
 
     def _set(self, h1: np.ndarray, h2: np.ndarray | None) -> None:
         order = np.argsort(h1) if h2 is None else np.lexsort((h2, h1))
@@ -104,17 +114,18 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
 
     Words are runs of other than ASCII white space; the kept ones are joined by one space.
     """
-    shards = max(1, -(-text_bytes(docs, text_col) // shard_bytes))
+    size = text_bytes(docs, text_col)
+    shards, bits = max(1, -(-size // shard_bytes)), hash_bits(size // 2)
     # A row of a doc_id that many rows share goes by its text too, so that a repeated id makes no large shard.
     rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def first(table: pa.Table) -> pa.Table:
-        shard = Shard(table.column("text"), window)
+        shard = Shard(table.column("text"), window, bits)
         shard.anchors()
         return shard.asked(table.column("shard")[0].as_py())
 
     def windows_of(table: pa.Table, answers: pa.Table) -> Shard:
-        shard = Shard(table.column("text"), window)
+        shard = Shard(table.column("text"), window, bits)
         shard.anchors()
         shard.candidates(shard.answered(answers))
         return shard

@@ -21,7 +21,7 @@ from palimpsest.llm.decontaminate import contaminated, tiles
 from palimpsest.llm.embedding_dup import near_vectors, op9_embedding_dedup
 from palimpsest.llm.line_dedup import OP5_SQL, dedup_lines, op5_line_dedup
 from palimpsest.llm.near_dup import MISS, near_duplicates, op3_minhash_dedup, trees_for
-from palimpsest.llm.substring_dedup import dedup_substrings, op7_substring_dedup
+from palimpsest.llm.substring_dedup import dedup_substrings, hash_bits, op7_substring_dedup
 from palimpsest.llm.token_file import EliasFano, TokenFile, export_files, json_encoder, op8_token_file, read_token_files, write_token_files
 
 
@@ -193,6 +193,13 @@ def test_substrings(spark, rows, folder):
     assert sum(n for _, n, _ in want.values()) > 500
 
 
+def test_hash_bits():
+    for doublings in (1, 20, 32, 38):
+        anchor, more = hash_bits((1 << doublings) - 1)
+        assert anchor >= doublings + 10 and 64 + more >= 2 * doublings + 20
+    assert hash_bits(1 << 60) == (64, 32)
+
+
 @pytest.mark.parametrize("window", [1, 5, 8, 18, 60])
 def test_substrings_of_any_window(spark, window):
     texts = [(1, "a b c d e f g h i j " * 7), (2, "x a b c d e f g h"), (3, None), (4, "z")]
