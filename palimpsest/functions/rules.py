@@ -21,6 +21,8 @@ DIGIT = r"\p{Nd}"
 _CLASSES = {"d": DIGIT, "s": SPACE, "w": WORD}
 _LEFT, _RIGHT = rf"(?:\G|(?<![{WORD}]))", rf"(?![{WORD}])"
 _PIECE = re.compile(r"\\x\{[0-9A-Fa-f]+\}|\\p\{\w+\}|\\.|\[\\s\\S\]|\[|\]|\(\?(?:[:=!]|<[=!])|.", re.S)
+#: A class that begins a pattern, and how often it is there at least.
+_FIRST = re.compile(r"(\\d|\[[0-9A-Za-z-]+\])(?:\{(\d+)[,}])?+(?![*?])")
 _FLAGS = re.compile(r"\(\?([imsU]+)\)")
 
 
@@ -101,8 +103,9 @@ def translate(rule: Rule) -> str:
         before, value = "".join(spelt[:at]), "".join(spelt[at + 1 : -1])
     else:
         before, value = "", "".join(spelt)
-    # Digits come first where they must: the look-ahead is cheaper than the boundary.
-    ahead = f"(?=[{DIGIT}])" if left and not rule.group and core.startswith(r"\d") else ""
+    # What must come first is looked for first: that is cheaper than the boundary.
+    first = _FIRST.match(core) if left and not rule.group and "|" not in core else None
+    ahead = f"(?={''.join(piece for piece, _ in pieces(first[1]))}{'{' + first[2] + '}' if first[2] else ''})" if first else ""
     unicode_flags = f"(?{flags}{'u' if 'i' in flags else ''})" if flags else ""
     return f"{unicode_flags}{ahead}({_LEFT if left else ''}{before})({value}){_RIGHT if right else ''}"
 

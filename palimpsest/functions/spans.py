@@ -53,42 +53,61 @@ def running_sum(values: Column) -> Column:
     return running(values, lambda a, b: a + b)
 
 
-def _guarded(text: Column, rule: Rule) -> Column | None:
-    if rule.guards:
-        lower = F.translate(F.lower(text), "ſ", "s")  # the one letter that folds to ASCII but does not lower to it
-        held = F.contains(lower, F.lit(rule.guards[0]))
-        for guard in rule.guards[1:]:
-            held = held | F.contains(lower, F.lit(guard))
-        return held
-    return None
+def _folded(text: Column) -> Column:
+    """In lower case; the one letter that folds to ASCII but does not lower to it goes too."""
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
 
 
-def rule_spans(text: Column, rule: Rule, order: int, pattern: str | None = None) -> Column:
-    """Spans of one rule. Gaps, labels and values of all matches give the byte offsets by their lengths."""
-    pattern = pattern or translate(rule)
-    made = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(rule.score).cast("float").alias("score"), F.lit(order).alias("ord"), F.lit(TYPE_ID[rule.kind]).cast("tinyint").alias("type_id"), F.lit("regex").alias("source"))
+_SIZES = "array<struct<skip:int,size:int>>"
+_MATCHES = f"struct<score:float,ord:int,type_id:tinyint,sizes:{_SIZES}>"
+
 
-    def placed(values: Column) -> Column:
+def _matches(text: Column, folded: Column, rule: Rule, order: int, pattern: str) -> Column:
+    """What a rule finds: for each match the bytes between the last one's span and its own, and its own."""
+
+    def sized(values: Column) -> Column:
         gaps = F.split(text, pattern, -1)
         labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         skips = F.zip_with(F.slice(gaps, 1, F.size(values)), labels, lambda g, a: F.octet_length(g) + F.octet_length(a))
-        sizes = F.zip_with(skips, values, lambda skip, v: skip + F.octet_length(v))
-        spans = F.zip_with(running_sum(sizes), values, lambda end, v: made(end - F.octet_length(v), end))
-        return F.when(F.size(values) > 0, spans).otherwise(no_spans())
+        sizes = F.zip_with(skips, values, lambda skip, v: F.struct(skip.alias("skip"), F.octet_length(v).alias("size")))
+        return F.when(F.size(values) > 0, sizes)
+
+    found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), sized)
+    if rule.guards:
+        held = F.contains(folded, F.lit(rule.guards[0]))
+        for guard in rule.guards[1:]:
+            held = held | F.contains(folded, F.lit(guard))
+        found = F.when(held, found)
+    return F.struct(F.lit(rule.score).cast("float").alias("score"), F.lit(order).alias("ord"), F.lit(TYPE_ID[rule.kind]).cast("tinyint").alias("type_id"), found.alias("sizes"))
+
 
-    found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), placed)
-    guard = _guarded(text, rule)
-    return found if guard is None else F.when(guard, found).otherwise(no_spans())
+def _placed(matches: Column) -> Column:
+    """Spans of an array of _matches; running sums give the byte offsets."""
+    made = lambda m, start, end: F.struct(start.alias("start"), end.alias("end"), m["score"].alias("score"), m["ord"].alias("ord"), m["type_id"].alias("type_id"), F.lit("regex").alias("source"))
+    ends = lambda m: running_sum(F.transform(m["sizes"], lambda x: x["skip"] + x["size"]))
+    spans = lambda m: F.zip_with(ends(m), m["sizes"], lambda end, x: made(m, end - x["size"], end))
+    found = F.filter(matches, lambda m: m["sizes"].isNotNull())
+    return F.flatten(F.transform(found, spans)).cast(NONE)
+
+
+def rule_spans(text: Column, rule: Rule, order: int, pattern: str | None = None) -> Column:
+    """Spans of one rule."""
+    return _placed(F.array(_matches(text, _folded(text), rule, order, pattern or translate(rule))))
 
 
 def candidates(text: Column, rules: tuple[Rule, ...], min_score: float = 0.5) -> Column:
-    """Spans of all rules that can reach the threshold, in the order of rules."""
+    """Spans of all rules that can reach the threshold, in the order of rules. Offsets are one expression for all rules."""
     live = [(i, r) for i, r in enumerate(rules) if r.score >= min_score]
-    plain = [rule_spans(text, r, i) for i, r in live if not r.digits]
-    digits = [rule_spans(text, r, i) for i, r in live if r.digits]
-    if digits:
-        plain.append(F.when(F.regexp_like(text, F.lit(f"[{DIGIT}]")), F.concat(*digits)).otherwise(no_spans()))
-    return F.concat(*plain) if plain else no_spans()
+    if not live:
+        return no_spans()
+
+    def found(folded: Column) -> Column:
+        of = lambda digits: F.array(*[_matches(text, folded, r, i, translate(r)) for i, r in live if r.digits == digits]).cast(f"array<{_MATCHES}>")
+        if not any(r.digits for _, r in live):
+            return of(False)
+        return F.concat(of(False), F.when(F.regexp_like(text, F.lit(f"[{DIGIT}]")), of(True)).otherwise(F.array().cast(f"array<{_MATCHES}>")))
+
+    return _placed(bind(_folded(text), found))
 
 
 def overlaps(a: Column, b: Column) -> Column:

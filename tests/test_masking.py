@@ -121,6 +121,12 @@ def test_bad_patterns():
         translate(Rule("X", "PASSWORD", "abc", 0.9, 1))
 
 
+@pytest.mark.parametrize("pattern, ahead", [(r"\b\d{12,19}\b", r"(?=[\p{Nd}]{12})"), (r"\b[0-9a-f]{6}\b", "(?=[0-9a-f]{6})"), (r"\b\d+x", r"(?=[\p{Nd}])"), (r"\b\d*x", ""), (r"\b\d{4}?x", ""), (r"\b\d+|foo\b", ""), (r"\d{4}", "")])
+def test_what_must_come_first_is_looked_for_first(pattern, ahead):
+    made = translate(Rule("X", "PASSWORD", pattern, 0.9))
+    assert made.startswith(f"{ahead}(") and made.startswith("(?=") == bool(ahead)
+
+
 def test_extra_columns_stay(spark):
     df = spark.createDataFrame([("a@b.cd", 1, "x")], "text string, start int, items string")
     row = mask_frame(df).first()
