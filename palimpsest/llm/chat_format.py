@@ -56,15 +56,18 @@ class Template:
 
 class Escaper:
     def __init__(self, controls: list[str]):
-        by = "|".join(f"(?<={re.escape(c[0])})\\\\*(?={re.escape(c[1:])})" for c in controls)
-        self._add = re.compile(by)
-        self._take = re.compile("|".join(f"(?<={re.escape(c[0])})\\\\+(?={re.escape(c[1:])})" for c in controls))
+        rests: dict[str, list[str]] = {}
+        for control in controls:
+            rests.setdefault(control[0], []).append(re.escape(control[1:]))
+        # Each branch begins with a character of its own, so a search skips all others at once.
+        by = lambda some: "|".join(rf"{re.escape(first)}\\{some}(?={'|'.join(rest)})" for first, rest in rests.items())
+        self._add, self._take = re.compile(by("*")), re.compile(by("+"))
 
     def escape(self, text: str) -> str:
         return self._add.sub(lambda m: m[0] + "\\", text)
 
     def unescape(self, text: str) -> str:
-        return self._take.sub(lambda m: m[0][1:], text)
+        return self._take.sub(lambda m: m[0][:-1], text)
 
 
 class Machine:
@@ -134,7 +137,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
 
 class Reader:
-    """Reads turns back from formatted text, which comes in pieces of any length."""
+    """Reads turns back from formatted text, which comes in pieces of any length. At the end of a conversation it is as new."""
 
     def __init__(self, template: Template):
         self.template, self.escaper, self.held, self.role, self.at = template, Escaper(template.all_controls()), "", None, 0
@@ -172,19 +175,19 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = escaper = turns_sha = loss_sha = None
+        reader, turns_sha, loss_sha = Reader(template), None, None
         turns = loss = chars = 0
         open_ = False
         for batch in batches:
             rows = []
             for conv, kind, text, flag, fault in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
                 if not open_:
-                    reader, escaper, turns_sha, loss_sha = Reader(template), Escaper(template.all_controls()), hashlib.sha256(), hashlib.sha256()
+                    turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
                     turns = loss = chars = 0
                     open_ = True
                 chars += len(text)
                 if flag:
-                    plain = escaper.unescape(text)
+                    plain = reader.escaper.unescape(text)
                     loss += len(plain)
                     loss_sha.update(plain.encode())
                 for role, said in reader.feed(text):
