@@ -46,3 +46,46 @@ def write_tables(spark, folder, **tables):
 
 def words_of(text):
     return (text or "").encode().split()
+
+
+def near_by_force(texts, size, part, whole):
+    """texts: (id, text); component of each id over links of Jaccard >= part / whole."""
+    sets = {}
+    for i, t in texts:
+        w = [x.lower() for x in words_of(t)]
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both, union = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both and whole * both >= part * union:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def slow_tiles(a, b, least):
+    """Greedy string tiling by its definition."""
+    free_a, free_b, out = [True] * len(a), [True] * len(b), []
+    least = max(1, min(least, len(a)))
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
+                    k += 1
+                if k >= least and (best is None or (-k, i, j) < best):
+                    best = (-k, i, j)
+        if best is None:
+            return out
+        n, i, j = -best[0], best[1], best[2]
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+        out.append((i, j, n))
