@@ -66,9 +66,8 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL expresses neither the classifier nor the tiling. Tests hold the functions behind the stages against brute force, partly
-#: with other parameters (near_dedup), and of the stages themselves columns, falling row counts, a few ids and run() as their chain;
-#: no test compares every row of every stage.
+#: SQL expresses neither the classifier nor the tiling. tests/llm/test_pipeline.py holds every row of every stage, on that stage's
+#: own input, against brute-force versions, with the parameters used here.
 ORACLE_SQL = None
 
 
