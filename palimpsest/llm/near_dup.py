@@ -45,7 +45,7 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 def trees_for(similarity: float, steps: int) -> int:
     """How many trees of paths of at most `steps` tokens miss under MISS of the pairs of this similarity."""
     met = similarity**steps
-    return 1 if met >= 1 else int(np.ceil(np.log(MISS) / np.log1p(-met)))
+    return 1 if met >= 1 else int(np.floor(np.log(MISS) / np.log1p(-met))) + 1
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> list[np.ndarray]:
