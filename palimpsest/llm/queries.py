@@ -5,6 +5,7 @@ from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.decontaminate import op6_decontaminate
 from palimpsest.llm.embedding_dup import op9_embedding_dedup
 from palimpsest.llm.html_text import op4_html_text
+from palimpsest.llm.lexical_search import OP13_SQL, op13_lexical_search
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
 from palimpsest.llm.near_dup import op3_minhash_dedup
 from palimpsest.llm.oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL, OP9_SQL
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_token_file": op8_token_file,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL = {
@@ -32,4 +34,5 @@ SQL = {
     "op5_line_dedup": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
