@@ -4,6 +4,7 @@ from palimpsest.llm.byte_bpe import op10_byte_bpe
 from palimpsest.llm.chat_format import op2_chat_format
 from palimpsest.llm.decontaminate import op6_decontaminate
 from palimpsest.llm.embedding_dup import op9_embedding_dedup
+from palimpsest.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from palimpsest.llm.html_text import op4_html_text
 from palimpsest.llm.lexical_search import OP13_SQL, op13_lexical_search
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_file": op8_token_file,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -34,5 +36,6 @@ SQL = {
     "op5_line_dedup": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_dedup": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
     "op13_lexical_search": OP13_SQL,
 }
