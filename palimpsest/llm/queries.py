@@ -10,6 +10,7 @@ from palimpsest.llm.lexical_search import OP13_SQL, op13_lexical_search
 from palimpsest.llm.line_dedup import OP5_SQL, op5_line_dedup
 from palimpsest.llm.near_dup import op3_minhash_dedup
 from palimpsest.llm.oracles import OP2_SQL, OP3_SQL, OP4_SQL, OP7_SQL, OP9_SQL
+from palimpsest.llm.pii import OP12_SQL, op12_pii
 from palimpsest.llm.quality import op1_quality
 from palimpsest.llm.substring_dedup import op7_substring_dedup
 from palimpsest.llm.token_file import op8_token_file
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_pii": op12_pii,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -37,5 +39,6 @@ SQL = {
     "op7_substring_dedup": OP7_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op11_hard_negatives": OP11_SQL,
+    "op12_pii": OP12_SQL,
     "op13_lexical_search": OP13_SQL,
 }
