@@ -24,6 +24,11 @@ _PIECE = re.compile(r"\\x\{[0-9A-Fa-f]+\}|\\p\{\w+\}|\\.|\[\\s\\S\]|\[|\]|\(\?(?
 #: A class that begins a pattern, and how often it is there at least.
 _FIRST = re.compile(r"(\\d|\[[0-9A-Za-z-]+\])(?:\{(\d+)[,}])?+(?![*?])")
 _FLAGS = re.compile(r"\(\?([imsU]+)\)")
+#: A run of a class that begins a pattern, up to a plain character.
+_RUN_FIRST = re.compile(r"(\[[^\\\[\]]+\])\+([^\\\[\](){}|.*+?^$])")
+#: Space on both sides of an optional mark; words with space between them.
+_OPTIONAL = re.compile(r"\\s\*(\[[^\\\]]*(?:\\-)?\])\?\\s\*(?!\\s|\[:)")
+_WORDS = re.compile(r"(\((?:\?:)?)(\[[a-zA-Z0-9-]+\])\+\\s\+\)")
 
 
 class PatternError(ValueError):
@@ -83,6 +88,31 @@ def pieces(pattern: str) -> list[tuple[str, bool]]:
     return out
 
 
+def steady(core: str) -> tuple[str, str]:
+    """What stands before a pattern, and the pattern: the same matches, in time proportional to the text.
+
+    A run of a class at the beginning is looked for at its first character only, since the character that must end it is not of the
+    class; spaces around a mark and between words are given back to nobody.
+    """
+    run = _RUN_FIRST.match(core) if "|" not in core else None
+    edge = ""
+    if run and not re.fullmatch(run[1], run[2]):
+        edge = rf"(?:\G|(?<!{run[1]}))"
+        core = f"{run[1]}++{core[run.end(1) + 1 :]}"
+    core = _OPTIONAL.sub(r"\\s*+(?:\1\\s*+)?+", core)
+    return edge, _WORDS.sub(r"\1\2++\\s++)", core)
+
+
+def ending(rule: Rule) -> str | None:
+    """What every match ends with, if anything may stand before it: nothing behind its last place needs a look."""
+    flags = _FLAGS.match(rule.pattern)
+    core = rule.pattern[flags.end() if flags else 0 :]
+    _, gap, tail = core.rpartition(r"[\s\S]*?")
+    if not gap or not tail or rule.group or tail.endswith(r"\b"):
+        return None
+    return f"(?s{flags[1] if flags else ''})\\A.*" + "".join("(?:" if opens else piece for piece, opens in pieces(tail))
+
+
 def translate(rule: Rule) -> str:
     """The pattern for Spark: group 1 is what stands before the span, group 2 the span."""
     flags = "".join(m[1] for m in [_FLAGS.match(rule.pattern)] if m)
@@ -91,6 +121,7 @@ def translate(rule: Rule) -> str:
     core = core[2:] if left else core
     right = bool(re.search(r"(?<!\\)(?:\\\\)*\\b$", core))
     core = core[:-2] if right else core
+    edge, core = ("", steady(core)[1]) if left or rule.group else steady(core)
     parts = pieces(core)
     groups = [i for i, (_, opens) in enumerate(parts) if opens]
     if not 0 <= rule.group <= len(groups):
@@ -107,7 +138,7 @@ def translate(rule: Rule) -> str:
     first = _FIRST.match(core) if left and not rule.group and "|" not in core else None
     ahead = f"(?={''.join(piece for piece, _ in pieces(first[1]))}{'{' + first[2] + '}' if first[2] else ''})" if first else ""
     unicode_flags = f"(?{flags}{'u' if 'i' in flags else ''})" if flags else ""
-    return f"{unicode_flags}{ahead}({_LEFT if left else ''}{before})({value}){_RIGHT if right else ''}"
+    return f"{unicode_flags}{ahead}({_LEFT if left else edge}{before})({value}){_RIGHT if right else ''}"
 
 
 def _end_of(parts: list[tuple[str, bool]], at: int) -> int:

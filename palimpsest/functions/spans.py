@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import TYPE_ID
-from palimpsest.functions.rules import DIGIT, Rule, translate
+from palimpsest.functions.rules import DIGIT, Rule, ending, translate
 
 SPAN = "struct<start:int,end:int,score:float,ord:int,type_id:tinyint,source:string>"
 NONE = f"array<{SPAN}>"
@@ -64,6 +64,12 @@ _MATCHES = f"struct<score:float,ord:int,type_id:tinyint,sizes:{_SIZES}>"
 
 def _matches(text: Column, folded: Column, rule: Rule, order: int, pattern: str) -> Column:
     """What a rule finds: for each match the bytes between the last one's span and its own, and its own."""
+    if last := ending(rule):
+        return bind(F.regexp_extract(text, last, 0), lambda part: _matches_in(part, folded, rule, order, pattern))
+    return _matches_in(text, folded, rule, order, pattern)
+
+
+def _matches_in(text: Column, folded: Column, rule: Rule, order: int, pattern: str) -> Column:
 
     def sized(values: Column) -> Column:
         gaps = F.split(text, pattern, -1)
