@@ -93,18 +93,22 @@ def masked(text: Column, options: Options | None = None, found: Column | None =
     A null text gives a null masked text and no items.
     """
     options = options or Options()
-    enabled = lambda s: F.element_at(F.array(*[F.lit(options.switches.enabled(k)) for k in ENTITIES]), s["type_id"].cast("int"))
-    items_type = f"array<{ITEM}>"
+    spans = F.filter(F.coalesce(detected(text, options, found), no_spans()), lambda s: is_enabled(s["type_id"], options.switches))
+    return bind(spans, lambda s: rewritten(text, s))
+
 
-    def rewritten(spans: Column) -> Column:
-        serial = lambda i: (i + 1).cast("bigint")
-        item = lambda s, i: F.struct(serial(i).alias("id"), s["type_id"].alias("type_id"), type_name(s["type_id"]).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
-        done = F.struct(between(text, spans, lambda s, i: placeholder(type_name(s["type_id"]), serial(i))).alias("masked"), F.transform(spans, item).cast(items_type).alias("items"))
-        untouched = F.struct(text.alias("masked"), F.array().cast(items_type).alias("items"))
-        return F.when(F.size(spans) > 0, done).otherwise(untouched)
+def is_enabled(type_id: Column, switches: Switches) -> Column:
+    return F.element_at(F.array(*[F.lit(switches.enabled(k)) for k in ENTITIES]), type_id.cast("int"))
 
-    spans = F.filter(F.coalesce(detected(text, options, found), no_spans()), enabled)
-    return bind(spans, rewritten)
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """struct(masked, items) of a text and its disjoint spans by start, all of which are masked."""
+    items_type = f"array<{ITEM}>"
+    serial = lambda i: (i + 1).cast("bigint")
+    item = lambda s, i: F.struct(serial(i).alias("id"), s["type_id"].alias("type_id"), type_name(s["type_id"]).alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
+    done = F.struct(between(text, spans, lambda s, i: placeholder(type_name(s["type_id"]), serial(i))).alias("masked"), F.transform(spans, item).cast(items_type).alias("items"))
+    untouched = F.struct(text.alias("masked"), F.array().cast(items_type).alias("items"))
+    return F.when(F.size(spans) > 0, done).otherwise(untouched)
 
 
 def lookup(original: Column, items: Column, serial: Column) -> Column:
