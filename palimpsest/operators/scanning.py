@@ -1,4 +1,4 @@
-"""Rules that Spark's own functions can't run: a group within the pattern, or a validator that scores matches anew."""
+"""Rules that Spark's own functions can't run: a group within the pattern, or a validator that scores matches anew; and rules as a table function for SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
-from pyspark.sql.functions import arrow_udf
+from pyspark.sql import Column, SparkSession
+from pyspark.sql.functions import arrow_udf, arrow_udtf
 
 from palimpsest.functions.entities import TYPE_ID
-from palimpsest.functions.rules import WORD, PatternError, Rule, pieces
+from palimpsest.functions.rules import WORD, PatternError, Rule, pieces, steady
 from palimpsest.functions.spans import SPAN
 
 Validator = Callable[[str, float], float]
@@ -27,8 +27,9 @@ def compiled(rule: Rule) -> regex.Pattern:
     core = rule.pattern[flags.end() :] if flags else rule.pattern
     left, right = core.startswith(r"\b"), bool(re.search(r"(?<!\\)(?:\\\\)*\\b$", core))
     core = core[2 if left else 0 : -2 if right else None]
+    edge, core = ("", steady(core)[1]) if left or rule.group else steady(core)
     body = "".join(piece for piece, _ in pieces(core))
-    body = _spelt((rf"(?:\G|(?<![{WORD}]))" if left else "") + body + (rf"(?![{WORD}])" if right else ""))
+    body = _spelt((rf"(?:\G|(?<![{WORD}]))" if left else edge) + body + (rf"(?![{WORD}])" if right else ""))
     made = regex.compile((flags[0] if flags else "") + body, regex.V0)
     if rule.group > made.groups:
         raise PatternError(f"group {rule.group} of {rule.name} does not exist")
@@ -47,23 +48,58 @@ def scan_text(text: str, pattern: regex.Pattern, group: int) -> Iterator[tuple[i
         at = end if end > at else at + 1
 
 
+def luhn(text: str, score: float) -> float:
+    """A validator: a number whose check digit is wrong is worth half."""
+    digits = [int(c) for c in text[::-1] if c.isdigit()]
+    right = sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+    return score if right % 10 == 0 else score / 2
+
+
+def live_rules(rules: list[Rule], order: int = 1000) -> list[tuple[int, Rule, regex.Pattern]]:
+    return [(order + i, r, compiled(r)) for i, r in enumerate(rules)]
+
+
+def scan(text: str, live: list[tuple[int, Rule, regex.Pattern]], validators: dict[str, Validator]) -> Iterator[tuple[int, int, float, int, int]]:
+    """(start, end, score, ord, type_id) of what the rules find; places in bytes, counted on from one match to the next."""
+    for place, rule, pattern in live:
+        at = low = 0
+        for start, end in scan_text(text, pattern, rule.group):
+            low += len(text[at:start].encode())
+            high = low + len(text[start:end].encode())
+            score = validators[rule.name](text[start:end], rule.score) if rule.name in validators else rule.score
+            yield low, high, score, place, TYPE_ID[rule.kind]
+            at, low = end, high
+
+
 def scan_rules(rules: list[Rule], validators: dict[str, Validator] | None = None, order: int = 1000) -> Callable[[Column], Column]:
     """A function of a text column that gives the spans of these rules, with scores from a rule's validator where it has one."""
-    validators = validators or {}
-    live = [(order + i, r, compiled(r)) for i, r in enumerate(rules)]
+    validators, live = validators or {}, live_rules(rules, order)
 
     @arrow_udf(f"array<{SPAN}>")
-    def scan(texts: pa.Array) -> pa.Array:
-        out = []
-        for value in texts:
-            text = value.as_py() or ""
-            found = []
-            for place, rule, pattern in live:
-                for start, end in scan_text(text, pattern, rule.group):
-                    score = validators[rule.name](text[start:end], rule.score) if rule.name in validators else rule.score
-                    low = len(text[:start].encode())
-                    found.append({"start": low, "end": low + len(text[start:end].encode()), "score": score, "ord": place, "type_id": TYPE_ID[rule.kind], "source": "regex"})
-            out.append(found)
-        return pa.array(out, _SPANS)
-
-    return scan
+    def spans(texts: pa.Array) -> pa.Array:
+        fields = ("start", "end", "score", "ord", "type_id")
+        return pa.array([[dict(zip(fields, found, strict=True)) | {"source": "regex"} for found in scan(text.as_py() or "", live, validators)] for text in texts], _SPANS)
+
+    return spans
+
+
+def register_spans(spark: SparkSession, name: str, rules: tuple[Rule, ...], validators: dict[str, Validator] | None = None) -> None:
+    """A table function for SQL: name(TABLE(SELECT key, text ...)) gives a row for each span that the rules find.
+
+    The argument's columns are a key of type long and a text. Rows are (key, start, end, score, ord, type_id), before any choice
+    between spans; with the rules in the order of masking, operators.span_tables makes of them what masking would replace.
+    """
+    validators, live = validators or {}, live_rules(list(rules), 0)
+
+    @arrow_udtf(returnType="key long, start int, end int, score float, ord int, type_id tinyint")
+    class Spans:
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            keys, found, owners = batch.column(0), [], []
+            for i, text in enumerate(batch.column(1)):
+                own = list(scan(text.as_py() or "", live, validators))
+                found += own
+                owners += [i] * len(own)
+            columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, (pa.int32(), pa.int32(), pa.float32(), pa.int32(), pa.int8()))]
+            yield pa.Table.from_arrays([keys.take(pa.array(owners, pa.int64())).cast(pa.int64()), *columns], names=["key", "start", "end", "score", "ord", "type_id"])
+
+    spark.udtf.register(name, Spans)

@@ -53,6 +53,15 @@ RESTORED = [
     ("__PII_EMAIL_ADDRESS_1__", "x@y", [(1, 2, 0, 6)], "__PII_EMAIL_ADDRESS_1__"),
     ("left as it is", "x@y.zz", [], "left as it is"),
 ]
+#: Texts that hold placeholders before they are masked. Ids fall from -701.
+PLACEHOLDERS = ["see __PII_EMAIL_ADDRESS_3__ or a@b.cd", "__PII_PHONE_NUMBER_1____PII_PHONE_NUMBER_2__ and __PII_OTHER__", "otp: 55512, then __PII_USER_NAME_12__"]
+#: A value masked in the first text of each pair and left alone in the second. Ids fall from -601, -602 for each pair.
+LEAKS = [
+    ("the pwd: quagmire77 is new", "she said quagmire77 aloud"),
+    ("otp ZEBRA9X, hurry", "ZEBRA9X, not ZEBRA9XY"),
+    ("passcode: w\\E(r0ng", "w\\E(r0ng"),
+    ("pass = lonely88", "nolonely88 lonely888"),
+]
 #: Whole lines taken for pieces of an address: text, then score, start and end of what is fused. Fixed values.
 ADDRESSES = [
     ("北京市朝阳区建国路 88 号", [(0.9874, 0, 34)]),

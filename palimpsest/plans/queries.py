@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import ENTITIES, TYPE_ID, Switches
-from palimpsest.functions.language import TRADITIONAL, detect
+from palimpsest.functions.language import TRADITIONAL, detect, is_chinese
 from palimpsest.functions.rules import RULES, SPACE, WORD, Rule
 from palimpsest.functions.spans import SPAN, candidates, rule_spans
 from palimpsest.operators.calls import call_frame
 from palimpsest.operators.credentials import decode_credential, decode_json, encode_binary, encode_json
 from palimpsest.operators.intervals import apart, covered, normalized_table, overlapping
 from palimpsest.operators.fusion import with_fused
-from palimpsest.operators.masking import ITEM, Options, mask_frame, masked, restore_frame, restored, roundtrip_frame, span_frame
+from palimpsest.operators.masking import ITEM, Options, mask_frame, restore_frame, restored, roundtrip_frame, span_frame
 from palimpsest.operators.recognizing import recognizer
 from palimpsest.plans import cases
 from palimpsest.sources.texts import spread
@@ -71,8 +71,8 @@ def mask_query(table: str, switches: Switches | None = None):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = _read(spark, sf_dir, table, *(["turn"] if table == "conversations" else [])).select(key, F.col(text).alias("text"), F.col("turn") if table == "conversations" else F.lit(0).alias("turn"))
-        out = df.withColumn("m", masked(F.col("text"), Options(switches=switches or Switches())))
-        return out.select(key, F.col("turn").cast("long").alias("turn"), F.col("m.masked").alias("masked"), F.size("m.items").cast("long").alias("n_items"))
+        out = mask_frame(df, options=Options(switches=switches or Switches()))
+        return out.select(key, F.col("turn").cast("long").alias("turn"), "masked", F.size("meta.items").cast("long").alias("n_items"))
 
     return query
 
@@ -86,7 +86,7 @@ def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = roundtrip_frame(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("n_items").cast("long").alias("n_items"), "same")
+    return out.select("doc_id", F.col("n_items").cast("long").alias("n_items"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +95,9 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inline cases masked, and restored from what was masked."""
-    out = roundtrip_frame(cases.rows(spark, -101, _CASES))
-    return out.select("doc_id", "masked", "same")
+    """Documents and the inline cases masked, and restored from what was masked."""
+    out = roundtrip_frame(_with_cases(spark, sf_dir))
+    return out.select("doc_id", "masked", F.sha2("restored", 256).alias("restored_sha256"))
 
 
 def credential_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,35 +131,37 @@ def call_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses fused from the inline lines, each a piece of an address as a whole."""
-    df = cases.rows(spark, -401, [text for text, _ in cases.ADDRESSES])
+    """Addresses fused from documents in Chinese and from the inline lines, each a piece of an address as a whole."""
+    df = _with_cases(spark, sf_dir, -401, [text for text, _ in cases.ADDRESSES])
     whole = F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("end"), F.lit(0.9).cast("float").alias("score"), F.lit(0).alias("ord"), F.lit(TYPE_ID["PHYSICAL_ADDRESS"]).cast("tinyint").alias("type_id"), F.lit("case").alias("source"))
-    df = df.withColumn("spans", F.array(whole).cast(f"array<{SPAN}>")).withColumn("chinese", F.lit(True))
+    df = df.withColumn("spans", F.array(whole).cast(f"array<{SPAN}>")).withColumn("chinese", is_chinese(detect(F.col("text"))))
     found = with_fused(df, "made", "text", "spans", "chinese").select("doc_id", F.explode("made.addresses").alias("a"))
     return found.select("doc_id", F.col("a.start").cast("long").alias("start"), F.col("a.end").cast("long").alias("end"), F.round(F.col("a.score").cast("double"), 4).alias("score"))
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of a token model on the inline texts."""
-    df = cases.rows(spark, -501, [text for text, _ in cases.TOKENS])
+    """Spans of a token model on documents and the inline texts."""
+    df = _with_cases(spark, sf_dir, -501, [text for text, _ in cases.TOKENS])
     found = df.select("doc_id", recognizer(cases.WORD_MODEL)(F.col("text"), F.lit("en")).alias("spans")).select("doc_id", F.explode("spans").alias("s"))
     kind = F.element_at(F.array(*[F.lit(k) for k in ENTITIES]), F.col("s.type_id").cast("int"))
     return found.select("doc_id", kind.alias("type"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
-def _through(encode, decode):
+def _through(encode, decode, told: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = mask_frame(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-        out = out.select("doc_id", "text", "masked", decode(encode(F.col("meta"))).alias("meta"))
+        out = out.select("doc_id", "masked", encode(F.col("meta")).alias("credential"))
+        out = out.select("doc_id", "masked", "credential", decode(F.col("credential")).alias("meta"))
         back = restored(F.col("masked"), F.col("meta.original"), F.col("meta.items"))
-        return out.select("doc_id", F.size("meta.items").cast("long").alias("n_items"), (back == F.col("text")).alias("same"))
+        held = [F.sha2(F.unbase64("credential"), 256).alias("credential_sha256")] if told else []
+        return out.select("doc_id", F.size("meta.items").cast("long").alias("n_items"), F.sha2(back, 256).alias("restored_sha256"), *held)
 
     return query
 
 
 def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders that each masked text holds; more than its items if the text held some before."""
-    out = mask_frame(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Placeholders that each masked text holds; more than its items if the text held some before, as the inline ones do."""
+    out = mask_frame(_with_cases(spark, sf_dir, -701, cases.PLACEHOLDERS))
     return out.select("doc_id", F.size("meta.items").cast("long").alias("n_items"), F.regexp_count("masked", F.lit(r"__PII_[A-Z_]+_\d+__")).cast("long").alias("n_placeholders"))
 
 
@@ -186,7 +188,7 @@ QUERIES = {
     "spans_documents": spans_query("documents"),
     "spans_pages": spans_query("pages"),
     "roundtrip_documents": roundtrip,
-    "credential_json": _through(encode_json, decode_json),
+    "credential_json": _through(encode_json, decode_json, True),
     "credential_binary": _through(encode_binary, decode_credential),
     "language_documents": languages,
     "span_counts": span_counts,
@@ -250,8 +252,8 @@ def _rule_sql(rule: Rule, table: str) -> str:
     return f'SELECT {key}, type, s AS "start", e AS "end", CAST(score AS DOUBLE) AS score FROM ({_candidates_sql(source, [(0, rule)], key, text)}) c'
 
 
-def _resolved_sql(table: str, switches: Switches, keys: str, source: str | None = None) -> str:
-    """(keys, id, type, s, e, score) of masked items of a table, or of another source with its columns."""
+def _resolved_sql(table: str, switches: Switches, keys: str, source: str | None = None, candidates: str | None = None) -> str:
+    """(keys, id, type, s, e, score) of masked items of a table, or of another source with its columns, or of other candidates."""
     _, text = TABLES[table]
     enabled = ", ".join(str(i) for i, kind in enumerate(ENTITIES, 1) if switches.enabled(kind)) or "0"
     rules = [(i, r) for i, r in enumerate(RULES) if r.score >= 0.5]
@@ -261,7 +263,7 @@ SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY s) AS id, type, s
     SELECT {keys}, list_reduce(list(struct_pack(type := type, type_id := type_id, s := s, e := e, score := CAST(score AS DOUBLE)) ORDER BY score DESC, e - s DESC, s, ord),
       lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: o.s < x[1].e AND x[1].s < o.e)) > 0 THEN acc ELSE list_concat(acc, x) END,
       CAST([] AS STRUCT("type" VARCHAR, type_id INTEGER, s BIGINT, e BIGINT, score DOUBLE)[])) AS kept
-    FROM (SELECT {keys}, type, type_id, s, e, score, ord FROM ({_candidates_sql(source or table, rules, keys, text)}) c) GROUP BY {keys}))
+    FROM (SELECT {keys}, type, type_id, s, e, score, ord FROM ({candidates or _candidates_sql(source or table, rules, keys, text)}) c) GROUP BY {keys}))
 WHERE type_id IN ({enabled})""".replace("list(struct_pack", "list([struct_pack").replace("CAST(score AS DOUBLE)) ORDER", "CAST(score AS DOUBLE))] ORDER")
 
 
@@ -272,20 +274,20 @@ SELECT i.{key}, i.id, i.type, i.s AS "start", i.e AS "end", i.score, decode(arra
 FROM items i JOIN {table} t ON i.{key} = t.{key}"""
 
 
-def _mask_sql(table: str, switches: Switches | None = None) -> str:
+def _mask_sql(table: str, switches: Switches | None = None, source: str | None = None) -> str:
     key, text = TABLES[table]
     turn = "turn" if table == "conversations" else "CAST(0 AS BIGINT)"
     keys = f"{key}, turn" if table == "conversations" else key
     on = " AND ".join(f"t.{k} = p.{k}" for k in keys.split(", "))
     each = ", ".join(f"i.{k}" for k in keys.split(", "))
     same = " AND ".join(f"i.{k} = d.{k}" for k in keys.split(", "))
-    return f"""WITH items AS ({_resolved_sql(table, switches or Switches(), keys)}),
+    return f"""WITH items AS ({_resolved_sql(table, switches or Switches(), keys, source)}),
 placed AS (
   SELECT {each}, count(*) AS n,
     string_agg(decode(array_slice(encode(d.{text}), i.before + 1, i.s)) || '__PII_' || i.type || '_' || i.id || '__', '' ORDER BY i.s) AS head, max(i.e) AS last
-  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY {keys} ORDER BY s), 0) AS before FROM items) i JOIN {table} d ON {same} GROUP BY {each})
+  FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY {keys} ORDER BY s), 0) AS before FROM items) i JOIN {source or table} {'' if source else 'd'} ON {same} GROUP BY {each})
 SELECT t.{key}, {f't.{turn}' if turn == 'turn' else turn} AS turn, CASE WHEN p.n IS NULL THEN t.{text} ELSE p.head || decode(array_slice(encode(t.{text}), p.last + 1, strlen(t.{text}))) END AS masked, coalesce(p.n, 0) AS n_items
-FROM {table} t LEFT JOIN placed p ON {on}"""
+FROM (SELECT * FROM {source or table}) t LEFT JOIN placed p ON {on}"""
 
 
 _LANGUAGE_SQL = r"""
@@ -302,7 +304,13 @@ FROM (SELECT doc_id,
     len(regexp_extract_all(t, '[TRADITIONAL]')) AS traditional
   FROM (SELECT doc_id, coalesce(text, '') AS t FROM SOURCE d))
 """.replace("TRADITIONAL", TRADITIONAL).replace("SOURCE", _cases_sql(-201, [text for text, _ in cases.LANGUAGES]))
-_ITEMS_PER_DOC = f"SELECT t.doc_id, coalesce(n, 0) AS n_items, true AS same FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) GROUP BY doc_id) i ON t.doc_id = i.doc_id"
+_ITEMS_PER_DOC = f"SELECT t.doc_id, coalesce(n, 0) AS n_items, sha256(text) AS restored_sha256 FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) GROUP BY doc_id) i ON t.doc_id = i.doc_id"
+_PLACED = _cases_sql(-701, cases.PLACEHOLDERS)
+_JSON_SQL = f"""WITH items AS ({_resolved_sql('documents', Switches(), 'doc_id')}), told AS (
+  SELECT doc_id, count(*) AS n, string_agg('{{"id":' || id || ',"type":' || list_position({list(ENTITIES)!r}, type) || ',"start":' || s || ',"end":' || e || ',"score":' || score || '}}', ',' ORDER BY id) AS items FROM items GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_items, sha256(text) AS restored_sha256, sha256('{{"original":' || coalesce(to_json(text), '""') || ',"items":[' || coalesce(items, '') || ']}}') AS credential_sha256
+FROM documents d LEFT JOIN told t ON t.doc_id = d.doc_id"""
 
 SQL = {
     "mask_documents": _mask_sql("documents"),
@@ -312,7 +320,7 @@ SQL = {
     "spans_documents": _spans_sql("documents"),
     "spans_pages": _spans_sql("pages"),
     "roundtrip_documents": _ITEMS_PER_DOC,
-    "credential_json": _ITEMS_PER_DOC,
+    "credential_json": _JSON_SQL,
     "credential_binary": _ITEMS_PER_DOC,
     "language_documents": _LANGUAGE_SQL,
     "span_counts": f"""WITH items AS (SELECT i.*, d.lang FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) i JOIN documents d ON i.doc_id = d.doc_id)
@@ -326,7 +334,8 @@ def _interval_sql(left: str, right: str, negated: str, meets: str) -> str:
 
 
 SQL |= {
-    "placeholders_documents": f"SELECT i.doc_id, n_items, n_items + len(regexp_extract_all(d.text, '__PII_[A-Z_]+_[0-9]+__')) AS n_placeholders FROM ({_ITEMS_PER_DOC}) i JOIN documents d ON i.doc_id = d.doc_id",
+    "placeholders_documents": f"""SELECT d.doc_id, coalesce(n, 0) AS n_items, coalesce(n, 0) + len(regexp_extract_all(d.text, '__PII_[A-Z_]+_[0-9]+__')) AS n_placeholders FROM {_PLACED} d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_resolved_sql("documents", Switches(), "doc_id", f"{_PLACED} d")}) GROUP BY doc_id) i ON i.doc_id = d.doc_id""",
     "intervals_overlapping": _interval_sql("PHONE", "BANK", "", "a.s < b.e AND b.s < a.e"),
     "intervals_apart": _interval_sql("PHONE", "BANK", "NOT", "a.s < b.e AND b.s < a.e"),
     "intervals_covered": _interval_sql("BANK", "PHONE", "", "b.s <= a.s AND b.e >= a.e"),
@@ -364,7 +373,8 @@ def _expected(first: int, rows: list[tuple[int, str]], names: str) -> str:
 
 
 SQL |= {
-    "mask_cases": _expected(-101, [(i, f"{cases.quoted(want)}, true") for i, (_, want) in enumerate(cases.MASKED)], "masked, same"),
+    "mask_cases": f"""SELECT m.doc_id, masked, sha256(text) AS restored_sha256 FROM ({_mask_sql('documents')}) m JOIN documents d ON m.doc_id = d.doc_id
+UNION ALL {_expected(-101, [(i, f"{cases.quoted(want)}, sha256({cases.quoted(text)})") for i, (text, want) in enumerate(cases.MASKED)], "masked, restored_sha256")}""",
     "credential_bytes": _CREDENTIAL_SQL,
     "restore_join": f"""SELECT doc_id, length(t) AS n_chars, sha256(t) AS restored_sha256 FROM (
 SELECT doc_id, 'Re: ' || text || ' (end)' AS t FROM documents WHERE text IS NOT NULL UNION ALL {_expected(-301, [(i, cases.quoted(want)) for i, (*_, want) in enumerate(cases.RESTORED)], "t")})""",
