@@ -1,9 +1,14 @@
 """Main text of web pages: flat text blocks judged by a decision tree.
 
 A page is scanned once into flat blocks: the text between two borders of block elements. A block is described by its own and
-its neighbours' word counts and link densities, its kind of element, and by marks of what encloses it (an article; something
-whose element, class, id or role says menu, advert, notice, comments and the like). A decision tree, grown on the small
-labelled tables below, says which blocks are main text.
+its neighbours' word counts and link densities, its kind of element, what it says (a notice about cookies or rights; what follows a
+heading of readers' comments), and by marks of what encloses it (an article; something whose element, class, id or role says
+menu, advert, notice, comments and the like). A decision tree, grown on the small labelled tables below, says which blocks are main
+text.
+
+A class or an id is a suspicion only: words such as `has-sidebar` or `category-social` tell of the page's make-up, and an element
+that holds what marks an article, and more than half of the page's running text, is the article's own frame whatever it is called.
+The same goes for forms and headers. Menus, footers, dialogs and what is hidden are beside the article as they stand.
 
 Defined results: null or empty html has no text; markup that ends early counts as closed at its end; comments, scripts,
 styles and the head are never text; rows without page_id are pages like others; repeated rows are extracted each; extra
@@ -34,9 +39,10 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: What such elements hold is never text; their content is not markup.
-RAW = frozenset("script style template noscript textarea title iframe svg math object select".split())
+RAW = frozenset("script style template noscript textarea title iframe svg object select annotation annotation-xml".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-ASIDES = frozenset("nav aside footer form fieldset dialog button menu label".split())
+ASIDES = frozenset("nav aside footer dialog button menu".split())
+SUSPECTS = frozenset("form fieldset label".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 #: Words of a class or an id that say that something is not the article.
 ASIDE_WORDS = frozenset(
@@ -44,13 +50,26 @@ ASIDE_WORDS = frozenset(
     "consent gdpr notice notices notification alert sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
     "comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations widget widgets "
     "popup modal overlay newsletter subscribe subscription signup login signin search toolbar pagination pager copyright legal disclaimer skip "
-    "toc outbrain taboola form".split()
+    "toc outbrain taboola form remarks guestbook".split()
 )
+#: Such a word before others says that the rest of a class name is about the page, not about the element.
+ABOUT = frozenset("has with no without is not category cat tag topic type format layout page theme".split())
 ARTICLE_WORDS = frozenset("article post entry story content main body text".split())
 #: An open element ends where one of these begins.
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 
-FEATURES = ("aside", "article", "heading", "paragraph", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
+#: A notice about cookies, one about rights or letters (beside an article only), and a line below which readers speak.
+_COOKIES = re.compile(r"\bcookies?\b.*\b(?:accept|agree|consent|privacy|preferences|settings|einverstanden|zustimm|datenschutz|acceptez|politique|aceptar?|privacidad)|\b(?:accept|consent|zustimm|acceptez|acepta).*\bcookies?\b", re.I | re.S)
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright)|\ball rights reserved\b|\balle rechte vorbehalten\b|\btous droits réservés\b|\btodos los derechos reservados\b|^(?:subscribe|sign up)\b.*\b(?:newsletter|inbox|e-?mail)", re.I | re.S)
+_REMARKS = re.compile(
+    r"(?:\d+ )?(?:(?:reader|user|visitor)s?'? )?(?:comments?|kommentare?|commentaires?|comentarios?)(?: ?\(?\d+\)?)?|\d+ (?:replies|reply|responses?|remarks?|reactions?|antworten|réponses?|respuestas?)"
+    r"|\d+ (?:readers?|people|users?|visitors?) (?:wrote|said|say|commented|replied)|(?:leave|post|write|add) a (?:comment|reply)|(?:what )?(?:our )?readers (?:say|said|think|wrote)|join the conversation",
+    re.I,
+)
+#: A notice has few words; below fewer words of running text, readers have nothing to speak about yet.
+NOTICE_WORDS, REMARKS_AFTER = 60, 20
+
+FEATURES = ("aside", "article", "notice", "remarks", "heading", "paragraph", "item", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
 class Tags:
@@ -99,47 +118,95 @@ class Tags:
 class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    aside: bool = False
+    strong: bool = False
+    suspect: int = -1
     article: bool = False
     kind: str = ""
+    element: int = -1
+    aside: bool = False
+    remarks: bool = False
 
     def close(self) -> bool:
         self.text = " ".join(html.unescape("".join(self.parts)).split())
         self.words = self.text.count(" ") + 1 if self.text else 0
         held = len(html.unescape(" ".join(self.linked)).split())
         self.links = min(1.0, held / self.words) if self.words else 0.0
+        self.notice = self.words <= NOTICE_WORDS and bool(_COOKIES.search(self.text) or (not self.article and _RIGHTS.search(self.text)))
         return bool(self.text)
 
+    def running(self) -> int:
+        return self.words if self.links < 0.5 and not self.strong else 0
+
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is beside the article, and whether it is one."""
-    aside = tag in ASIDES or (tag == "header" and not in_article)
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is beside the article, may be, and is one."""
+    strong, suspect = tag in ASIDES, tag in SUSPECTS or (tag == "header" and not in_article)
     article = tag in ("article", "main")
     if attributes.strip(" \t\n\r\f/"):
         for name, *values in _ATTR.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
+                names = [[w.lower() for w in _WORD.findall(one)] for one in value.split()]
+                words = {w for one in names if one and not (len(one) > 1 and one[0] in ABOUT) for w in one}
                 own = bool(words & ARTICLE_WORDS)
                 if words & ASIDE_WORDS or ("header" in words and not own and not in_article):
-                    aside = aside or tag not in ("html", "body", "article", "main")
+                    suspect = suspect or tag not in ("html", "body", "article", "main")
+                    article = article and not words & ASIDE_WORDS
                 elif own and tag in ("div", "section"):
                     article = True
             elif name == "role":
-                aside = aside or value.lower() in ASIDE_ROLES
+                strong = strong or value.lower() in ASIDE_ROLES
                 article = article or value.lower() in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                aside = True
-    return aside, article
+                strong = True
+    return strong, suspect, article
+
+
+def _judge(blocks: list[Block], above: list[int], marked: list[bool]) -> None:
+    """Which suspects are beside the article, from the words that they hold; above: the suspect that encloses each."""
+    held = [0] * len(above)
+    for b in blocks:
+        if b.suspect >= 0:
+            held[b.suspect] += b.running()
+    for i in range(len(above) - 1, -1, -1):
+        if above[i] >= 0:
+            held[above[i]] += held[i]
+            marked[above[i]] = marked[above[i]] or marked[i]
+    half = sum(b.running() for b in blocks) / 2
+    beside = []
+    for i, outer in enumerate(above):
+        beside.append((outer >= 0 and beside[outer]) or not (marked[i] and held[i] > half))
+    for b in blocks:
+        b.aside = b.strong or (b.suspect >= 0 and beside[b.suspect])
+
+
+def _find_remarks(blocks: list[Block], parent: list[int], ends: list[int]) -> None:
+    """Blocks behind a line that announces readers' comments, up to the end of what encloses that line."""
+    spoken, until = 0, 0
+    for i, b in enumerate(blocks):
+        b.remarks = i < until
+        if not b.remarks and not b.aside:
+            if spoken >= REMARKS_AFTER and b.words <= 6 and _REMARKS.fullmatch(b.text.rstrip(".:…!")) and (b.kind in HEADINGS or b.text[0].isdigit()):
+                outer = parent[b.element] if b.element >= 0 else -1
+                until, b.remarks = ends[outer] if outer >= 0 else len(blocks), True
+            spoken += b.running()
 
 
 def blocks_of(page: str) -> list[Block]:
     """Flat text blocks in page order, without empty ones."""
     out: list[Block] = []
-    #: Element, beside the article, in the article, and the block that an inline element beside the article interrupts.
-    stack: list[tuple[str, bool, bool, Block | None]] = []
+    #: Element, beside the article, suspect, in the article, its number, and the block that an inline element beside the article interrupts.
+    stack: list[tuple[str, bool, int, bool, int, Block | None]] = []
     opened: Counter[str] = Counter()
-    aside = article = False
+    strong = article = False
+    suspect = element = -1
+    inside = -1  # where in the stack the inline element stands that interrupts a block
+    #: Of suspects, the suspect that encloses each and whether it holds what marks an article; of block elements, the one that
+    #: encloses each and the number of blocks at its end.
+    above: list[int] = []
+    marked: list[bool] = []
+    parent: list[int] = []
+    ends: list[int] = []
     links = 0
     block = Block()
 
@@ -150,29 +217,33 @@ def blocks_of(page: str) -> list[Block]:
     def kind() -> str:
         return next((t for t, *_ in reversed(stack) if t in BLOCKS), "")
 
+    def new() -> Block:
+        return Block(strong=strong, suspect=suspect, article=article, kind=kind(), element=element)
+
     def border() -> None:
         nonlocal block
-        if opened["/"]:  # blocks that go on behind an inline element do so as blocks of their own if a border stands in it
-            for i, (tag, beside, own, held) in enumerate(stack):
-                if held is not None and held.parts:
-                    finish(held)
-                    stack[i] = tag, beside, own, Block(aside=held.aside, article=held.article, kind=held.kind)
+        if inside >= 0:  # a block that goes on behind an inline element does so as a block of its own if a border stands in it
+            *entry, held = stack[inside]
+            if held.parts:
+                finish(held)
+                stack[inside] = *entry, Block(strong=held.strong, suspect=held.suspect, article=held.article, kind=held.kind, element=held.element)
         finish(block)
-        block = Block(aside=aside, article=article, kind=kind())
+        block = new()
 
     def leave(depth: int) -> None:
-        nonlocal aside, article, links, block
+        nonlocal strong, suspect, article, element, links, block, inside
         while len(stack) > depth:
-            tag, _, _, held = stack.pop()
+            tag, _, _, _, own, held = stack.pop()
             opened[tag] -= 1
             links -= tag == "a"
-            _, aside, article, _ = stack[-1] if stack else ("", False, False, None)
+            _, strong, suspect, article, element, _ = stack[-1] if stack else ("", False, -1, False, -1, None)
             if held is not None:
-                opened["/"] -= 1
+                inside = -1
                 finish(block)
                 block = held
             if tag in BLOCKS:
                 border()
+                ends[own] = len(out)
 
     def say(text: str) -> None:
         if text:
@@ -204,7 +275,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             lower = lower if lower is not None else page.lower()
             end = lower.find(f"</{tag}", at)
-            if attributes.endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag == "svg":
                 continue
             at = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             continue
@@ -221,22 +292,37 @@ def blocks_of(page: str) -> list[Block]:
             if tag in BLOCKS:
                 border()
             continue
-        beside, own = _marks(tag, attributes, article)
-        inline = beside and not aside and tag not in BLOCKS
-        stack.append((tag, aside or beside, article or own, block if inline else None))
-        aside, article = aside or beside, article or own
+        beside, may_be, own = _marks(tag, attributes, article)
+        inline = (beside or may_be) and not strong and tag not in BLOCKS and inside < 0
+        strong, article = strong or beside, article or own
+        if may_be:
+            above.append(suspect)
+            marked.append(False)
+            suspect = len(above) - 1
+        if suspect >= 0 and (own or tag == "h1"):
+            marked[suspect] = True
+        if tag in BLOCKS:
+            parent.append(element)
+            ends.append(0)
+            element = len(parent) - 1
+        stack.append((tag, strong, suspect, article, element, block if inline else None))
         opened[tag] += 1
         links += tag == "a"
         if inline:
-            opened["/"] += 1
-            block = Block(aside=True, article=article, kind=kind())
+            inside = len(stack) - 1
+            block = new()
         elif tag in BLOCKS:
             border()
     finish(block)
+    for i in {e for _, _, _, _, e, _ in stack if e >= 0}:
+        ends[i] = len(out)
     for *_, held in reversed(stack):
         if held is not None:
             finish(held)
-    return [b for b in out if b.kind != "head"]
+    head = [b.kind == "head" for b in out]
+    _judge(out, above, marked)
+    _find_remarks(out, parent, ends)
+    return [b for b, beside in zip(out, head) if not beside]
 
 
 def described(blocks: list[Block]) -> list[tuple[float, ...]]:
@@ -246,7 +332,7 @@ def described(blocks: list[Block]) -> list[tuple[float, ...]]:
     out = []
     for i, b in enumerate(blocks):
         before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
-        out.append((float(b.aside), float(b.article), float(b.kind in HEADINGS), float(b.kind in ("p", "blockquote", "pre")), float(b.kind in ("li", "dd", "dt", "td", "th")), b.words, b.links, before.words, before.links, after.words, after.links))
+        out.append((float(b.aside), float(b.article), float(b.notice), float(b.remarks), float(b.kind in HEADINGS), float(b.kind in ("p", "blockquote", "pre")), float(b.kind in ("li", "dd", "dt", "td", "th")), b.words, b.links, before.words, before.links, after.words, after.links))
     return out
 
 
@@ -290,14 +376,15 @@ MARKED = [(kind, words, links) for kind in ("paragraph", "block", "heading", "it
 def labelled_rows() -> list[tuple]:
     """The table as rows: FEATURES, then the label."""
 
-    def row(aside: int, article: int, kind: str, words: int, links: float, around: str, label: int) -> tuple:
-        return (aside, article, int(kind == "heading"), int(kind == "paragraph"), int(kind == "item"), words, links, *NEIGHBOURS[around[0]], *NEIGHBOURS[around[1]], label)
+    def row(aside: int, article: int, kind: str, words: int, links: float, around: str, label: int, notice: int = 0, remarks: int = 0) -> tuple:
+        return (aside, article, notice, remarks, int(kind == "heading"), int(kind == "paragraph"), int(kind == "item"), words, links, *NEIGHBOURS[around[0]], *NEIGHBOURS[around[1]], label)
 
     out = [row(0, 0, kind, words, links, pair, label) for kind, words, links, yes, no in UNMARKED for label, pairs in ((1, yes), (0, no)) for pair in pairs.split()]
     for kind, words, links in MARKED:
         for pair in (a + b for a in NEIGHBOURS for b in NEIGHBOURS):
             menu = links == 1.0 and "L" in pair and kind != "heading"
             out += [row(0, 1, kind, words, links, pair, int(not menu)), row(1, 0, kind, words, links, pair, 0), row(1, 1, kind, words, links, pair, 0)]
+            out += [row(0, article, kind, words, links, pair, 0, notice, 1 - notice) for article in (0, 1) for notice in (0, 1)]
     return out
 
 
@@ -316,7 +403,7 @@ class Node:
         return node.share >= 0.5
 
 
-def grow(rows: list[tuple], depth: int = 8) -> Node:
+def grow(rows: list[tuple], depth: int = 10) -> Node:
     """A binary tree by Gini impurity; ties go to the first feature and the lowest cut. The last column is the label."""
     share = sum(r[-1] for r in rows) / len(rows)
     if depth == 0 or share in (0.0, 1.0):

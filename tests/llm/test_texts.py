@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 import zlib
 from pathlib import Path
@@ -127,6 +128,57 @@ LABELLED = [
 ]
 
 
+_FIRST = "The ferry that links the two islands will run again from Saturday, after engineers replaced both of its engines in a dry dock up the coast."
+_SECOND = "Tickets cost as much as before the repair, and the first boat leaves at six in the morning, an hour earlier than in past summers, said the harbour master."
+_THIRD = "Cars must be booked two days ahead, since the smaller deck takes only thirty of them, while people on foot can board until the last minute."
+_BODY = f"<h1>+Ferry runs again</h1><p>+{_FIRST}</p><p>+{_SECOND}</p><h2>+What it costs</h2><p>+{_THIRD}</p>"
+_MENU = "<ul><li><a href=1>-Home</a></li><li><a href=2>-Islands</a></li><li><a href=3>-Weather</a></li></ul>"
+_REMARK = "<p>-I have taken this boat for twenty years, and never once was it late, whatever the weather and the season, so thank you.</p><p>-Same here.</p>"
+#: Frames with classes that also name what is beside an article; comments and notices that nothing names.
+FRAMED = [
+    f"<body class='single has-sidebar'><nav>{_MENU}</nav><div class='content has-sidebar'>{_BODY}</div><div class=sidebar><p>-{_THIRD}</p></div></body>",
+    f"<div class='post type-post category-social tag-legal'>{_BODY}</div><div class='widget_recent'><p>-Recent news from the islands and beyond</p></div><footer><p>-{_FIRST}</p></footer>",
+    f"<div id=page class='site left-sidebar'><div id=masthead>-Island News, since 1911, in all weathers</div><article>{_BODY}</article><div class='comments-area'>{_REMARK}</div></div>",
+    f"<div class='wrapper sticky-nav'>{_MENU}<main>{_BODY}</main><div class=related><p>-The lighthouse keeper who never saw the sea at night</p></div></div>",
+    f"<form id=aspnetForm><div class=topbar>{_MENU}</div><div class=content>{_BODY}</div><div class=newsletter><p>-Get our best stories by post each week</p></div></form>",
+    f"<div>{_MENU}</div><div>{_BODY}<h3>-3 comments</h3>{_REMARK}</div><p>-We use cookies to make this site work; by reading on you accept them, or see our privacy page for more.</p>",
+    f"<div class=x7><a href=1>-Start</a> <a href=2>Map</a></div><div class=x8>{_BODY}<div class=x9><p>-2 readers wrote</p>{_REMARK}</div></div><div>-© 2021 Island News, a paper of the people</div>",
+    f"<section class='layout-with-sidebar page'><section>{_BODY}</section><section><h2>-Comments</h2>{_REMARK}</section></section><p>-Wir verwenden Cookies. Näheres steht unter Datenschutz, wo sich auch einstellen lässt, was nötig ist.</p>",
+    f"<div class=remarks>{_REMARK}</div><article class='entry format-aside'>{_BODY}</article><p>-All rights reserved, also in part, by the paper and those who write for it.</p>",
+    f"<div class='row no-footer'><div class='story tag-comments'>{_BODY}<p>+Nobody who wants to go has to wait for long.</p></div><aside><p>-{_SECOND}</p></aside></div><div>{_MENU}</div>",
+]
+
+
+def shown(*features):
+    """(right main blocks, wrong ones, missed ones) over the framed pages, with these features hidden from the tree."""
+    right = wrong = missed = 0
+    for page in FRAMED:
+        labels = [b.text[0] == "+" for b in blocks_of(page)]
+        blocks = blocks_of(re.sub(r"(?<=>)[+-]", "", page))
+        for main, row in zip(labels, described(blocks), strict=True):
+            said = default_tree().is_text(tuple(0 if name in features else x for name, x in zip(FEATURES, row)))
+            right, wrong, missed = right + (main and said), wrong + (said and not main), missed + (main and not said)
+    return right, wrong, missed
+
+
+def test_frames_are_not_what_their_classes_name():
+    for features, least in (((), 0.98), (("aside", "article"), 0.9), (("notice", "remarks"), 0.85)):
+        right, wrong, missed = shown(*features)
+        assert 2 * right / (2 * right + wrong + missed) >= least and right / (right + missed) >= 0.95, features
+    assert shown("notice", "remarks")[1] > shown()[1] < shown("aside", "article")[1]
+
+
+def test_what_a_page_is_called_does_not_count():
+    two = "<p>" + " ".join(["word"] * 24) + "</p><p>" + " ".join(["term"] * 24) + "</p>"
+    for page in ("<div class='content has-sidebar'>{}</div>", "<div class='post type-post category-social tag-legal'>{}</div>", "<div id=page class='site left-sidebar'><article>{}</article></div>", "<div class='wrapper sticky-nav'><main>{}</main></div>", "<form id=aspnetForm><div class=content>{}</div></form>"):
+        assert main_text(f"<nav><a href=1>Home</a></nav>{page.format(two)}<div class=sidebar><p>Some note</p></div>").count("\n") == 1, page
+    # Comments that are longer than the article stay comments, in articles of their own too.
+    many = f"<div class='comments-area'>{'<article class=comment-body>' + two + '</article>' * 4}</div>"
+    assert main_text(f"<article>{two}</article>{many}").count("\n") == 1
+    assert main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p><p>All rights reserved.</p></article>") == "Let x=2 be.\nAll rights reserved."
+    assert main_text(f"<h1>T</h1><p>3 comments</p>{two}").count("term") == 24  # a line below the title announces nothing
+
+
 def judged(feature_off=()):
     """(right main blocks, wrong ones, missed ones) over the labelled pages, with a tree that sees nothing of some features."""
     blind = lambda row: tuple(0 if name in feature_off else x for name, x in zip(FEATURES, row))
@@ -160,7 +212,7 @@ def test_text_goes_on_behind_inline_asides():
 
 def test_deep_nesting_takes_linear_time():
     start = time.perf_counter()
-    for part in ("<b>", "<div>", "<b></i>", "<li><b>", "<span class=ad>", "<p><span class=ad>x"):
+    for part in ("<b>", "<div>", "<b></i>", "<li><b>", "<span class=ad>", "<p><span class=ad>x", "<span class=ad><div>x", "<div class=ad>x", "<h3>3 comments</h3>", "<form><main>"):
         main_text("<article>" + part * 30_000)
     assert time.perf_counter() - start < 60
 
