@@ -99,26 +99,53 @@ class Indicators:
         return np.flatnonzero(self.mark(i))
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+class Rows:
+    """Features of labelled texts. Up to `budget` bytes of them stand unpacked; the others are unpacked each time they are looked at."""
+
+    def __init__(self, found: list[bytes], budget: int = 128 << 20):
+        self.held: list[bytes | np.ndarray] = []
+        for data in found:
+            row = unpacked(data)
+            budget -= row.nbytes
+            self.held.append(row if budget >= 0 else data)
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        held = self.held[i]
+        return unpacked(held) if isinstance(held, bytes) else held
+
+
+def log_count_ratio(rows: Rows, own: np.ndarray, y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     p, q = np.full(FEATURES, smooth), np.full(FEATURES, smooth)
-    for row, label in zip(rows, y, strict=True):
-        (p if label > 0 else q)[row] += 1
+    for i in own:
+        (p if y[i] > 0 else q)[rows[i]] += 1
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """min |w|^2 / 2 + sum cost_i max(0, 1 - y_i (w x_i + b)), over the dual, one alpha at a time; b is the weight of a feature 1."""
+def dual_coordinate_descent(rows: Rows, own: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+    """min |w|^2 / 2 + sum cost_i max(0, 1 - y_i (w x_i + b)), over the dual, one alpha at a time; b is the weight of a feature 1.
+
+    x_i holds the ratios `scale` of a row's features, of length 1; it is made anew for each step, and nothing but its norm is kept.
+    """
     w, b = np.zeros(FEATURES), 0.0
-    alpha = np.zeros(len(rows))
-    square = np.array([v @ v + 1 for v in values])
+    alpha, norm, square = np.zeros(len(own)), np.empty(len(own)), np.empty(len(own))
+    for i, at in enumerate(own):
+        value = scale[rows[at]]
+        norm[i] = max(np.linalg.norm(value), 1e-6)
+        value = value / norm[i]
+        square[i] = value @ value + 1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            row, value = rows[i], values[i]
-            gradient = y[i] * (w[row] @ value + b) - 1
+        for i in rng.permutation(len(own)):
+            row = rows[own[i]]
+            value = scale[row] / norm[i]
+            sign = y[own[i]]
+            gradient = sign * (w[row] @ value + b) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), cost[i])
-            step = (new - alpha[i]) * y[i]
+            step = (new - alpha[i]) * sign
             if step:
                 w[row] += step * value
                 b += step
@@ -169,16 +196,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a * np.array(out, np.float64) + b, -30, 30)))
 
 
-def _fit_once(rows: list[np.ndarray], y: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray, float]:
-    scale = log_count_ratio(rows, y)
-    values = [scale[r] / max(np.linalg.norm(scale[r]), 1e-6) for r in rows]
-    share = (y > 0).mean()
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) * cost
-    w, b = dual_coordinate_descent(rows, values, y, weight)
+def _fit_once(rows: Rows, own: np.ndarray, y: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray, float]:
+    scale = log_count_ratio(rows, own, y)
+    share = (y[own] > 0).mean()
+    weight = np.where(y[own] > 0, 0.5 / share, 0.5 / (1 - share)) * cost
+    w, b = dual_coordinate_descent(rows, own, scale, y, weight)
     return (w * scale).astype(np.float32), (scale * scale).astype(np.float32), b
 
 
-def fit_rows(rows: list[np.ndarray], quality: np.ndarray, cost: float = 4.0, folds: int = 3) -> Model:
+def fit_rows(rows: Rows, quality: np.ndarray, cost: float = 4.0, folds: int = 3) -> Model:
     y = np.where(quality > 0, 1.0, -1.0)
     empty = np.zeros(0, np.float32)
     if min((y > 0).sum(), (y < 0).sum()) < folds:
@@ -189,11 +215,11 @@ def fit_rows(rows: list[np.ndarray], quality: np.ndarray, cost: float = 4.0, fol
         mine = np.flatnonzero(y == sign)
         fold[mine] = np.arange(len(mine)) % folds
     for k in range(folds):
-        inside = np.flatnonzero(fold != k)
-        w, square, b = _fit_once([rows[i] for i in inside], y[inside], cost)
+        w, square, b = _fit_once(rows, np.flatnonzero(fold != k), y, cost)
         for i in np.flatnonzero(fold == k):
-            margins[i] = w[rows[i]].sum() / np.sqrt(max(square[rows[i]].sum(), 1e-12)) + b
-    w, square, b = _fit_once(rows, y, cost)
+            row = rows[i]
+            margins[i] = w[row].sum() / np.sqrt(max(square[row].sum(), 1e-12)) + b
+    w, square, b = _fit_once(rows, np.arange(len(y)), y, cost)
     return Model(w, square, b, fit_curve(margins, y))
 
 
@@ -212,14 +238,15 @@ def packed(found: np.ndarray) -> bytes:
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<i4", offset=1) if data[:1] == b"L" else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=FEATURES))
+    return np.frombuffer(data, "<i4", offset=1) if data[:1] == b"L" else np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1), count=FEATURES)).astype(np.int32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
     """Learns from at most max_labels labelled ids that are not held out: those of the smallest hashes.
 
     Of rows that share an id the one of the smallest features counts, of several labels of an id each; the sample is the same
-    whatever the order of rows. The driver gets at most max_labels times 10 KB, each row's features made where its text lies.
+    whatever the order of rows. The driver gets at most max_labels times 10 KB, each row's features made where its text lies, and unpacks 128 MB of them at most.
+    A table without usable labels gives a model that gives every text the share of good ones, or one half.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
@@ -237,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> Model:
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
     found = joined.mapInArrow(features, "doc_id long, quality int, features binary").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
     got = sorted((r.doc_id, r.quality, bytes(r.features)) for r in found.collect())
-    return fit_rows([unpacked(f) for _, _, f in got], np.array([q for _, q, _ in got]))
+    return fit_rows(Rows([f for _, _, f in got]), np.array([q for _, q, _ in got]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
