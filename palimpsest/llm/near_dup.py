@@ -11,9 +11,10 @@ table or a group of look-alikes: `trees` follows from the threshold and `steps`,
 Small nodes are compared exhaustively by sketch, 4.5 standard deviations below the threshold; a node yields a spanning forest
 of its look-alikes, never its pairs. What is still large after the last step counts as look-alikes without comparison. Connected
 components of all this are clusters: no link leaves a cluster. Links are decided on exact counts of full sets, for every
-cluster alike: its sets are dealt into blocks of at most about `block_bytes` and `node_limit` documents. Each block is compared
-within itself and with the cluster's first document, so that blocks of near copies join at once; then block is laid against
-block, each pair a task of its own, where documents are not joined yet. Blocks of one label need no comparison.
+cluster alike. A cluster of up to `node_limit` documents and `block_bytes` is compared within one task. A larger one is dealt into
+blocks, each compared within itself and with the cluster's first document, so that near copies join at once; after that,
+documents that are not joined yet meet where they share one of their rarest shingles (see prefixes), which all that link do and
+what merely has a template in common does not.
 
 Defined results: texts without words and rows without doc_id link with nothing (the latter get a null component and stay);
 repeated rows share their result, and rows that share a doc_id but not their text are each judged by their text; a document with fewer words than a shingle has its whole sequence as the only one;
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import components, discard, materialise, whole_groups
@@ -129,23 +130,11 @@ def _branch(trees: int, steps: int, step: int):
     return run
 
 
-class Forest:
-    """Union-find over n places; the root is the smallest."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    def link(self, i: int, j: int) -> None:
-        a, b = self.root(i), self.root(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
+def _join(label: np.ndarray, i: int, found: np.ndarray) -> None:
+    """One group of the groups of place i and of the places found; a group is named by its first place."""
+    if len(found):
+        groups = np.unique(np.append(label[found], label[i]))
+        label[np.isin(label, groups)] = groups[0]
 
 
 def _alike(least: int):
@@ -160,14 +149,14 @@ def _alike(least: int):
             hit = pairs[(sketch[pairs] == sketch[pairs + 1]).sum(axis=1) >= least]
             a, b = [ids[hit + 1]], [ids[hit]]
             for s, e in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
-                forest, own = Forest(e - s), sketch[s:e]
+                label, own = np.arange(e - s), sketch[s:e]
                 for i in range(e - s - 1):
-                    for j in np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least).tolist():
-                        forest.link(i, i + 1 + j)
-                roots = np.array([forest.root(i) for i in range(e - s)])
-                moved = np.flatnonzero(roots != np.arange(e - s))
+                    others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])  # look-alikes of look-alikes need no comparison
+                    if len(others):
+                        _join(label, i, others[(own[others] == own[i]).sum(axis=1) >= least])
+                moved = np.flatnonzero(label != np.arange(e - s))
                 a.append(ids[s + moved])
-                b.append(ids[s + roots[moved]])
+                b.append(ids[s + label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     return run
@@ -206,10 +195,7 @@ class Block:
     def compare(self, places: np.ndarray, against: np.ndarray | None = None) -> None:
         """All pairs within the places, or of the places with others."""
         for k, i in enumerate(places.tolist()):
-            found = self.linked(i, places[k + 1 :] if against is None else against)
-            if len(found):
-                groups = np.unique(np.append(self.label[found], self.label[i]))
-                self.label[np.isin(self.label, groups)] = groups[0]
+            _join(self.label, i, self.linked(i, places[k + 1 :] if against is None else against))
 
 
 def _confirm(share: tuple[int, int], least: int):
@@ -250,24 +236,48 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return made.groupBy("id", "h1").agg(*(F.first(c).alias(c) for c in ("cluster", "blocks", "shingles")))
 
 
-def _in_blocks(rows: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
-    """rows: (id, cluster, label, bytes). (id, cell, side) for each pair of blocks of a cluster that must be compared, and the table behind it.
+def prefixes(n: Column, share: tuple[int, int]) -> tuple[Column, Column]:
+    """Of a set's n shingles, rarest first: how many are searched with, and how many are found by.
+
+    Two sets that link, the smaller one of m shingles, share at least part / whole of n, and 2 part / (part + whole) of m. So one of the
+    smaller set's first m - ceil(2 part m / (part + whole)) + 1 shingles is among the larger one's first n - ceil(part n / whole) + 1.
+    """
+    part, whole = share
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    return n - up(part * n, whole) + 1, n - up(2 * part * n, part + whole) + 1
+
+
+def _shared(rows: DataFrame, share: tuple[int, int], block_bytes: int, block_rows: int) -> DataFrame:
+    """(id, cell, side) of sets (id, cluster, label, shingles) that may link and are not joined yet: those that share a rare shingle.
 
-    A label with more than half a block has blocks of its own, which are not laid against each other; the others are dealt by label.
+    Shingles are ordered by how many of the cluster's documents hold them. One that stands in all of them, as a template's does, is
+    last in that order, and brings nobody together unless a document has next to nothing else. A shingle with more documents than a
+    block deals them into blocks, each pair a cell of its own.
     """
-    labels = rows.groupBy("cluster", "label").agg(F.sum("bytes").alias("size"))
-    own = F.col("size") > limit / 2
-    several = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.sum(F.when(own, 0).otherwise(F.col("size"))).alias("rest")).where("labels > 1")
-    named = labels.join(several, "cluster").select("cluster", "label", own.alias("own"), F.ceil(F.when(own, F.col("size")).otherwise(F.col("rest")) / limit).alias("n"))
-    one_of = F.when(F.col("own"), F.xxhash64("id")).otherwise(F.xxhash64("label"))
-    only = F.when(F.col("own"), F.col("label"))
-    dealt = rows.join(named, ["cluster", "label"]).select("id", "cluster", "label", only.alias("only"), F.xxhash64("own", F.coalesce(only, F.lit(0)), F.pmod(one_of, F.col("n"))).alias("block"))
-    dealt = materialise(dealt, "blocks")
-    blocks = dealt.select("cluster", "block", "only").distinct()
-    pairs = blocks.alias("x").join(blocks.alias("y"), F.expr("x.cluster = y.cluster AND x.block <= y.block AND NOT coalesce(x.only = y.only, false)"))
-    pairs = pairs.selectExpr("x.cluster", "x.block a", "y.block b", "xxhash64(x.cluster, x.block, y.block) cell")
-    sides = pairs.selectExpr("cluster", "a block", "cell", "0 side").unionAll(pairs.where("a < b").selectExpr("cluster", "b block", "cell", "1 side"))
-    return dealt.join(sides, ["cluster", "block"]).select("id", "label", "cell", "side"), dealt
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                held = np.frombuffer(batch.column(3)[k].as_py(), np.int64)
+                same = [pa.array(np.full(len(held), batch.column(c)[k].as_py(), np.int64)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(held), pa.array(np.full(len(held), len(held), np.int64)), pa.array(np.full(len(held), 8 * len(held), np.int64))], names=["id", "cluster", "label", "shingle", "n", "bytes"])
+
+    held = materialise(rows.select("id", "cluster", "label", "shingles").mapInArrow(exploded, "id long, cluster long, label long, shingle long, n long, bytes long"), "shingle-rows")
+    often = held.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    search, found_by = prefixes(F.col("n"), share)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "shingle"))
+    first = held.join(often, ["cluster", "shingle"]).withColumn("rank", rank).where((F.col("rank") <= search) & (F.col("often") > 1)).withColumn("by", F.col("rank") <= found_by)
+    first = materialise(first.select("id", "cluster", "label", "shingle", "bytes", "by"), "prefixes")
+    discard(held)
+    fit = lambda rows: F.ceil(F.greatest(F.sum(F.when(rows, F.col("bytes")).otherwise(0)) / block_bytes, F.sum(rows.cast("long")) / block_rows))
+    nodes = first.groupBy("cluster", "shingle").agg(fit(F.col("by")).alias("by_blocks"), fit(F.lit(True)).alias("blocks"), (F.min("label") < F.max("label")).alias("several"))
+    near = first.join(nodes.where("several AND by_blocks > 0"), ["cluster", "shingle"])
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = F.xxhash64("cluster", "shingle", "x", "y").alias("cell")
+    searched = near.where("by").withColumn("x", one("by_blocks")).withColumn("y", each("blocks")).select("id", cell, F.lit(0).alias("side"))
+    others = near.withColumn("x", each("by_blocks")).withColumn("y", one("blocks")).select("id", cell, F.lit(1).alias("side"))
+    return searched.unionAll(others)
 
 
 def _links(sets: DataFrame, share: tuple[int, int], least: int, block_bytes: int, block_rows: int) -> DataFrame:
@@ -280,10 +290,10 @@ def _links(sets: DataFrame, share: tuple[int, int], least: int, block_bytes: int
     if wide.isEmpty():
         return found
     labels = components(found.join(wide.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
-    size = F.greatest(F.octet_length("shingles"), F.lit(block_bytes // block_rows)).alias("bytes")
-    rows = wide.select("id", "cluster", size).join(labels, "id", "left")
-    open_, _ = _in_blocks(rows.selectExpr("id", "cluster", "coalesce(component, id) label", "bytes"), block_bytes)
-    return found.unionAll(check(open_.join(wide.select("id", "sketch", "shingles"), "id")))
+    rows = wide.join(labels, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label"), "sketch", "shingles")
+    rows = materialise(rows, "labelled")
+    open_ = _shared(rows, share, block_bytes, block_rows)
+    return found.unionAll(check(open_.join(rows.select("id", "label", "sketch", "shingles"), "id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int | None = None, node_limit: int = 2048, block_bytes: int = 8 << 20, steps: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,6 +343,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
 
     sized = clusters.select("id", F.col("component").alias("cluster")).join(reps.select("id", "n"), "id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") * 8 / block_bytes, F.count(F.lit(1)) / node_limit)).alias("blocks"))
+    # A first look joins what is close together; blocks for that need not be large.
+    blocks = blocks.withColumn("blocks", F.when(F.col("blocks") > 1, F.col("blocks") * 4).otherwise(F.col("blocks")))
     near = materialise(clusters.select("id", F.col("component").alias("cluster")).join(blocks, "cluster"), "clustered")
     sets = _sets(texts.join(near, "id").select("id", "cluster", "blocks", "text"), shingle)
     sets = materialise(sets.join(reps.select("id", "h1", "sketch"), ["id", "h1"]), "sets")
