@@ -37,6 +37,14 @@ def _file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def temporary_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder for what goes when the application ends, at the latest."""
+    path = scratch_path(spark, what)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
 def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again. Cuts lineage and survives lost executors.
 
@@ -44,9 +52,7 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None,
     """
     spark = df.sparkSession
     if path is None:
-        path = scratch_path(spark, what)
-        files, place = _file_system(spark, path)
-        files.deleteOnExit(place)
+        path = temporary_path(spark, what)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -58,11 +64,15 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None,
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of materialise() that no plan will read again."""
     for df in tables:
-        files, place = _file_system(df.sparkSession, df.scratch_path)
-        files.delete(place, True)
+        remove(df.sparkSession, df.scratch_path)
 
 
 def partitions(spark: SparkSession) -> int:

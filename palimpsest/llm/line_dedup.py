@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NO_ID, discard, fresh, materialise, partitions
+from palimpsest.llm.common import NO_ID, discard, fresh, materialise, partitions, remove, temporary_path
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,12 +40,20 @@ class LineIndex:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or partitions(spark)
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _run(self, rows: DataFrame) -> str:
+        """A table in the shared folder, whatever the warehouse is."""
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("compression", "zstd").saveAsTable(name)
+        self.paths[name] = temporary_path(self.spark, "line-run")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("compression", "zstd").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
+
     def compact(self) -> None:
         for level in range(len(self.levels)):
             runs = self.levels[level]
@@ -58,8 +66,7 @@ class LineIndex:
                 self.levels.append([])
             self.levels[level + 1].append(self._run(merged.repartition(self.buckets, "h1", "h2")))
             self.levels[level] = []
-            for name in runs:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self._drop(runs)
 
     def add(self, lines: DataFrame) -> DataFrame:
         """lines (h1, h2, id, ...) of a batch; the rows of its lines that were seen before, in an earlier batch or a smaller id."""
@@ -73,8 +80,7 @@ class LineIndex:
         return lines.join(self.spark.table(run).hint("merge"), ["h1", "h2", "id"], "left_anti")
 
     def drop(self) -> None:
-        for name in (name for runs in self.levels for name in runs):
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._drop([name for runs in self.levels for name in runs])
         self.levels = [[]]
 
 
