@@ -14,7 +14,11 @@ def mask_stream(stream: DataFrame, text_col: str = "text", options: Options | No
 
 
 def start_masking(stream: DataFrame, key: str, masked_path: str, meta_path: str, checkpoint: str, text_col: str = "text", options: Options | None = None, **trigger) -> StreamingQuery:
-    """Writes (key, masked) and (key, meta) of each batch to two folders. A batch that is run again replaces its own part."""
+    """Writes (key, masked) and (key, meta) of each batch to two folders. A batch that is run again replaces its own part.
+
+    A batch is kept, in memory as far as that goes and on the executors' disks beyond, until both are written; the source's limits,
+    such as maxFilesPerTrigger, bound it.
+    """
     made = mask_frame(stream, text_col, options).select(key, "masked", "meta")
 
     def write(batch: DataFrame, number: int) -> None:
