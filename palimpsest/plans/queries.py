@@ -91,7 +91,7 @@ def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _with_cases(spark, sf_dir, -201, [text for text, _ in cases.LANGUAGES])
-    return docs.select("doc_id", detect(F.col("text")).alias("language"))
+    return docs.select("doc_id", detect(F.col("text")).alias("language")).withColumn("chinese", is_chinese(F.col("language")))
 
 
 def mask_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,7 +291,7 @@ FROM (SELECT * FROM {source or table}) t LEFT JOIN placed p ON {on}"""
 
 
 _LANGUAGE_SQL = r"""
-SELECT doc_id, CASE
+SELECT *, starts_with(language, 'zh') AS chinese FROM (SELECT doc_id, CASE
     WHEN kana > 0 AND kana * 4 >= kana + hangul + han + other THEN 'ja'
     WHEN hangul > 0 AND hangul * 4 >= kana + hangul + han + other THEN 'ko'
     WHEN han = 0 AND other = 0 THEN ''
@@ -302,7 +302,7 @@ FROM (SELECT doc_id,
     len(regexp_extract_all(t, '\p{Hangul}')) AS hangul, len(regexp_extract_all(t, '\p{Han}')) AS han,
     len(regexp_extract_all(regexp_replace(t, '[\p{Hiragana}\p{Katakana}\x{FF66}-\x{FF9D}\p{Hangul}\p{Han}]', '', 'g'), '\p{L}')) AS other,
     len(regexp_extract_all(t, '[TRADITIONAL]')) AS traditional
-  FROM (SELECT doc_id, coalesce(text, '') AS t FROM SOURCE d))
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM SOURCE d)))
 """.replace("TRADITIONAL", TRADITIONAL).replace("SOURCE", _cases_sql(-201, [text for text, _ in cases.LANGUAGES]))
 _ITEMS_PER_DOC = f"SELECT t.doc_id, coalesce(n, 0) AS n_items, sha256(text) AS restored_sha256 FROM documents t LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_resolved_sql('documents', Switches(), 'doc_id')}) GROUP BY doc_id) i ON t.doc_id = i.doc_id"
 _PLACED = _cases_sql(-701, cases.PLACEHOLDERS)

@@ -16,6 +16,7 @@ from palimpsest.operators.tag_runs import entities
 from palimpsest.operators.value_counts import distinct_sketches, merged, top_values
 from palimpsest.plans import cases
 from palimpsest.plans.queries import _candidates_sql, _cases_sql, _mask_sql, _read, _resolved_sql, _with_cases, mask_query
+from palimpsest.sources.batches import JsonBatches
 from palimpsest.sources.scratch import scratch_folder
 from palimpsest.streaming.counts import session_counts, windowed_counts
 from palimpsest.streaming.restoring import left_out, restore_replies, start_restoring
@@ -65,6 +66,15 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "masked", F.coalesce(F.size("meta.items"), F.lit(0)).cast("long").alias("n_items"), F.concat_ws(" ", "error.code", "error.message").alias("error"))
 
 
+def json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked documents written as JSON batches and read back; where each stands in its batch is left out."""
+    spark.dataSource.register(JsonBatches)
+    folder = scratch_folder(spark, "batches")
+    out = mask_frame(_with_cases(spark, sf_dir)).select(F.col("masked").alias("text"), F.col("doc_id").cast("string").alias("maskMeta"))
+    out.write.format("json_batches").mode("append").save(folder)
+    return spark.read.format("json_batches").load(folder).select(F.col("maskMeta").cast("long").alias("doc_id"), F.col("text").alias("masked"))
+
+
 def restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as two streams, of credentials and of replies; documents without an item have no credential."""
     folder, path = scratch_folder(spark, "restore"), f"{sf_dir}/documents.parquet"
@@ -164,6 +174,7 @@ QUERIES = {
     "spans_sanitized": spans_sanitized,
     "lookup_items": lookups,
     "envelope_documents": envelopes,
+    "json_batches": json_batches,
     "restore_stream": restore_stream,
     "items_tumbling": items_tumbling,
     "items_sliding": items_sliding,
@@ -217,6 +228,7 @@ UNION ALL SELECT d.doc_id, coalesce(max(i.id), 0) + 1 AS id, NULL AS held FROM d
     "envelope_documents": f"""WITH rows AS (SELECT * FROM {_cases_sql()} d UNION ALL SELECT -199, NULL), documents AS (SELECT * FROM rows WHERE strlen(text) <= {_LONGEST})
 SELECT doc_id, masked, n_items, '' AS error FROM ({_mask_sql('documents')}) m
 UNION ALL SELECT doc_id, NULL, 0, CASE WHEN text IS NULL THEN '400 no text' ELSE '413 text too long' END FROM rows WHERE text IS NULL OR strlen(text) > {_LONGEST}""",
+    "json_batches": f"SELECT doc_id, masked FROM ({_mask_sql('documents', source=f'{_cases_sql()} d')}) m",
     "restore_stream": f"SELECT d.doc_id, sha256('Re: ' || text) AS restored_sha256, coalesce(n, 0) > 0 AS found FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_ITEMS}) GROUP BY doc_id) i ON i.doc_id = d.doc_id WHERE text IS NOT NULL",
     "items_tumbling": _windows_sql(6, 6),
     "items_sliding": _windows_sql(24, 6),
