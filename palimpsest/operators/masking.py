@@ -12,7 +12,7 @@ from palimpsest.functions.entities import ENTITIES, Switches
 from palimpsest.functions.language import is_chinese, language_or_detected
 from palimpsest.functions.rules import RULES, Rule, native
 from palimpsest.functions.spans import between, bind, candidates, no_spans, normalized, running_sum, sanitized, slice_bytes, slice_of
-from palimpsest.sources.texts import MAX_TEXT, guarded
+from palimpsest.sources.texts import guarded
 
 ITEM = "struct<id:bigint,type_id:tinyint,type:string,start:int,end:int,score:float>"
 META = f"struct<original:string,items:array<{ITEM}>>"
@@ -167,11 +167,11 @@ def _masking(df: DataFrame, name: str, text_col: str, options: Options | None, l
     return df.select("*", only(masked(F.col(text_col), options, F.col(spans)))).drop(spans)
 
 
-def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None = None, language_col: str | None = None, masked_col: str = "masked", meta_col: str = "meta", error_col: str | None = None, max_bytes: int = MAX_TEXT) -> DataFrame:
+def mask_frame(df: DataFrame, text_col: str = "text", options: Options | None = None, language_col: str | None = None, masked_col: str = "masked", meta_col: str = "meta", error_col: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """df with masked and meta (original, items). One stage, no shuffle; meta holds the original: keep it apart.
 
     With error_col, rows are an envelope of either results or an error (message, code): a missing text or one of more than
-    max_bytes gets null results and its error. Columns of df keep their values; results under the name of one of them are refused.
+    max_bytes (32 MiB) gets null results and its error. Columns of df keep their values; results under the name of one of them are refused.
     """
     unclaimed(df, masked_col, meta_col, *([error_col] if error_col else []))
     source = text_col

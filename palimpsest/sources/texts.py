@@ -38,10 +38,10 @@ def write_json_batch(df: DataFrame, path: str, columns: Mapping[str, str]) -> No
     df.select(F.to_json(F.struct(*[F.col(c).alias(k) for k, c in columns.items()])).alias("value")).write.text(path)
 
 
-def guarded(df: DataFrame, text_col: str = "text", error_col: str = "error", max_bytes: int = MAX_TEXT) -> DataFrame:
-    """df with an error (message, code) for each row whose text is missing or longer than max_bytes, else null."""
+def guarded(df: DataFrame, text_col: str = "text", error_col: str = "error", max_bytes: int | None = None) -> DataFrame:
+    """df with an error (message, code) for each row whose text is missing or longer than max_bytes (MAX_TEXT), else null."""
     fault = lambda message, code: F.struct(F.lit(message).alias("message"), F.lit(code).alias("code"))
-    return df.withColumn(error_col, F.when(F.col(text_col).isNull(), fault("no text", 400)).when(F.octet_length(text_col) > max_bytes, fault("text too long", 413)))
+    return df.withColumn(error_col, F.when(F.col(text_col).isNull(), fault("no text", 400)).when(F.octet_length(text_col) > (MAX_TEXT if max_bytes is None else max_bytes), fault("text too long", 413)))
 
 
 def resolve(*values: Any, default: Any = None, convert=None) -> Any:
