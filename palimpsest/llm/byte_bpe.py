@@ -8,7 +8,7 @@ match is encoded by itself.
 No match of the pattern crosses from other characters into white space, so ids of such units are kept in a bounded table.
 
 Defined results: a null or empty text has no ids; strings of special tokens are ordinary text; each row is encoded by itself,
-repeated rows alike; other columns stay.
+repeated rows alike; other columns stay; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ The item is in the document if tiles cover at least `coverage` of its words, in
 The benchmark is taken in blocks of at most `block_bytes`; each block goes to the executors whole and meets every document
 once, so neither side is shuffled and what is broadcast has a fixed bound, however large the benchmark.
 
-Defined results: null or empty texts and items hold nothing; an item shorter than a tile is its own tile; rows without item_id are left out; repeated documents are judged alike; repeated items give repeated pairs
-only once; empty tables give no rows.
+Defined results: null or empty texts and items hold nothing; an item shorter than a tile is its own tile; rows without item_id are
+left out; repeated documents are judged alike; repeated items give repeated pairs only once; empty tables give no rows; other
+columns are never read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Equal vectors are one class, compared once; their links among each other follow
 
 Defined results: null, empty, zero or non-finite vectors, or ones with a null or non-finite component, link with nothing; nor do
 vectors of different lengths; rows without vec_id are left out of linking and come back with null component; rows that share
-an id are one vector, linked with what any of them links, n_links being that of the one with most; labels are not read.
+an id are one vector, linked with what any of them links, n_links being that of the one with most; an empty table gives no rows;
+labels and other columns are not read.
 """
 
 from __future__ import annotations

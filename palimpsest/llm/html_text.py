@@ -11,8 +11,8 @@ that holds what marks an article, and more than half of the page's running text,
 The same goes for forms and headers. Menus, footers, dialogs and what is hidden are beside the article as they stand.
 
 Defined results: null or empty html has no text; markup that ends early counts as closed at its end; comments, scripts,
-styles and the head are never text; rows without page_id are pages like others; repeated rows are extracted each; extra
-columns are left out.
+styles and the head are never text; rows without page_id are pages like others; repeated rows are extracted each; an empty
+table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations

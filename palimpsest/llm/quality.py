@@ -10,7 +10,8 @@ text. The model is a vector of a fixed size, so what executors get does not grow
 
 Defined results: a null or empty text has no n-grams and gets the score of the empty text, like any other; without labels of
 both classes the score is the share of label 1 (0.5 without any label); rows without doc_id are not held out; null labels
-are left out; repeated rows are scored alike; extra columns stay out of the result.
+are left out; repeated rows are scored alike; an empty table gives no rows; further columns stay, but for those named like the
+results, which give way; the query returns none of them.
 """
 
 from __future__ import annotations
