@@ -45,7 +45,7 @@ def temporary_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None, path: str | None = None, options: dict | None = None) -> DataFrame:
     """The rows of df, written to the shared folder and read again. Cuts lineage and survives lost executors.
 
     The table goes by discard(), at the latest when the application ends; one with a path of the caller's own stays.
@@ -53,7 +53,7 @@ def materialise(df: DataFrame, what: str, partition_by: list[str] | None = None,
     spark = df.sparkSession
     if path is None:
         path = temporary_path(spark, what)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").options(**(options or {}))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

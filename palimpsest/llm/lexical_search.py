@@ -1,9 +1,11 @@
 """Ranked lexical search over posting lists cut into blocks of variable length.
 
-Index: tasks turn their documents into shards of about `shard_bytes` of text, each a row of one table: ids and lengths of the
-shard's documents by ascending id, its terms, and for each term the documents that hold it with the number of occurrences.
+Index: tasks turn their documents into shards of about `shard_bytes` of text and at most `shard_docs` documents. One table holds a
+row for each shard (no term; ids and lengths of its documents by ascending id) and one for each term of a shard: the documents that
+hold it, with the number of occurrences. Rows are small, so that no reader or writer of the table holds several shards at once.
 
-Search: after counts over all shards, each shard's lists of wanted terms get their impacts and are cut into blocks. Dynamic
+Search: after counts over all shards, the rows of wanted terms are dealt by shard, and a task takes up one shard after another. The
+shard's lists get their impacts and are cut into blocks. Dynamic
 programming chooses the boundaries so that the sum over blocks of (largest impact - own impact) and a price for each block is
 least; boundaries stand between cells of `grain` postings, and a block has at most `reach` cells. For an item, the boundaries of
 its terms' blocks divide the shard's documents into stretches, and the weighted block maxima add up to a bound for each. Stretches
@@ -11,7 +13,7 @@ whose bound is below the item's 20th best score so far are skipped with their bl
 rounds. A task goes through its shards one after another and takes its thresholds along. Nothing is approximate: a bound equal to
 the threshold is scored too, since ties go by id.
 
-Items come in blocks of at most `block_bytes` of terms, and each block takes one scan of the index. What the driver and all tasks
+Items come in blocks of at most `block_bytes` of terms, and each block takes one scan of the index for counts and one for lists. What the driver and all tasks
 hold of a block are its terms, their weights and the items' lists of them.
 
 Defined results: null and empty texts have no terms, and count nowhere; each row of documents is a document of its own, and one
@@ -27,10 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import NO_ID, materialise
+from palimpsest.llm.common import NO_ID, materialise, partitions, whole_groups
 from palimpsest.llm.words import portions
 
 #: What a term is made of, as Spark's functions and as bytes of UTF-8: ASCII letters and digits, and all beyond ASCII.
@@ -39,10 +42,12 @@ _INSIDE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _UPPER_AZ, _LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SHARD = pa.schema([("n_docs", pa.int64()), ("n_terms", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("terms", pa.list_(pa.string())), ("starts", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-_SHARD_DDL = "n_docs long, n_terms long, ids binary, sizes binary, terms array<string>, starts binary, docs binary, counts binary"
+_ROWS = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("term", pa.string()), ("df", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary())])
+_ROWS_DDL = "shard long, n_docs long, n_terms long, term string, df long, docs binary, counts binary"
 #: Bytes of text, and lists, that are worked on at once.
 _CHUNK, _LISTS = 2 << 20, 4096
+#: Bytes that a writer of the index gathers, and shards that a task of the search goes through, at most on average.
+_GROUP_BYTES, _SHARDS = 32 << 20, 4
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +109,15 @@ class _Shard:
         self.n += len(ids)
         self.bytes += pc.sum(pc.binary_length(texts)).as_py() or 0
 
-    def record(self) -> pa.RecordBatch | None:
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The shard's own row, then those of its terms."""
         if not self.parts:
-            return None
+            return
         made = pa.chunked_array([p[0] for p in self.parts]).combine_chunks().dictionary_encode()
         shift = np.cumsum([0, *(len(p[0]) for p in self.parts)])
         term = made.indices.to_numpy()[np.concatenate([p[1] + s for p, s in zip(self.parts, shift)])]
         doc, often = (np.concatenate([p[i] for p in self.parts]) for i in (2, 3))
+        self.parts = []
         sizes = np.bincount(doc, often, self.n).astype(np.int64)
         ids = np.concatenate(self.ids)
         order = np.argsort(ids, kind="stable")
@@ -119,32 +126,39 @@ class _Shard:
         place[order] = np.arange(len(order))
         pairs, which = np.unique(term.astype(np.int64) * len(order) + place[doc], return_inverse=True)
         term, doc = np.divmod(pairs, len(order))
-        often = np.bincount(which, often).astype(np.int64)
+        often = np.bincount(which, often)
         starts = np.searchsorted(term, np.arange(len(made.dictionary) + 1))
-        columns = [len(order), int(sizes.sum()), ids[order].astype("<i8").tobytes(), sizes[order].astype("<i8").tobytes(), made.dictionary.to_pylist(), starts.astype("<i8").tobytes(), doc.astype("<i4").tobytes(), often.astype("<i8").tobytes()]
-        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(columns, _SHARD)], schema=_SHARD)
+        own = [number, len(order), int(sizes.sum()), None, None, ids[order].astype("<i8").tobytes(), sizes[order].astype("<i8").tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(own, _ROWS)], schema=_ROWS)
+        doc, often = doc.astype("<i4"), often.astype("<i4")
+        for s in range(0, len(starts) - 1, _LISTS):
+            ends = starts[s : s + _LISTS + 1]
+            at = pa.py_buffer(((ends - ends[0]) * 4).astype(np.int32))
+            lists = [pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, at, pa.py_buffer(x[ends[0] : ends[-1]])]) for x in (doc, often)]
+            none = pa.nulls(len(ends) - 1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends) - 1, number)), none, none, made.dictionary[s : s + _LISTS], pa.array(np.diff(ends)), *lists], schema=_ROWS)
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
-    """Shards of all documents, as a written table."""
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, shard_docs: int = 1 << 16) -> DataFrame:
+    """Shards of all documents, as a written table of their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
+        shard, number = _Shard(), TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             first = 0
             for part in portions(batch.column(1)):
-                shard.add(ids[first : first + len(part)], part)
-                first += len(part)
-                if shard.bytes >= shard_bytes:
-                    if (made := shard.record()) is not None:
-                        yield made
-                    shard = _Shard()
-        if (made := shard.record()) is not None:
-            yield made
+                for s in range(0, len(part), shard_docs):
+                    few = part[s : s + shard_docs]
+                    if shard.n + len(few) > shard_docs or shard.bytes >= shard_bytes:
+                        yield from shard.rows(number)
+                        shard, number = _Shard(), number + 1
+                    shard.add(ids[first : first + len(few)], few)
+                    first += len(few)
+        yield from shard.rows(number)
 
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
-    return materialise(source.mapInArrow(run, _SHARD_DDL), "postings")
+    return materialise(source.mapInArrow(run, _ROWS_DDL), "postings", options={"parquet.block.size": _GROUP_BYTES})
 
 
 def cut(lengths: np.ndarray, impacts: np.ndarray, grain: int = 8, reach: int = 32, price: float = 4.0) -> np.ndarray:
@@ -300,14 +314,14 @@ def _items(items: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator
         yield block
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20, block_bytes: int = 8 << 20) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20, block_bytes: int = 8 << 20, shard_docs: int = 1 << 16) -> DataFrame:
     """(item_id, rank, doc_id, score) of each item's k best documents."""
     spark, schema = docs.sparkSession, "item_id long, rank int, doc_id long, score long"
-    shards = index(docs, id_col, text_col, shard_bytes)
-    n, total = shards.agg(F.sum("n_docs"), F.sum("n_terms")).first()
+    rows = index(docs, id_col, text_col, shard_bytes, shard_docs)
+    n, total, shards = rows.agg(F.sum("n_docs"), F.sum("n_terms"), F.count("n_docs")).first()
     out = None
     for block in _items(items, item_col, item_text_col, block_bytes) if n else ():
-        found = _search_block(shards, block, k, n, total)
+        found = _search_block(rows, shards, block, k, n, total)
         out = found if out is None else out.unionAll(found)
     if out is None:
         return spark.createDataFrame([], schema)
@@ -316,40 +330,44 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, id_col: str = "doc_id
     return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "score")
 
 
-def _search_block(shards: DataFrame, block: list, k: int, n: int, total: int) -> DataFrame:
-    wanted = pa.array(sorted({t for _, terms in block for t, _ in terms}), pa.string())
+def _shard_of(rows: pa.Table, wanted: pa.Array) -> dict:
+    """A shard's own row, which comes first, and those of wanted terms, as Lists takes them."""
+    docs, counts = (rows.column(c).slice(1).to_pylist() for c in ("docs", "counts"))
+    starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in docs])))
+    return {
+        "ids": rows.column("docs")[0].as_py(), "sizes": rows.column("counts")[0].as_py(), "terms": wanted.take(rows.column("number").slice(1)).combine_chunks(),
+        "starts": starts.astype("<i8").tobytes(), "docs": b"".join(docs), "counts": np.frombuffer(b"".join(counts), "<i4").astype("<i8").tobytes(),
+    }
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for terms, starts in zip(batch.column(0), batch.column(1), strict=True):
-                where = pc.index_in(wanted, value_set=terms.values)
-                there = np.flatnonzero(pc.is_valid(where).to_numpy(zero_copy_only=False))
-                at = where.take(pa.array(there)).to_numpy(zero_copy_only=False).astype(np.int64)
-                starts = np.frombuffer(starts.as_py(), "<i8")
-                held[there] += starts[at + 1] - starts[at]
-        there = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(held[there])], names=["term", "df"])
 
+def _search_block(rows: DataFrame, shards: int, block: list, k: int, n: int, total: int) -> DataFrame:
+    spark = rows.sparkSession
+    wanted = pa.array(sorted({t for _, terms in block for t, _ in terms}), pa.string())
+    told = lambda numbers: F.broadcast(spark.createDataFrame(pa.table({"term": wanted.take(pa.array(numbers)), "number": pa.array(numbers)}), "term string, number long"))
     df = np.zeros(len(wanted), np.int64)
-    for row in shards.select("terms", "starts").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
-        df[row.term] = row.df
+    for row in rows.select("term", "df").join(told(np.arange(len(wanted))), "term").groupBy("number").agg(F.sum("df").alias("df")).toLocalIterator():
+        df[row.number] = row.df
     weights = np.array([math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1))) if d else 0 for d in df.tolist()], np.int64)
     number = {t: i for i, t in enumerate(wanted.to_pylist())}
     queries = [(item, np.array([number[t] for t, _ in terms]), np.array([c for _, c in terms], np.int64)) for item, terms in block]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
-        for batch in batches:
-            for i in range(len(batch)):
-                shard = {name: batch.column(name)[i] for name in ("ids", "sizes", "terms", "starts", "docs", "counts")}
-                lists = Lists({name: v if name == "terms" else v.as_py() for name, v in shard.items()}, wanted, weights, n, total)
-                best = [lists.search(terms, often, k, held) for (_, terms, often), held in zip(queries, best)]
+        for table, bounds in whole_groups(batches, "shard"):
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if e - s > 1:
+                    lists = Lists(_shard_of(table.slice(s, e - s), wanted), wanted, weights, n, total)
+                    best = [lists.search(terms, often, k, held) for (_, terms, often), held in zip(queries, best)]
         for (item, *_), (scores, ids) in zip(queries, best):
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(ids), pa.int64()), pa.array(ids), pa.array(scores)], names=["item_id", "doc_id", "score"])
 
-    return shards.select("ids", "sizes", "terms", "starts", "docs", "counts").mapInArrow(run, "item_id long, doc_id long, score long")
+    columns = ("shard", "number", "docs", "counts")
+    lists = rows.join(told(np.flatnonzero(weights > 0)), "term").select(*columns)
+    lists = rows.where("term IS NULL").withColumn("number", F.lit(-1).cast("long")).select(*columns).unionAll(lists)
+    # Few shards go by the session's number of partitions, which small ones are joined of; many have as many as they need.
+    dealt = lists.repartition("shard") if shards <= _SHARDS * partitions(spark) else lists.repartition(-(-shards // _SHARDS), "shard")
+    return dealt.sortWithinPartitions("shard", "number").mapInArrow(run, "item_id long, doc_id long, score long")
 
 
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,3 +106,15 @@ def test_terms_in_chunks(monkeypatch):
         for t, d, c in zip(term.tolist(), doc.tolist(), often.tolist()):
             found[d, terms[t].as_py()] += c
     assert found == Counter({(i, t): c for i, x in enumerate(texts) for t, c in Counter(terms_of(x)).items()})
+
+
+def test_rows_of_the_index_are_small(spark):
+    """Shards that come to one task are never one row or one batch: a row is one term's list, and of few documents."""
+    docs = [(i, f"every word w{i} of {i % 7}") for i in range(500)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows = lexical_search.index(frame, shard_docs=100)
+    assert rows.where("term IS NULL").count() == 5 and rows.agg(F.max(F.octet_length("docs"))).first()[0] <= 800
+    assert rows.where("term = 'every'").agg(F.count("df"), F.sum("df")).first()[:] == (5, 500)
+    items = [(0, "every w3 6"), (1, "w77 of")]
+    got = search(frame, spark.createDataFrame(items, "item_id long, text string"), shard_docs=100)
+    assert {(r.item_id, r["rank"]): (r.doc_id, r.score) for r in got.collect()} == by_force(docs, items, 20)
