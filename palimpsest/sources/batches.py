@@ -2,11 +2,12 @@
 
     spark.dataSource.register(JsonBatches)
     spark.read.format("json_batches").load(path)              # path, item, text, language, maskMeta
-    df.write.format("json_batches").mode("append").save(path)  # one array a task, one object a row
+    df.write.format("json_batches").mode("append").save(path)  # arrays of one object a row
 
 Reading deals files to tasks by size; a file is a request, and one above `maxBytes` is an error, as is one that holds no array of
-objects. Writing goes to a folder of its own below the target and moves there when every task is done: a failed job leaves nothing
-behind, and of a task that ran twice one file counts. `mode("overwrite")` takes away the files that were there before, at that
+objects. A task writes as many arrays as keep below `maxBytes`; an object that is longer by itself has a file of its own. Writing
+goes to a folder of its own below the target and moves there when every task is done: a failed job leaves nothing behind, since
+no task writes once that folder is gone, and of a task that ran twice one run counts. `mode("overwrite")` takes away the files that were there before, at that
 moment and not earlier.
 """
 
@@ -48,8 +49,7 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str
-    rows: int
+    paths: list[str]
 
 
 class JsonBatches(DataSource):
@@ -64,7 +64,7 @@ class JsonBatches(DataSource):
         return BatchReader(self.options["path"], schema.names, int(self.options.get("maxBytes", MAX_TEXT)))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return BatchWriter(self.options["path"], overwrite)
+        return BatchWriter(self.options["path"], overwrite, int(self.options.get("maxBytes", MAX_TEXT)))
 
 
 class BatchReader(DataSourceReader):
@@ -101,27 +101,41 @@ def _spelt(value: Any) -> str | None:
 
 
 class BatchWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, most: int = MAX_TEXT):
+        self.path, self.overwrite, self.most = path, overwrite, most
         self.parts = f"_writing-{uuid.uuid4().hex}"
+        store, folder = _store(path)
+        store.create_dir(f"{folder}/{self.parts}", recursive=True)
 
     def write(self, rows: Iterator[Any]) -> Written:
         store, folder = _store(self.path)
-        path, n = f"{folder}/{self.parts}/batch-{uuid.uuid4().hex}.json", 0
-        store.create_dir(f"{folder}/{self.parts}", recursive=True)
-        with store.open_output_stream(path) as out:
+        paths, out, size = [], None, 0
+        try:
             for row in rows:
-                out.write((",\n" if n else "[").encode() + json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str).encode())
-                n += 1
-            out.write(b"]" if n else b"[]")
-        return Written(path, n)
+                item = json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str).encode()
+                if out is not None and size + len(item) + 3 > self.most:
+                    out.write(b"]")
+                    out.close()
+                    out = None
+                if out is None:
+                    if store.get_file_info(f"{folder}/{self.parts}").type != fs.FileType.Directory:
+                        raise RuntimeError("the job has ended")
+                    paths.append(f"{folder}/{self.parts}/batch-{uuid.uuid4().hex}.json")
+                    out, size = store.open_output_stream(paths[-1]), 0
+                out.write((b",\n" if size else b"[") + item)
+                size += len(item) + (2 if size else 1)
+            if out is not None:
+                out.write(b"]")
+        finally:
+            if out is not None:
+                out.close()
+        return Written(paths)
 
     def commit(self, messages: list[Written | None]) -> None:
         store, folder = _store(self.path)
         before = [f.path for f in _files(store, folder)] if self.overwrite else []
-        for m in messages:
-            if m is not None and m.rows:
-                store.move(m.path, f"{folder}/{m.path.rsplit('/', 1)[1]}")
+        for path in (p for m in messages if m is not None for p in m.paths):
+            store.move(path, f"{folder}/{path.rsplit('/', 1)[1]}")
         for path in before:
             store.delete_file(path)
         self.abort(messages)

@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from palimpsest.operators.masking import mask_frame
@@ -75,3 +76,23 @@ def test_a_failed_job_leaves_nothing(source, tmp_path):
         with pytest.raises(Exception, match="broken"):
             broken.write.format("json_batches").mode(mode).save(folder)
         assert files(folder) == before and source.read.format("json_batches").load(folder).count() == 40
+
+
+def test_a_task_writes_several_batches_when_one_would_be_too_long(source, tmp_path):
+    folder = f"{tmp_path}/out"
+    frame = source.range(200).coalesce(1).selectExpr("id", "concat(repeat('ü', 20), id) text")
+    frame.write.format("json_batches").option("maxBytes", 1000).mode("append").save(folder)
+    sizes = [os.path.getsize(f"{folder}/{f}") for f in files(folder)]
+    assert len(sizes) > 1 and 900 < max(sizes) <= 1000
+    back = source.read.format("json_batches").option("maxBytes", 1000).load(folder)
+    assert sorted(r.text for r in back.collect()) == sorted(r.text for r in frame.collect())
+    frame.limit(2).coalesce(1).write.format("json_batches").option("maxBytes", 10).mode("overwrite").save(folder)
+    assert len(files(folder)) == 2 and source.read.format("json_batches").load(folder).count() == 2
+
+
+def test_no_task_writes_after_its_job_has_failed(tmp_path):
+    writer = batches.BatchWriter(f"{tmp_path}/out", False)
+    writer.abort([])
+    with pytest.raises(Exception):
+        writer.write(iter([Row(text="late")]))
+    assert files(f"{tmp_path}/out") == []
