@@ -119,3 +119,39 @@ def test_folders(tmp_path):
             read_tokenizer(tmp_path)
     (tmp_path / "tokenizer.json").write_text(json.dumps({"normalizer": {"type": "Sequence", "normalizers": [{"type": "BertNormalizer", "lowercase": True}]}, "pre_tokenizer": {"type": "BertPreTokenizer"}}))
     assert read_tokenizer(tmp_path).lower
+
+
+def test_only_what_fills_the_input_is_encoded(monkeypatch):
+    """Long texts give the same tokens, though all that follows the longest input is left alone; labels are told a table at a time."""
+    import tokenizers
+
+    from palimpsest.functions import token_models
+
+    seen, real = [], tokenizers.Tokenizer
+
+    class Spy:
+        def __init__(self, *a):
+            object.__setattr__(self, "made", real(*a))
+
+        def __setattr__(self, name, value):
+            setattr(self.made, name, value)
+
+        def encode(self, text, **how):
+            seen.append(len(text))
+            return self.made.encode(text, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Spy)
+    words = {t: i for i, t in enumerate(["[UNK]", "[CLS]", "[SEP]", "mary", "o", "##slo"])}
+    encode = TokenizerSpec(words).build()
+    for text in ("mary oslo " * 5000, "\x01 " * 300 + "mary " * 2000, "x" * 3000 + " mary" * 50, "Mary", ""):
+        whole = encode(text, 0)[1]
+        assert encode(text, 32)[1] == (whole if len(whole) <= 32 else whole[:31] + ["[SEP]"])
+    seen.clear()
+    encode("mary oslo " * 5000, 32)
+    assert max(seen) < 500
+    told = []
+    monkeypatch.setattr(token_models, "best_label", lambda *a: told.append(1) or best_label(*a))
+    scores = np.zeros((40, 2), np.float32)
+    scores[:, 0], scores[3] = 1, (0, 9)
+    found = token_models.labelled("mary " * 40, ["mary"] * 40, scores, {0: "O", 1: "B-PER"}, frozenset({"O"}))
+    assert [(t.label, t.start) for t in found] == [("B-PER", 15)] and len(told) == 1
