@@ -4,8 +4,9 @@ Rules look at what is around a value, so that a password is masked behind its la
 distinct masked value, and of its words the one that the fewest masked texts hold; texts that hold that word are candidates, and each
 is searched for the whole value. A value stands in a text where it is no part of a longer word.
 
-Texts are moved once, for the last step, and only those with a candidate; all else is words and keys. No two texts or values are
-compared with each other.
+Masking runs once: masked texts and the values in them are written to the shared scratch folder, and so are the places of wanted
+words. Texts are moved once, for the last step, and only those with a candidate; all else is words and keys. No two texts or values
+are compared with each other.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.rules import WORD
 from palimpsest.functions.spans import bind, slice_of
-from palimpsest.operators.masking import unclaimed
+from palimpsest.operators.masking import fresh, unclaimed
+from palimpsest.sources.scratch import scratch_folder
 
 _WORDS = f"[{WORD}]+"
 
@@ -24,14 +26,29 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORDS), F.lit(0)))
 
 
+def _items(meta_col: str) -> Column:
+    """(type, value) of the items of a row's meta."""
+    held = lambda data: F.transform(F.col(f"{meta_col}.items"), lambda i: F.struct(i["type"].alias("type"), slice_of(data, i["start"], i["end"] - i["start"]).alias("value")))
+    return bind(F.col(f"{meta_col}.original").cast("binary"), held)
+
+
 def masked_values(masks: DataFrame, meta_col: str = "meta", min_chars: int = 4) -> DataFrame:
     """(type, value, n_items) of distinct masked values of at least min_chars characters."""
-    held = lambda data: F.transform(F.col(f"{meta_col}.items"), lambda i: F.struct(i["type"].alias("type"), slice_of(data, i["start"], i["end"] - i["start"]).alias("value")))
     # One generator row, then the condition: an inner explode would have the optimizer find all items twice.
-    items = masks.select(F.explode_outer(bind(F.col(f"{meta_col}.original").cast("binary"), held)).alias("i")).where("i IS NOT NULL").select("i.*")
+    return _distinct(masks.select(F.explode_outer(_items(meta_col)).alias("i")), min_chars)
+
+
+def _distinct(rows: DataFrame, min_chars: int) -> DataFrame:
+    items = rows.where("i IS NOT NULL").select("i.*")
     return items.where(F.char_length("value") >= min_chars).groupBy("type", "value").agg(F.count(F.lit(1)).alias("n_items"))
 
 
+def _written(df: DataFrame, what: str) -> DataFrame:
+    path = scratch_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stands(text: Column, value: Column) -> Column:
     """Whether the value is in the text, and not within a longer word."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
@@ -45,10 +62,12 @@ def leaks(masks: DataFrame, keys: list[str], masked_col: str = "masked", meta_co
     Keys tell texts apart; texts without a key, null texts and values without a word are passed over.
     """
     unclaimed(masks.select(*keys), "type", "value", "n_items", "word", "n_texts")
-    named = masks.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    values = masked_values(masks, meta_col, min_chars).select("*", F.explode(words(F.col("value"))).alias("word"))
+    items = fresh(masks, "leak_items")
+    written = _written(masks.select(*keys, masked_col, _items(meta_col).alias(items)), "masks")
+    named = written.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    values = _written(_distinct(written.select(F.explode_outer(items).alias("i")), min_chars), "values").select("*", F.explode(words(F.col("value"))).alias("word"))
     wanted = values.select("word").distinct()
-    places = named.select(*keys, F.explode(words(F.col(masked_col))).alias("word")).join(wanted, "word", "left_semi")
+    places = _written(named.select(*keys, F.explode(words(F.col(masked_col))).alias("word")).join(wanted, "word", "left_semi"), "places")
     often = places.groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
     # A word that no masked text holds tells that its value stands nowhere: an inner join would take another word instead.
     rarest = F.row_number().over(Window.partitionBy("type", "value").orderBy(F.coalesce("n_texts", F.lit(0)), "word"))

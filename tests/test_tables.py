@@ -105,3 +105,16 @@ def test_table_function(spark):
     assert told(got) == told(want) and got.count() >= 60
     assert {round(r.score, 2) for r in got.where("ord = 2 AND key = 1").collect()} == {0.6, 0.3}
     assert spark.sql("SELECT * FROM test_spans(TABLE(SELECT k, text FROM spans_in WHERE false))").count() == 0
+
+
+def test_masks_of_a_leak_audit_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(text):
+        seen.add(1)
+        return text
+
+    texts = spark.createDataFrame([(i, "the pwd: quagmire77 is new" if i == 0 else f"she said quagmire77 aloud {i}") for i in range(6)], "k long, text string")
+    masks = mask_frame(texts.withColumn("text", once.asNondeterministic()("text")))
+    assert sorted(r.k for r in leaks(masks, ["k"]).collect()) == [1, 2, 3, 4, 5] and seen.value == 6
