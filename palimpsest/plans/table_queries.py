@@ -77,18 +77,20 @@ def json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restore_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as two streams, of credentials and of replies; documents without an item have no credential."""
-    folder, path = scratch_folder(spark, "restore"), f"{sf_dir}/documents.parquet"
-    docs = spark.read.parquet(path).select("doc_id", "text")
-    at = F.timestamp_seconds("doc_id")
-    asked = lambda df: mask_frame(df.where("doc_id IS NOT NULL AND text IS NOT NULL")).select("doc_id", at.alias("masked_at"), "masked", "meta")
-    credentials = lambda df: asked(df).where(F.size("meta.items") > 0).select("doc_id", "masked_at", "meta")
-    replies = lambda df: asked(df).select("doc_id", (F.col("masked_at") + F.expr("INTERVAL 5 MINUTES")).alias("replied_at"), F.concat(F.lit("Re: "), "masked").alias("reply"))
-    stream = lambda: spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")  # noqa: E731  # a pattern, since a stream's folder may be a file here
+    folder = scratch_folder(spark, "restore")
+    docs = _read(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # Masked once: both streams, and what is restored as a table, read what was written.
+    asked = mask_frame(docs).select("doc_id", F.timestamp_seconds("doc_id").alias("masked_at"), "masked", "meta")
+    asked.write.option("compression", "zstd").parquet(f"{folder}/asked")
+    table = spark.read.schema(asked.schema).parquet(f"{folder}/asked")
+    stream = lambda: spark.readStream.schema(table.schema).parquet(f"{folder}/asked")
+    credentials = lambda df: df.where(F.size("meta.items") > 0).select("doc_id", "masked_at", "meta")
+    replies = lambda df: df.select("doc_id", (F.col("masked_at") + F.expr("INTERVAL 5 MINUTES")).alias("replied_at"), F.concat(F.lit("Re: "), "masked").alias("reply"))
     start_restoring(replies(stream()), credentials(stream()), "doc_id", f"{folder}/out", f"{folder}/checkpoint", reach="1 hour", delay="1 minute").awaitTermination()
     kept = ["doc_id", "restored", "found"]
     done = spark.read.parquet(f"{folder}/out").select(*kept)
     # Replies that still wait in the state when the input ends are restored as a table.
-    rest = restore_replies(left_out(replies(docs), done, ["doc_id"]), credentials(docs), "doc_id", reach="1 hour").select(*kept)
+    rest = restore_replies(left_out(replies(table), done, ["doc_id"]), credentials(table), "doc_id", reach="1 hour").select(*kept)
     return done.unionAll(rest).select("doc_id", F.sha2("restored", 256).alias("restored_sha256"), "found")
 
 

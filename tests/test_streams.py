@@ -95,3 +95,13 @@ def test_windows_of_streams_equal_those_of_tables(spark, tmp_path):
     again = windowed_counts(parts[0], "ts", ["kind"], "1 hour", "30 minutes")
     again.write.mode("overwrite").parquet(f"{folder}/sliding/batch=1")
     assert counted(spark.read.parquet(f"{folder}/sliding"), ["kind"]).count() > 0
+
+
+def test_documents_of_the_restoring_query_are_masked_once(spark, tmp_path, monkeypatch):
+    from palimpsest.plans import table_queries
+
+    spark.createDataFrame([(1, "mail a@b.cd", "en", "web", 11), (2, "nothing", "en", "web", 7), (3, None, "en", "web", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    masked, real = [], table_queries.mask_frame
+    monkeypatch.setattr(table_queries, "mask_frame", lambda *a, **k: masked.append(1) or real(*a, **k))
+    rows = table_queries.restore_stream(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.found) for r in rows) == [(1, True), (2, False)] and len(masked) == 1
