@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import TYPE_ID
-from palimpsest.functions.rules import DIGIT, Rule, ending, translate
+from palimpsest.functions.rules import DIGIT, SPACE, Rule, ending, translate
 
 SPAN = "struct<start:int,end:int,score:float,ord:int,type_id:tinyint,source:string>"
 NONE = f"array<{SPAN}>"
@@ -73,8 +73,12 @@ def _matches_in(text: Column, folded: Column, rule: Rule, order: int, pattern: s
 
     def sized(values: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        skips = F.zip_with(F.slice(gaps, 1, F.size(values)), labels, lambda g, a: F.octet_length(g) + F.octet_length(a))
+        gaps = F.slice(gaps, 1, F.size(values))
+        if rule.group:
+            labels = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+            skips = F.zip_with(gaps, labels, lambda g, a: F.octet_length(g) + F.octet_length(a))
+        else:  # the span is the whole match
+            skips = F.transform(gaps, F.octet_length)
         sizes = F.zip_with(skips, values, lambda skip, v: F.struct(skip.alias("skip"), F.octet_length(v).alias("size")))
         return F.when(F.size(values) > 0, sizes)
 
@@ -101,6 +105,17 @@ def rule_spans(text: Column, rule: Rule, order: int, pattern: str | None = None)
     return _placed(F.array(_matches(text, _folded(text), rule, order, pattern or translate(rule))))
 
 
+def split_words(text: Column) -> Column:
+    """(start, end, word) of all that stands between white space: the spans of \\S+ by two splits, which take a third of the time of a rule."""
+
+    def placed(words: Column) -> Column:
+        gaps = F.slice(F.split(text, f"[^{SPACE}]+", -1), 1, F.size(words))
+        ends = running_sum(F.zip_with(gaps, words, lambda g, w: F.octet_length(g) + F.octet_length(w)))
+        return F.zip_with(ends, words, lambda end, w: F.struct((end - F.octet_length(w)).alias("start"), end.alias("end"), w.alias("word")))
+
+    return bind(F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != ""), placed)
+
+
 def candidates(text: Column, rules: tuple[Rule, ...], min_score: float = 0.5) -> Column:
     """Spans of all rules that can reach the threshold, in the order of rules. Offsets are one expression for all rules."""
     live = [(i, r) for i, r in enumerate(rules) if r.score >= min_score]

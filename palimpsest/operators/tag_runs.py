@@ -12,13 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def entities(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, type, start, end, score, n_tokens) of each entity. Null opens and joined are false."""
+def entities(tokens: DataFrame, keys: list[str], dense: bool = False) -> DataFrame:
+    """(keys, type, start, end, score, n_tokens) of each entity. Null opens and joined are false.
+
+    dense: places of a key count up by one, so that a gap tells of tokens of no kind: these, mostly the greater part, are never moved.
+    """
     order = Window.partitionBy(*keys).orderBy("place")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
-    breaks = (~F.col("type").eqNullSafe(F.lag("type").over(order))).cast("long")
+    breaks = ~F.col("type").eqNullSafe(F.lag("type").over(order))
+    if dense:
+        tokens = tokens.where("type IS NOT NULL")
+        breaks = breaks | (F.col("place") - F.lag("place").over(order) > 1)
     rows = tokens.select(*keys, "place", "start", "end", "type", flag("opens").alias("opens"), flag("joined").alias("joined"), F.col("score").cast("float").alias("score"))
-    rows = rows.withColumn("tag_stretch", F.sum(breaks).over(order)).where("type IS NOT NULL")
+    rows = rows.withColumn("tag_stretch", F.sum(breaks.cast("long")).over(order)).where("type IS NOT NULL")
     within = Window.partitionBy(*keys, "tag_stretch").orderBy("place")
     opened = F.coalesce(F.sum(F.col("opens").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("tag_new", (F.col("opens") & (~F.col("joined") | (opened == 0))).cast("long"))

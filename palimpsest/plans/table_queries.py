@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.entities import ENTITIES, TYPE_ID, Switches
-from palimpsest.functions.rules import RULES, SPACE, Rule
-from palimpsest.functions.spans import bind, candidates, dedup_same_range, rule_spans, slice_of
+from palimpsest.functions.rules import RULES, SPACE
+from palimpsest.functions.spans import bind, candidates, dedup_same_range, split_words
 from palimpsest.operators.leaks import leaks
 from palimpsest.operators.masking import Options, lookup, mask_frame, span_frame
 from palimpsest.operators.scanning import luhn, register_spans
@@ -22,8 +22,6 @@ from palimpsest.streaming.counts import session_counts, windowed_counts
 from palimpsest.streaming.restoring import left_out, restore_replies, start_restoring
 
 _LEAK_TEXTS = [text for pair in cases.LEAKS for text in pair]
-#: A tag for each word, by its first letters, in place of a model's.
-_WORD = Rule("WORD", "USER_NAME", r"\S+", 1.0)
 _PATCH = {"maskAll": False, "maskEmail": True, "maskBankNumber": True, "maskUrl": None}
 _LONGEST = 2000
 
@@ -139,13 +137,12 @@ def leaked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of tagged words: a capital opens a name, digits open a number; what goes on, and joins, by further letters."""
+    """Runs of words with tags by their letters, in place of a model's: a capital opens a name, digits open a number; what goes on, and joins, by further letters."""
     docs = _read(spark, sf_dir, "documents")
-    words = lambda data: F.transform(rule_spans(F.col("text"), _WORD, 0), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), slice_of(data, s["start"], s["end"] - s["start"]).alias("word")))
-    tokens = docs.select("doc_id", F.posexplode_outer(bind(F.col("text").cast("binary"), words)).alias("place", "t")).where("t IS NOT NULL").select("doc_id", "place", "t.*")
+    tokens = docs.select("doc_id", F.posexplode_outer(split_words(F.col("text"))).alias("place", "t")).where("t IS NOT NULL").select("doc_id", "place", "t.*")
     kind = F.expr("CASE WHEN word RLIKE '^[A-ZÀ-Þ]' OR word RLIKE '^(de|la|of)$' THEN 'USER_NAME' WHEN word RLIKE '[0-9]' THEN 'PAYMENT' END")
     tagged = tokens.select("doc_id", "place", "start", "end", kind.alias("type"), F.expr("word RLIKE '^[A-ZÀ-Þ0-9+]'").alias("opens"), F.expr("word RLIKE '[.,]$'").alias("joined"), (F.char_length("word") / 32).alias("score"))
-    found = entities(tagged, ["doc_id"])
+    found = entities(tagged, ["doc_id"], dense=True)
     return found.select("doc_id", "type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_tokens", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 

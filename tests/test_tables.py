@@ -8,6 +8,7 @@ import regex
 from pyspark.sql import functions as F
 
 from palimpsest.functions.rules import RULES, WORD, Rule
+from palimpsest.functions.spans import rule_spans, split_words
 from palimpsest.operators.leaks import leaks
 from palimpsest.operators.masking import mask_frame
 from palimpsest.operators.scanning import luhn, register_spans, scan_rules
@@ -118,3 +119,23 @@ def test_masks_of_a_leak_audit_are_made_once(spark):
     texts = spark.createDataFrame([(i, "the pwd: quagmire77 is new" if i == 0 else f"she said quagmire77 aloud {i}") for i in range(6)], "k long, text string")
     masks = mask_frame(texts.withColumn("text", once.asNondeterministic()("text")))
     assert sorted(r.k for r in leaks(masks, ["k"]).collect()) == [1, 2, 3, 4, 5] and seen.value == 6
+
+
+def test_runs_of_dense_tokens_move_tagged_ones_only(spark):
+    rng = random.Random(8)
+    rows = [(k, i, 4 * i, 4 * i + 3, rng.choice(["A", "B", None, None]), rng.random() < 0.5, rng.random() < 0.3, rng.random()) for k in range(20) for i in range(30)]
+    tokens = spark.createDataFrame(rows, "k long, place int, start int, end int, type string, opens boolean, joined boolean, score double")
+    assert sorted(entities(tokens, ["k"], dense=True).collect()) == sorted(entities(tokens, ["k"]).collect())
+    assert "isnotnull(type" in entities(tokens, ["k"], dense=True)._jdf.queryExecution().optimizedPlan().toString().rsplit("Window", 1)[1]
+
+
+def test_words_are_split_as_the_rule_finds_them(spark):
+    texts = ["a bc d  é中 \U0001f600x\n", "", " ", None, "one", " lead and trail ", "​x\x1fy z" * 40]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    rule = Rule("WORD", "USER_NAME", r"\S+", 1.0)
+    found = rule_spans(F.col("text"), rule, 0)
+    for r in frame.select("text", split_words(F.col("text")).alias("w"), found.alias("s")).collect():
+        assert [(w.start, w.end) for w in r.w or []] == [(s.start, s.end) for s in r.s or []]
+        assert [w.word.encode() for w in r.w or []] == [r.text.encode()[s.start : s.end] for s in r.s or []]
+    # What stands before a span that is the whole match is not looked for.
+    assert frame.select(found)._jdf.queryExecution().analyzed().toJSON().count(".RegExpExtractAll\"") == 1
