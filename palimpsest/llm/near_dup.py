@@ -11,10 +11,10 @@ table or a group of look-alikes: `trees` follows from the threshold and `steps`,
 Small nodes are compared exhaustively by sketch, 4.5 standard deviations below the threshold; a node yields a spanning forest
 of its look-alikes, never its pairs. What is still large after the last step counts as look-alikes without comparison. Connected
 components of all this are clusters: no link leaves a cluster. Links are decided on exact counts of full sets, for every
-cluster alike. A cluster of up to `node_limit` documents and `block_bytes` is compared within one task. A larger one is dealt into
-blocks, each compared within itself and with the cluster's first document, so that near copies join at once; after that,
-documents that are not joined yet meet where they share one of their rarest shingles (see prefixes), which all that link do and
-what merely has a template in common does not.
+cluster alike. A cluster of up to `node_limit` documents and `block_bytes` is compared within one task, which names its groups for
+good. A larger one is dealt into blocks, each compared within itself and with the cluster's first document, so that near copies
+join at once; after that, where a cluster is not one group yet, documents that are not joined meet where they share one of their
+rarest shingles (see prefixes), which all that link do and what merely has a template in common does not.
 
 Defined results: texts without words and rows without doc_id link with nothing (the latter get a null component and stay);
 repeated rows share their result, and rows that share a doc_id but not their text are each judged by their text; a document with fewer words than a shingle has its whole sequence as the only one;
@@ -199,23 +199,24 @@ class Block:
 
 
 def _confirm(share: tuple[int, int], least: int):
-    """Per cell: (a, b) for each document that links join with another one of the cell. Sides 0 and 1 are compared with each other, one side within itself."""
+    """Per cell: (a, b, blocks) for each label that links join with another one of the cell, b that of the first row. Sides 0 and 1 are compared with each other, one side within itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, "cell"):
-            ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
-            a, b = [], []
+            label, side, blocks = (table.column(c).to_numpy() for c in ("label", "side", "blocks"))
+            out = []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if e - s < 2:
                     continue
                 block = Block(table.slice(s, e - s), share, least)
                 here, there = np.flatnonzero(side[s:e] == 0), np.flatnonzero(side[s:e] == 1)
                 block.compare(here, there if len(there) else None)
-                moved = np.flatnonzero(block.label != np.arange(e - s))
-                a.append(ids[s + moved])
-                b.append(ids[s + block.label[moved]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                own = label[s:e]
+                _, at = np.unique(own, return_index=True)  # once each
+                at = at[own[at] != own[block.label[at]]]
+                out.append((own[at], own[block.label[at]], blocks[s + at]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["a", "b", "blocks"])
 
     return run
 
@@ -281,19 +282,27 @@ def _shared(rows: DataFrame, share: tuple[int, int], block_bytes: int, block_row
 
 
 def _links(sets: DataFrame, share: tuple[int, int], least: int, block_bytes: int, block_rows: int) -> DataFrame:
-    """(a, b) that join what links join, for sets (id, cluster, blocks, sketch, shingles); a cluster is the smallest id in it."""
+    """(id, component) of ids that links join with a smaller one, for sets (id, cluster, blocks, sketch, shingles); a cluster is the smallest id in it."""
     every = F.when(F.col("id") == F.col("cluster"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks"))))
-    cells = sets.withColumn("of", F.explode(every)).select(F.xxhash64("cluster", "of").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "sketch", "shingles")
-    check = lambda cells: cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_confirm(share, least), "a long, b long")
+    cells = sets.withColumn("of", F.explode(every)).select(F.xxhash64("cluster", "of").alias("cell"), F.lit(0).alias("side"), "id", F.col("id").alias("label"), "blocks", "sketch", "shingles")
+    check = lambda cells: cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_confirm(share, least), "a long, b long, blocks long")
     found = materialise(check(cells), "links")
+    # A cluster of one block has been compared as a whole, and its groups are named by their smallest ids.
+    joined = found.where("blocks = 1").selectExpr("a id", "b component")
     wide = sets.where("blocks > 1")
     if wide.isEmpty():
-        return found
-    labels = components(found.join(wide.select(F.col("id").alias("a")).distinct(), "a", "left_semi").select("a", "b"))
-    rows = wide.join(labels, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label"), "sketch", "shingles")
+        return joined
+    labels = components(found.where("blocks > 1").select("a", "b"))
+    rows = wide.join(labels, "id", "left").select("id", "cluster", F.coalesce("component", "id").alias("label"), "blocks", "sketch", "shingles")
     rows = materialise(rows, "labelled")
-    open_ = _shared(rows, share, block_bytes, block_rows)
-    return found.unionAll(check(open_.join(rows.select("id", "label", "sketch", "shingles"), "id")))
+    ends = rows.select("id", "label").distinct()
+    parted = materialise(rows.groupBy("cluster").agg((F.min("label") < F.max("label")).alias("several")).where("several"), "parted")
+    if not parted.isEmpty():
+        apart = rows.join(parted, "cluster", "left_semi")
+        open_ = _shared(apart, share, block_bytes, block_rows)
+        late = components(check(open_.join(rows.select("id", "label", "blocks", "sketch", "shingles"), "id")).select("a", "b"))
+        ends = ends.join(late.selectExpr("id label", "component"), "label", "left").select("id", F.coalesce("component", "label").alias("label"))
+    return joined.unionAll(ends.where("id <> label").selectExpr("id", "label component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), trees: int | None = None, node_limit: int = 2048, block_bytes: int = 8 << 20, steps: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,13 +318,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
 
     real = found.where("n > 0 AND id IS NOT NULL")
     # Written first: a join with the aggregate itself could not be dealt anew where one class has a great share of all rows.
-    classes = materialise(real.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "class-names")
+    reps = real.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "tokens", "sketch")).alias("first"))
+    reps = materialise(reps.select("first.*", "h1", "h2", "n"), "representatives")
+    classes = reps.select("h1", "h2", "n", F.col("id").alias("rep"))
     member = found.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.when(F.expr("n > 0"), F.col("rep")).otherwise(F.col("id")).alias("rep"))
     member = materialise(member, "classes")
-    reps = real.join(classes.select("h1", "h2", "n", F.col("rep").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
-    reps = reps.dropDuplicates(["h1", "h2", "n", "id"])
-    reps = materialise(reps.select("id", "h1", "n", "tokens", "sketch"), "representatives")
-    discard(found, classes)
+    discard(found)
 
     rows, small, used = reps.select("id", "tokens").mapInArrow(_roots(trees, steps), "id long, tree int, node long"), None, [reps]
     crowd = None
@@ -348,7 +356,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     near = materialise(clusters.select("id", F.col("component").alias("cluster")).join(blocks, "cluster"), "clustered")
     sets = _sets(texts.join(near, "id").select("id", "cluster", "blocks", "text"), shingle)
     sets = materialise(sets.join(reps.select("id", "h1", "sketch"), ["id", "h1"]), "sets")
-    linked = components(_links(sets, share, least, block_bytes, node_limit)).where("id <> component")
+    linked = materialise(_links(sets, share, least, block_bytes, node_limit), "linked")
     discard(sets, near, clusters, *used)
 
     out = member.join(linked.selectExpr("id rep", "component"), "rep", "left")

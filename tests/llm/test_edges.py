@@ -119,3 +119,12 @@ def test_components_of_a_chain(spark, n, rule, caplog):
         out = components(edges)
     assert (out.count(), out.where(f"component <> {min(names)}").count()) == (n, 0)
     assert int(re.search(r"components: (\d+) rounds", caplog.text)[1]) <= 3 * math.log2(n)
+
+
+def test_components_of_stars(spark, caplog):
+    """Stars around their smallest ids, several at each vertex: a few rounds, however many leaves they have."""
+    edges = [(v, v - v % n) for n in (300, 500, 3000) for v in range(1, 6000) if v % n]
+    with caplog.at_level("INFO"):
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: v - v % 3000 for v in range(6000)}
+    assert int(re.search(r"components: (\d+) rounds", caplog.text)[1]) <= 2

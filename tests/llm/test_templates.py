@@ -39,3 +39,17 @@ def test_a_template_brings_nobody_together(spark, monkeypatch):
     got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=3, share=(85, 100), node_limit=50, steps=2)
     assert {r.doc_id: r.component_id for r in got.where("NOT kept").collect()} == {1000 + i: i * 7 for i in range(12)}
     assert seen and seen[0].count() < 3000  # not 600 * 600 / 2, nor anything near it
+
+
+def test_what_is_joined_is_not_searched(spark, monkeypatch):
+    """A cluster of many blocks whose documents all link with its first one, and pairs: no search for shared shingles, no second look at small clusters."""
+    rng, words = random.Random(2), [f"t{i}" for i in range(160)]
+    texts = [(0, " ".join(words))] + [(i, " ".join([*words[:155], *(f"u{i}x{k}" for k in range(5))])) for i in range(1, 200)]
+    texts += [(1000 + 10 * i + k, " ".join([f"p{i}x{j}" for j in range(99)] + [f"q{k}"])) for i in range(30) for k in range(2)]
+    rng.shuffle(texts)
+    looked, joined = [], near_dup.components
+    monkeypatch.setattr(near_dup, "components", lambda edges: looked.append(edges.count()) or joined(edges))
+    monkeypatch.setattr(near_dup, "_shared", None)
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), shingle=3, share=(85, 100), node_limit=50)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 10 * 10 if i >= 1000 else 0 for i, _ in texts}
+    assert len(looked) == 2 and looked[1] == 199  # the great cluster's documents only
